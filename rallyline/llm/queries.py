@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyline.llm import lines, recipes, simhash
+from rallyline.llm import lines, packing, recipes, simhash
 from rallyline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,8 +27,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op4_differencing_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), end_id=2, capacity=4096)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_chunk_recipes, op3_line_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_chunk_recipes, op3_line_dedup, op4_differencing_packs)}
 
 
 #: As regular expressions of DuckDB.
