@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyline.llm import lines, packing, recipes, simhash
+from rallyline.llm import licences, lines, packing, recipes, simhash
 from rallyline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,8 +31,12 @@ def op4_differencing_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), end_id=2, capacity=4096)
 
 
+def op5_licence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.labelled(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_chunk_recipes, op3_line_dedup, op4_differencing_packs)}
+    return {f.__name__: f for f in (op1_simhash, op2_chunk_recipes, op3_line_dedup, op4_differencing_packs, op5_licence_index)}
 
 
 #: As regular expressions of DuckDB.
@@ -67,4 +71,4 @@ FROM f GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chunk_recipes": _OP2, "op3_line_dedup": _OP3}
+    return {"op2_chunk_recipes": _OP2, "op3_line_dedup": _OP3, "op5_licence_index": licences.oracle()}
