@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyline.llm import licences, lines, packing, recipes, simhash
+from rallyline.llm import licences, lines, mixing, packing, recipes, simhash, urls
 from rallyline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,8 +35,18 @@ def op5_licence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.labelled(table(spark, sf_dir, "documents"))
 
 
+def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
+def op9_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mixed(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_chunk_recipes, op3_line_dedup, op4_differencing_packs, op5_licence_index)}
+    return {f.__name__: f for f in (op1_simhash, op2_chunk_recipes, op3_line_dedup, op4_differencing_packs, op5_licence_index, op8_url_templates,
+                                   op9_sainte_lague_mix)}
 
 
 #: As regular expressions of DuckDB.
