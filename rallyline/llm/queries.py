@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyline.llm import licences, lines, mixing, packing, recipes, simhash, urls
+from rallyline.llm import licences, lines, mixing, packing, recipes, simhash, sketches, urls
 from rallyline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,9 +44,13 @@ def op9_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_lookup_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprinted(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_simhash, op2_chunk_recipes, op3_line_dedup, op4_differencing_packs, op5_licence_index, op8_url_templates,
-                                   op9_sainte_lague_mix)}
+                                   op9_sainte_lague_mix, op10_lookup_sketches)}
 
 
 #: As regular expressions of DuckDB.
