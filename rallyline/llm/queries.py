@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyline.llm import licences, lines, mixing, packing, recipes, simhash, sketches, urls
+from rallyline.llm import langid, licences, lines, mixing, packing, perplexity, recipes, simhash, sketches, urls
 from rallyline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,14 @@ def op5_licence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.labelled(table(spark, sf_dir, "documents"))
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(table(spark, sf_dir, "documents"))
+
+
 def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"))
 
@@ -49,8 +57,11 @@ def op10_lookup_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_chunk_recipes, op3_line_dedup, op4_differencing_packs, op5_licence_index, op8_url_templates,
-                                   op9_sainte_lague_mix, op10_lookup_sketches)}
+    every = (
+        op1_simhash, op2_chunk_recipes, op3_line_dedup, op4_differencing_packs, op5_licence_index, op6_kneser_ney,
+        op7_family_svm, op8_url_templates, op9_sainte_lague_mix, op10_lookup_sketches,
+    )
+    return {f.__name__: f for f in every}
 
 
 #: As regular expressions of DuckDB.
