@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from rallyline.llm.common import durable
 
 #: Runs of characters, and words, that one worker keeps encoded; pieces that one shard packs, about.
-KEPT, SHARD = 600_000, 2048
+KEPT, SHARD = 600_000, 1024
 #: Printable ASCII and the letters of Latin-1, for which the pattern below parts a text as the tokenizer's does.
 PLAIN = re.compile(r"[\x21-\x7E\xC0-\xD6\xD8-\xF6\xF8-\xFF]+\Z").match
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
@@ -145,7 +145,7 @@ def _merge(a: tuple, b: tuple, k: int) -> tuple:
             items.append(p[free + i] + q[len(y) - 1 - i])
         sums += y[: len(y) - rest]
         items += q[: len(q) - rest]
-    order = sorted(range(len(sums)), key=lambda i: -sums[i])
+    order = sorted(range(len(sums)), key=sums.__getitem__, reverse=True)
     return [sums[i] for i in order], [items[i] for i in order]
 
 
@@ -168,13 +168,17 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
 
 
 def windows(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Items in as few windows of at most the capacity as differencing finds, counting up from the least possible."""
+    """Items in windows of at most the capacity: from the least number of windows up, until differencing fits them.
+
+    The number rises by half of what the fullest window is over, so that few partitions are tried.
+    """
     k = max(1, -(-sum(sizes) // capacity))
     while sizes:
         made = differencing(sizes, k)
-        if max(sum(sizes[i] for i in w) for w in made) <= capacity:
+        fullest = max(sum(sizes[i] for i in w) for w in made)
+        if fullest <= capacity:
             return made
-        k += max(1, k // 256)
+        k += max(1, k * (fullest - capacity) // (2 * capacity))
     return []
 
 
