@@ -65,7 +65,7 @@ def apportion(parties: DataFrame, votes: str, seats: Column, within: list[str],
     threshold.  What is missing goes to the highest next quotients, what is too much comes off the lowest granted ones.
     """
     all_of = Window.partitionBy(*within)
-    quota = F.col(votes) * seats / F.sum(votes).over(all_of)
+    quota = F.col(votes) * seats / F.nullif(F.sum(votes).over(all_of), F.lit(0))
     rows = parties.withColumn("_seats", seats).withColumn(out, F.coalesce(F.floor(quota + 0.5), F.lit(0)).cast("long"))
     rows = rows.withColumn("_gap", F.col("_seats") - F.sum(out).over(all_of))
     n = F.count("*").over(all_of)
@@ -111,11 +111,11 @@ def mixed(docs: DataFrame, seed: int = 42, block: int = BLOCK, per_shard: int =
 def mixture(docs: DataFrame, seed: int = 42) -> DataFrame:
     """The rows of docs in whole copies: as many as round(taken / size), so a document may go or come twice."""
     plan = mixed(docs, seed).where("taken > 0").select(
-        F.col("doc_id").alias("_doc_id"), F.col("size").alias("_size"),
-        F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies"),
-    ).groupBy("_doc_id", "_size").agg(F.max("_copies").alias("_copies"))
+        F.col("doc_id").alias("_rl_doc_id"), F.col("size").alias("_rl_size"),
+        F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_rl_copies"),
+    ).groupBy("_rl_doc_id", "_rl_size").agg(F.max("_rl_copies").alias("_rl_copies"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_CLASS)), F.lit(0)).cast("long")
-    rows = docs.withColumn("_words", size).join(
-        plan, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_words") == F.col("_size"))
+    rows = docs.withColumn("_rl_words", size).join(
+        plan, F.col("doc_id").eqNullSafe(F.col("_rl_doc_id")) & (F.col("_rl_words") == F.col("_rl_size"))
     )
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).where("_copies > 0").select(docs.columns)
+    return rows.withColumn("_rl_copy", F.explode(F.sequence(F.lit(1), F.col("_rl_copies")))).where("_rl_copies > 0").select(docs.columns)
