@@ -116,6 +116,6 @@ def mixture(docs: DataFrame, seed: int = 42) -> DataFrame:
     ).groupBy("_rl_doc_id", "_rl_size").agg(F.max("_rl_copies").alias("_rl_copies"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_CLASS)), F.lit(0)).cast("long")
     rows = docs.withColumn("_rl_words", size).join(
-        plan, F.col("doc_id").eqNullSafe(F.col("_rl_doc_id")) & (F.col("_rl_words") == F.col("_rl_size"))
+        plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_rl_doc_id")) & (F.col("_rl_words") == F.col("_rl_size"))
     )
     return rows.withColumn("_rl_copy", F.explode(F.sequence(F.lit(1), F.col("_rl_copies")))).where("_rl_copies > 0").select(docs.columns)

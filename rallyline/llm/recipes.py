@@ -120,7 +120,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs whose text is the first of its group; rows that repeat a doc_id and a text are one."""
     kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_rl_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_rl_kept")), "left_semi")
+    rows = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_rl_kept")), "left_semi")
     text = F.xxhash64(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
     rows = rows.withColumn("_rl_text", text)
     first = Window.partitionBy("doc_id", "_rl_text").orderBy(F.lit(0))

@@ -290,4 +290,4 @@ def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Data
     Rows without a doc_id stay; all rows under a doc_id that stays are kept.
     """
     gone = components(similar_links(docs, width, similarity)).select(F.col("node").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
