@@ -1,6 +1,7 @@
-"""A season's derived tables from its flat ones: one lazy plan per table.
+"""A season's derived tables from its flat ones.
 
-The only global barrier is the season's correction switch, one row per season that is broadcast back.
+Tables that several others read are written on the way (a plan that repeats them would grow with every use).  The only
+global step is the season's correction switch, one row per season that is broadcast back.
 """
 
 from __future__ import annotations
@@ -13,13 +14,38 @@ from pyspark.sql import functions as F
 from rallyline.functions.scalars import matches_official, official_seconds
 from rallyline.operators import episodes, intervals, quality, rosters
 from rallyline.operators.rosters import GAME, KEYS, PLAYER
+from rallyline.session import durable
 from rallyline.sources import payloads
 
 PLAYS = episodes.Plays(GAME, player="player_id")
 
 
+class Tables:
+    """Named tables that can be written and read again; a written table is what later plans should start from."""
+
+    @classmethod
+    def names(cls) -> list[str]:
+        return [f.name for f in fields(cls)]
+
+    def save(self, root: str) -> None:
+        """Each table as Parquet, by (season, game) where it has them; only the partitions that have rows are replaced."""
+        for name in self.names():
+            df = getattr(self, name)
+            by = [k for k in KEYS if k in df.columns]
+            writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            (writer.partitionBy(*by) if by else writer).parquet(f"{root}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, root: str):
+        def one(name: str) -> DataFrame:
+            df = spark.read.parquet(f"{root}/{name}")
+            return df.withColumn("season", F.col("season").cast("string")) if "season" in df.columns else df
+
+        return cls(*[one(name) for name in cls.names()])
+
+
 @dataclass(frozen=True)
-class Season:
+class Season(Tables):
     """Flat inputs: games (schedule), events, players and team rows (box score), shots."""
 
     games: DataFrame
@@ -41,11 +67,11 @@ class Season:
 
     def only(self, chosen: DataFrame) -> Season:
         """The same tables for the games in chosen (season, game)."""
-        return Season(*[getattr(self, f.name).join(chosen, list(KEYS), "left_semi") for f in fields(self)])
+        return Season(*[getattr(self, name).join(chosen, list(KEYS), "left_semi") for name in self.names()])
 
 
 @dataclass(frozen=True)
-class Derived:
+class Derived(Tables):
     games: DataFrame
     events: DataFrame
     stints: DataFrame
@@ -58,13 +84,14 @@ class Derived:
 
 def minutes(season: Season) -> DataFrame:
     """Seconds per listed player: raw, corrected for overtime tips, and official (null where the box has none)."""
-    events = rosters.corrected(rosters.timed(season.events))
+    events = durable(rosters.corrected(rosters.timed(season.events)))
     length = rosters.lengths(events)
-    moves = rosters.transitions(events, season.players)
+    moves = durable(rosters.transitions(events, season.players))
     rows = season.players.select(*PLAYER, "name", official_seconds(F.col("minutes")).alias("seconds_official"))
     for name, clock in (("seconds_raw", "elapsed"), ("seconds_candidate", "elapsed_corrected")):
         played = rosters.seconds_played(rosters.court_intervals(moves, season.players, clock), length)
         rows = rows.join(played.withColumnRenamed("seconds", name), list(PLAYER), "left").fillna(0, [name])
+    rows = durable(rows)
     switch = use_correction(rows)
     rows = rows.join(F.broadcast(switch), "season")
     return rows.withColumn("seconds_corrected", F.when(F.col("use_correction"), F.col("seconds_candidate")).otherwise(F.col("seconds_raw")))
@@ -90,14 +117,14 @@ def point_differences(season: Season) -> DataFrame:
 
 
 def derive(season: Season) -> Derived:
-    events = rosters.corrected(rosters.timed(season.events)).join(season.games.select(*KEYS, "home", "away"), list(KEYS))
-    length = rosters.lengths(events)
-    spans = rosters.substitution_spans(events)
-    moves = rosters.transitions(events, season.players)
-    courts = rosters.court_intervals(moves, season.players)
-    stints = rosters.stints(events, spans, courts, length, season.games)
-    found = possessions(events, stints, length)
-    played = minutes(season)
+    events = durable(rosters.corrected(rosters.timed(season.events)).join(season.games.select(*KEYS, "home", "away"), list(KEYS)))
+    length = durable(rosters.lengths(events))
+    spans = durable(rosters.substitution_spans(events))
+    moves = durable(rosters.transitions(events, season.players))
+    courts = durable(rosters.court_intervals(moves, season.players))
+    stints = durable(rosters.stints(events, spans, courts, length, season.games))
+    found = durable(possessions(events, stints, length))
+    played = durable(minutes(season))
     verdicts = judge(season, events, spans, moves, courts, played, found)
     enriched = intervals.segment_index(events, spans, KEYS, "pos", "stint")
     enriched = episodes.attach(enriched, found.withColumnRenamed("start_pos", "start").withColumnRenamed("end_pos", "end"), KEYS, "pos")

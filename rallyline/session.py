@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "rallyline") -> SparkSession:
@@ -19,3 +21,17 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, ap
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint, in the folder that the cluster names in spark.checkpoint.dir.
+
+    Only where a session names none, and runs in one process, a temporary folder takes its place.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="rallyline-checkpoint-"))
+    return df.checkpoint(eager=True)

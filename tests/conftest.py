@@ -1,8 +1,11 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
+os.environ.setdefault("PYSPARK_SUBMIT_ARGS", "--driver-memory 4g --conf spark.ui.enabled=false pyspark-shell")
+
 for folder in (Path(__file__).resolve().parent, Path(__file__).resolve().parent.parent):
     sys.path.insert(0, str(folder))
 
@@ -11,7 +14,7 @@ from rallyline.session import session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    spark = session("local[4]", 4, "rallyline-tests")
+    spark = session("local[4]", 2, "rallyline-tests")
     spark.sparkContext.setLogLevel("ERROR")
     yield spark
     spark.stop()
