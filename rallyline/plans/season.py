@@ -77,9 +77,10 @@ class Derived(Tables):
     stints: DataFrame
     possessions: DataFrame
     minutes: DataFrame
-    verdicts: DataFrame
     dimension_players: DataFrame
     dimension_teams: DataFrame
+    #: Written last: a game that has a verdict is there whole.
+    verdicts: DataFrame
 
 
 def minutes(season: Season) -> DataFrame:
@@ -132,7 +133,7 @@ def derive(season: Season) -> Derived:
     people = season.players.select("player_id", "name", "game", F.row_number().over(names).alias("n")).where("n = 1").select("player_id", "name")
     sides = F.explode(F.array(F.struct(F.col("home").alias("team"), F.col("home_name").alias("name")), F.struct(F.col("away").alias("team"), F.col("away_name").alias("name"))))
     teams = season.games.select("season", "game", sides.alias("t")).groupBy("season", "t.team").agg(F.max_by("t.name", "game").alias("name"))
-    return Derived(season.games, enriched, stints, found, played, verdicts, people, teams)
+    return Derived(season.games, enriched, stints, found, played, people, teams, verdicts)
 
 
 def possessions(events: DataFrame, stints: DataFrame, length: DataFrame) -> DataFrame:

@@ -58,14 +58,18 @@ def payloads(spark: SparkSession, root: str, endpoint: str, schema: str) -> Data
     return _from_path(reader.json(f"{root}/*/{endpoint}"))
 
 
+def files(spark: SparkSession, root: str) -> DataFrame:
+    """Rows (season, endpoint, game, byte_size, path, content): every payload by numeric game; unread unless asked for."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*.json").option("recursiveFileLookup", True).load(root)
+    part = lambda i: F.regexp_extract("path", r"/([^/]+)/([^/]+)/(\d+)\.json$", i)
+    return found.where(part(3) != "").select(
+        part(1).alias("season"), part(2).alias("endpoint"), part(3).cast("int").alias("game"), F.col("length").alias("byte_size"), "path", "content"
+    )
+
+
 def inventory(spark: SparkSession, root: str) -> DataFrame:
     """Rows (season, endpoint, game, sha256, byte_size, path): every payload by numeric game, with its exact hash."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*.json").option("recursiveFileLookup", True).load(root)
-    part = lambda i: F.regexp_extract("path", r"/([^/]+)/([^/]+)/(\d+)\.json$", i)
-    return files.where(part(3) != "").select(
-        part(1).alias("season"), part(2).alias("endpoint"), part(3).cast("int").alias("game"),
-        F.sha2("content", 256).alias("sha256"), F.col("length").alias("byte_size"), "path",
-    )
+    return files(spark, root).select("season", "endpoint", "game", F.sha2("content", 256).alias("sha256"), "byte_size", "path")
 
 
 def _canonical(text: pd.Series) -> pd.Series:
