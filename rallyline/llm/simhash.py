@@ -26,8 +26,8 @@ from rallyline.llm.common import components, durable
 SEED = 42
 #: Odd multipliers that derive further independent hash words from a shingle's hash; fixed values.
 MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-#: Members of one shard that are compared with each other at once, see link_runs.
-RUN = 1024
+#: Members of one shard that go through a tree of single nodes, see link_runs.
+RUN = 64
 
 
 def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
@@ -110,11 +110,14 @@ class BKTree:
 
 
 def link_runs(values: list[int], radius: int, run: int) -> list[tuple[int, int]]:
-    """Pairs of values within the radius that connect every class which the shard's trees find.
+    """Pairs of values within the radius that connect exactly the classes that all such pairs make.
 
-    Up to `run` values share one tree, and all their links are followed.  A longer shard is cut into runs; a run's tree
-    starts with one value of each class of the runs before, so its classes go on without all pairs.
+    Up to `run` values go through one BK-tree, which finds all their links.  More go through link_wide, which passes
+    over links inside a class, so that a large group of near copies doesn't cost all its pairs.
     """
+    if len(values) > run:
+        words = np.frombuffer(b"".join(x.to_bytes(WIDE // 8, "little") for x in values), np.uint64).reshape(-1, WIDE // 64)
+        return [(values[a], values[b]) for a, b in link_wide(words, radius)]
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -123,26 +126,45 @@ def link_runs(values: list[int], radius: int, run: int) -> list[tuple[int, int]]
             x = parent[x]
         return x
 
-    links, heads = [], []
-    for k in range(0, len(values), run):
-        tree = BKTree()
-        for x in heads:
-            tree.add(x)
-        for x in values[k : k + run]:
-            if x in parent:
-                continue
-            parent[x] = x
-            for y in tree.near(x, radius):
-                a, b = root(x), root(y)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    links.append((x, y))
-            tree.add(x)
-        if k + run < len(values):
-            heads = sorted({root(x) for x in (*heads, *values[k : k + run])})
+    links, tree = [], BKTree()
+    for x in values:
+        if x in parent:
+            continue
+        parent[x] = x
+        for y in tree.near(x, radius):
+            a, b = root(x), root(y)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                links.append((x, y))
+        tree.add(x)
     return links
 
 
+def link_wide(words: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links between the rows of `words` (64 bits a column), as pairs of row numbers.
+
+    A row that is reached looks for its neighbours among all rows not yet reached, and nowhere else, so
+    no class is cut.  Rows are in order of their distance to the root, the row next to the majority of all bits, as in
+    the first level of a BK-tree: a search only reads those between distance - radius and distance + radius.
+    """
+    bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+    middle = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(words), bitorder="little").view(np.uint64)
+    far = np.bitwise_count(words ^ words[np.bitwise_count(words ^ middle).sum(1).argmin()]).sum(1).astype(np.int64)
+    free = np.argsort(far, kind="stable")
+    while len(free):
+        reached, free = [int(free[0])], free[1:]
+        while reached and len(free):
+            x = reached.pop()
+            a = np.searchsorted(far[free], far[x] - radius)
+            b = np.searchsorted(far[free], far[x] + radius, "right")
+            near = np.bitwise_count(words[free[a:b]] ^ words[x]).sum(1) <= radius
+            found = free[a:b][near]
+            if len(found):
+                free = np.concatenate([free[:a], free[a:b][~near], free[b:]])
+                reached.extend(found.tolist())
+                yield from ((x, y) for y in found.tolist())
+
+
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """The columns after the first, for each run of equal values in the first that has two rows or more."""
     carry: list[np.ndarray] | None = None

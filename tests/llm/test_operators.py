@@ -148,6 +148,44 @@ def test_large_near_group_ends_in_few(spark):
     assert len(links) == 199
 
 
+def test_variants_that_only_match_their_base_stay_linked():
+    """A shard longer than a run: each variant is near the base alone, wherever the base stands in the order."""
+    rng = np.random.default_rng(5)
+    base = int.from_bytes(rng.bytes(32), "little")
+    flips = [rng.choice(256, 44, replace=False).tolist() for _ in range(4000)]
+    values = sorted({base, *(base ^ sum(1 << b for b in f) for f in flips)})
+    links = simhash.link_runs(values, 44, simhash.RUN)
+    seen, ends = {base}, defaultdict(set)
+    for u, v in links:
+        assert (u ^ v).bit_count() <= 44
+        ends[u].add(v)
+        ends[v].add(u)
+    stack = [base]
+    while stack:
+        new = ends[stack.pop()] - seen
+        seen |= new
+        stack.extend(new)
+    assert len(links) == len(values) - 1 and seen == set(values)
+
+
+def test_wide_links_make_the_classes_of_all_pairs():
+    rng = np.random.default_rng(9)
+    base = [int.from_bytes(rng.bytes(32), "little") for _ in range(15)]
+    values = sorted({b ^ sum(1 << int(i) for i in rng.choice(256, int(rng.integers(30)), replace=False)) for b in base for _ in range(20)})
+    at = {v: i for i, v in enumerate(values)}
+    least = dict(enumerate(range(len(values))))
+
+    def root(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for u, v in simhash.link_runs(values, 20, 1):
+        a, b = sorted((root(at[u]), root(at[v])))
+        least[b] = a
+    assert {i: root(i) for i in least} == classes_of(dict(enumerate(values)), 20)
+
+
 def test_exact_groups(odd, none, docs, texts):
     for df, rows in ((odd, [r[:2] for r in ODD]), (docs, list(texts.items()))):
         same = defaultdict(list)
