@@ -13,6 +13,7 @@ other columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,8 +166,11 @@ def link_wide(words: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
                 yield from ((x, y) for y in found.tolist())
 
 
-def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns after the first, for each run of equal values in the first that has two rows or more."""
+def shards(batches: Iterator[pa.RecordBatch], key: bool = False) -> Iterator[list]:
+    """The columns after the first, for each run of equal values in the first that has two rows or more.
+
+    With `key`, the first column's value stands before them.
+    """
     carry: list[np.ndarray] | None = None
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -178,10 +182,10 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         bounds = [0, *cuts.tolist()]
         for a, b in zip(bounds, bounds[1:], strict=False):
             if b - a > 1:
-                yield [c[a:b] for c in cols[1:]]
+                yield [*cols[0][a : a + key], *(c[a:b] for c in cols[1:])]
         carry = [c[bounds[-1] :] for c in cols]
     if carry is not None and len(carry[0]) > 1:
-        yield carry[1:]
+        yield [*carry[0][:key], *carry[1:]]
 
 
 def band_keys(fp: Column, radius: int, levels: int = 3) -> Column:
@@ -242,7 +246,11 @@ def near_components(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 
 
 #: Wide fingerprints for similarity rather than a few bits: 256 bits, and the tables of cross-polytope keys.
-WIDE, TABLES, DIGITS, AXES = 256, 20, 3, 64
+WIDE, TABLES, DIGITS, AXES = 256, 48, 3, 64
+#: Standard errors of a fingerprint's distance that the radius lies beyond the mean.
+SPREAD = 2.5
+#: Parts of the hash space in which a set's shingles are counted, and the count from which a part is full.
+PARTS, FULL = 256, 65535
 
 
 def wide_counts(hashes: np.ndarray) -> np.ndarray:
@@ -255,55 +263,162 @@ def wide_counts(hashes: np.ndarray) -> np.ndarray:
 
 
 def radius_for(similarity: float) -> int:
-    """Differing bits of 256 that shingle sets of this Jaccard similarity have on average, and one standard error more."""
+    """Differing bits of 256 that shingle sets of this Jaccard similarity have on average, and SPREAD errors more."""
     angle = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
-    return int(WIDE * angle + np.sqrt(WIDE * angle * (1 - angle)))
+    return int(WIDE * angle + SPREAD * np.sqrt(WIDE * angle * (1 - angle)))
 
 
-def similar_links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Links (u, v) of doc_ids whose `width`-word shingles have about `similarity` or more, by 256-bit SimHash.
+@functools.cache
+def rotations() -> np.ndarray:
+    return np.random.default_rng(7).standard_normal((WIDE, TABLES * DIGITS * AXES)).astype(np.float32)
 
-    A shard is a cross-polytope key of the bits' margins: per table, the largest of 64 rotated coordinates, three times.
-    In a shard's BK-tree the radius is that of the similarity, see radius_for.  Texts with equal fingerprints link to
-    the smallest doc_id first, so that a tree holds no copies.
+
+def wide_prints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For sets of shingle hashes: bits (n, 32 bytes) and keys (n, TABLES).
+
+    A key is a table's number and three digits; a digit is the largest of 64 rotated coordinates of the bits' margins.
     """
-    rotations = np.random.default_rng(7).standard_normal((WIDE, TABLES * DIGITS * AXES)).astype(np.float32)
-    radius = radius_for(similarity)
+    margins = np.stack([wide_counts(x) for x in sets])
+    scaled = margins / np.maximum(1.0, np.linalg.norm(margins, axis=1, keepdims=True))
+    turned = (scaled.astype(np.float32) @ rotations()).reshape(len(sets), TABLES, DIGITS, AXES)
+    axis = np.abs(turned).argmax(-1)
+    code = 2 * axis + (np.take_along_axis(turned, axis[..., None], -1)[..., 0] > 0)
+    keys = np.arange(TABLES)
+    for digit in range(DIGITS):
+        keys = keys * (2 * AXES) + code[:, :, digit]
+    return np.packbits(margins > 0, axis=1, bitorder="little"), keys.astype(np.int64)
+
+
+def part_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes lie in each part; two sets can't share more than the sum of the parts' lesser counts."""
+    return np.minimum(np.bincount((hashes % np.uint64(PARTS)).astype(np.int64), minlength=PARTS), FULL).astype(np.uint16)
+
+
+def may_be_similar(counts: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows of counts can have this Jaccard similarity with `other`; it never rules out one that has it."""
+    shared = np.minimum(counts, other).sum(1, dtype=np.int64)
+    union = counts.sum(1, dtype=np.int64) + other.sum(dtype=np.int64) - shared
+    return (shared >= (similarity - 1e-12) * union) | (counts == FULL).any(1) | (other == FULL).any()
+
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def similar_prints(texts: DataFrame, width: int) -> DataFrame:
+    """Rows (doc_id, same, bits, counts, keys) from (doc_id, text); `same` is a digest of the set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                margins = np.stack([wide_counts(shingle_hashes(t.as_py(), width)) for t in part.column(1)])
-                bits = np.packbits(margins > 0, axis=1, bitorder="little")
-                scaled = margins / np.maximum(1.0, np.linalg.norm(margins, axis=1, keepdims=True))
-                turned = (scaled.astype(np.float32) @ rotations).reshape(len(part), TABLES, DIGITS, AXES)
-                axis = np.abs(turned).argmax(-1)
-                code = 2 * axis + (np.take_along_axis(turned, axis[..., None], -1)[..., 0] > 0)
-                keys = np.arange(TABLES)
-                for digit in range(DIGITS):
-                    keys = keys * (2 * AXES) + code[:, :, digit]
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in part.column(1)]
+                bits, keys = wide_prints(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x.tobytes() for x in bits], pa.binary()),
-                     pa.array(list(keys.astype(np.int64)), pa.list_(pa.int64()))],
-                    ["doc_id", "bits", "keys"],
+                    [part.column(0), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()),
+                     pa.array([x.tobytes() for x in bits], pa.binary()),
+                     pa.array([part_counts(x).tobytes() for x in sets], pa.binary()),
+                     pa.array(list(keys), pa.list_(pa.int64()))],
+                    ["doc_id", "same", "bits", "counts", "keys"],
                 )
 
+    return texts.mapInArrow(run, "doc_id long, same binary, bits binary, counts binary, keys array<long>")
+
+
+def forest_links(keyed: DataFrame, radius: int) -> DataFrame:
+    """Rows (key, u, v) from (key, bits, doc_id): in each shard, links within the radius that make up its classes.
+
+    A document that is within the radius of any other in its shard has a link.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bits, ids in shards(batches):
+        for key, bits, ids in shards(batches, key=True):
             values = [int.from_bytes(x, "little") for x in bits]
-            name = dict(zip(values, ids.tolist(), strict=True))
-            if pairs := link_runs(values, radius, RUN):
-                u, v = ([name[x] for x in side] for side in zip(*pairs, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            of: dict[int, list[int]] = {}
+            for x, i in zip(values, ids.tolist(), strict=True):
+                of.setdefault(x, []).append(i)
+            pairs = [(of[x][0], of[y][0]) for x, y in link_runs(list(of), radius, RUN)]
+            pairs.extend((same[0], i) for same in of.values() for i in same[1:])
+            if pairs:
+                u, v = (pa.array(side, pa.int64()) for side in zip(*pairs, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([int(key)] * len(pairs), pa.int64()), u, v], ["key", "u", "v"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).where("doc_id is not null")
-    made = durable(rows.mapInArrow(prints, "doc_id long, bits binary, keys array<long>"))
-    heads = durable(made.groupBy("bits").agg(F.min("doc_id").alias("head"), F.first("keys").alias("keys")))
-    copies = made.join(heads.select("bits", "head"), "bits").where("doc_id <> head")
-    keyed = heads.select(F.explode("keys").alias("key"), "bits", F.col("head").alias("doc_id"))
-    near = keyed.repartition("key").sortWithinPartitions("key", "bits").mapInArrow(run, "u long, v long")
-    return near.unionByName(copies.select(F.col("doc_id").alias("u"), F.col("head").alias("v")))
+    return keyed.repartition("key").sortWithinPartitions("key", "bits").mapInArrow(run, "key long, u long, v long")
+
+
+def cross_links(keyed: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Rows (u, v) from (key, bits, counts, doc_id, root): pairs in a shard within the radius whose roots differ.
+
+    All such pairs but those that by their counts can't have the similarity.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bits, counts, ids, roots in shards(batches):
+            names, n = np.unique(roots, return_counts=True)
+            if len(names) == 1:
+                continue
+            words = np.frombuffer(b"".join(bits), np.uint64).reshape(-1, WIDE // 64)
+            # the commonest root's members stand last and only answer
+            order = np.argsort(roots == names[n.argmax()], kind="stable")
+            words, ids, roots = words[order], ids[order], roots[order]
+            counts = np.frombuffer(b"".join(counts), np.uint16).reshape(-1, PARTS)[order]
+            for k in range(len(ids) - int(n.max())):
+                near = np.bitwise_count(words[k + 1 :] ^ words[k]).sum(1) <= radius
+                at = k + 1 + np.flatnonzero(near & (roots[k + 1 :] != roots[k]))
+                found = ids[at[may_be_similar(counts[at], counts[k], similarity)]]
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), ids[k]), pa.int64()), pa.array(found, pa.int64())], ["u", "v"])
+
+    return keyed.repartition("key").sortWithinPartitions("key", "bits").mapInArrow(run, "u long, v long")
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) whose sets of shingles, by XXH64, have a Jaccard similarity of at least this."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                sets = [np.unique(shingle_hashes(t.as_py(), width)).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    sets = durable(texts.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>"))
+    left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "uv")
+    both = F.size(F.array_intersect("of_u", "of_v"))
+    least = F.lit(similarity - 1e-12) * (F.size("of_u") + F.size("of_v") - both)
+    return pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(both >= least).select("u", "v")
+
+
+def similar_links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Links (u, v) of doc_ids whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more.
+
+    Candidates are pairs of 256-bit SimHash fingerprints that share a key in some table and lie within the radius of
+    the similarity, see radius_for; each link is verified on the shingles.  First the links that make up each shard's
+    classes are verified, then every candidate whose ends that left in different classes, unless counts of the
+    shingles by parts of the hash space rule it out, which they do for no true one.  So the links' classes are
+    those of all true candidates, while a group of near copies doesn't cost all its pairs.  Texts with equal sets of
+    shingles link to the smallest doc_id first, so that a shard holds no copies.
+    """
+    radius = radius_for(similarity)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).where("doc_id is not null")
+    made = durable(similar_prints(texts, width))
+    heads = durable(made.groupBy("same").agg(F.min("doc_id").alias("head"), *[F.first(x).alias(x) for x in ("bits", "counts", "keys")]))
+    copies = made.join(heads.select("same", "head"), "same").where("doc_id <> head")
+    heads = heads.select(F.col("head").alias("doc_id"), "bits", "counts", "keys")
+    forest = durable(forest_links(heads.select(F.explode("keys").alias("key"), "bits", "doc_id"), radius))
+    tried = durable(ordered(forest))
+    links = durable(verified(tried, texts, width, similarity))
+    roots = components(links).select(F.col("node").alias("doc_id"), "root")
+    touched = forest.select("key", F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    touched = touched.join(roots.hint("merge"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    touched = durable(touched)
+    mixed = touched.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    open_rows = touched.join(mixed.hint("merge"), "key", "left_semi").join(heads.drop("keys").hint("merge"), "doc_id")
+    cross = cross_links(open_rows.select("key", "bits", "counts", "doc_id", "root"), radius, similarity)
+    rest = durable(ordered(cross).join(tried.hint("merge"), ["u", "v"], "left_anti"))
+    links = links.unionByName(verified(rest, texts, width, similarity))
+    return links.unionByName(copies.select(F.col("doc_id").alias("u"), F.col("head").alias("v")))
 
 
 def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -141,6 +141,58 @@ def test_near_dedup_finds_similar_texts(spark):
     assert len(kept) <= 42
 
 
+def jaccard(a, b, width=5):
+    a, b = ({tuple(x[i : i + width]) for i in range(max(1, len(x) - width + 1))} for x in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_is_by_exact_similarity(spark):
+    """Pairs at 0.8 or a little more end as one document, pairs at 0.7 or a little more stay two, in a chain as well."""
+    rng = np.random.default_rng(2)
+    rows, alike = [], {}
+    for g in range(200):
+        base = [f"w{i}" for i in rng.integers(0, 5000, 400)]
+        copy, low = list(base), 0.7 if g % 2 else 0.8
+        for at in rng.permutation(400):
+            at_once = [*copy[:at], f"new{g}", *copy[at + 1 :]]
+            if jaccard(" ".join(base), " ".join(at_once)) >= low:
+                copy = at_once
+        alike[2 * g] = jaccard(" ".join(base), " ".join(copy))
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+    kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(i in kept for i in alike)
+    assert all(i + 1 in kept for i, a in alike.items() if a < 0.8)
+    found = [i + 1 not in kept for i, a in alike.items() if a >= 0.8]
+    assert len(found) == 100 and sum(found) >= 95
+
+
+def test_part_counts_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(8)
+    for size in (1, 5, 60, 400, 3000):
+        for _ in range(60):
+            x = rng.integers(0, 2**64, 2 * size, dtype=np.uint64)
+            a, b = np.unique(x[:size]), np.unique(x[(at := int(rng.integers(size // 4 + 1))) : at + size])
+            alike = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            counts = simhash.part_counts(a)[None]
+            assert alike < 0.8 or simhash.may_be_similar(counts, simhash.part_counts(b), 0.8)[0]
+    assert not simhash.may_be_similar(simhash.part_counts(x[:300])[None], simhash.part_counts(x[60:360]), 0.8)[0]
+
+
+def test_near_dedup_joins_what_only_some_member_matches(spark):
+    """A member that the first tried partner fails is still linked by another: classes are those of all true pairs."""
+    rng = np.random.default_rng(4)
+    line = [f"w{i}" for i in rng.integers(0, 5000, 400)]
+    rows = [(0, " ".join(line))]
+    for i in range(1, 12):
+        line = list(line)
+        for at in range(4):
+            line[33 * i + 7 * at] = f"step{i}"
+        rows.append((i, " ".join(line)))
+    assert all(jaccard(rows[i][1], rows[i + 1][1]) >= 0.85 for i in range(11)) and jaccard(rows[0][1], rows[11][1]) < 0.5
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r["doc_id"] for r in kept] == [0]
+
+
 def test_large_near_group_ends_in_few(spark):
     """Runs of one shard hand their classes on: a group far longer than a run becomes one."""
     values = [1 << (i % 200) for i in range(200)]
