@@ -23,15 +23,21 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, ap
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, in the folder that the cluster names in spark.checkpoint.dir.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """This run's part of the folder that the cluster names in spark.checkpoint.dir.
 
     Only where a session names none, and runs in one process, a temporary folder takes its place.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         named = context.getConf().get("spark.checkpoint.dir")
         if not named and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="rallyline-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
