@@ -1,33 +1,39 @@
 """Document fingerprints by invertible Bloom lookup sketches, with DataFrame functions alone.
 
 A paragraph (line) has a 64-bit digest; a sketch adds each digest to one cell in each of three sub-tables, a cell being
-a count, the digests' exclusive or and that of their check hashes.  Sketches of two versions subtract cell by cell, so
-common paragraphs vanish, and peeling takes a cell that holds one digest, notes it, and removes it from its other cells
-until all cells are empty.  A failed peeling is tried again with four times the cells, see WIDTHS.
+a count, the digests' exclusive or and that of their check hashes.  Empty cells aren't stored.  A document's fingerprint
+is its sketch, written out; the width of a sub-table is the power of two that its number of paragraphs asks for.
 
-A pair of long documents is parted into buckets by digest, each with a sketch of its own, so the work is linear in the
-paragraphs.  The likeness of two versions is that of their sets of paragraphs, common / all, from the two counts and the
-number of digests that peeling recovers.
+Two fingerprints subtract cell by cell, after the wider one is folded to the other's width, so common paragraphs vanish.
+Peeling then takes a cell that holds one digest, notes it with its side, and removes it from its other cells until all
+cells are empty.  Where that fails, both documents are sketched again at four times the width, and so on.  The likeness
+of two fingerprints is common / all paragraphs, from the two counts and the number of digests recovered.
 
-Defined results: null text counts as empty, which is one empty paragraph; repeated paragraphs count once; of rows that
-repeat a doc_id each has a next one, in the order of their texts' hashes; a null doc_id is the smallest; a single
-document is its own next one; an empty table gives no rows; other columns are ignored, whatever their names.
+Building, subtracting and removing are one step, `gathered`: cells are put in order of place and those of one place are
+added up, so each is n log n in the cells.
+
+Defined results: null text counts as empty, which is one empty paragraph; repeated paragraphs count once; rows that
+repeat both a doc_id and a text are one document; of other rows that repeat a doc_id each has a next one, in falling
+order of their texts' hashes; a null doc_id is the smallest; a single document is its own next one; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Differing digests of a bucket on average at most; widths of the sub-tables, tried in turn; rounds of a peeling;
-#: width for the digest of a single document's sketch.
-BUCKET, WIDTHS, ROUNDS, ALONE = 12, (16, 64, 256), 12, 8
-#: Documents of one range of ids, about, and ranges at most (their heads are broadcast by id, 16 bytes each).
-RANGE, RANGES = 1024, 4096
+from rallyline.llm.common import durable
+
+#: Least width of a sub-table; widths tried again after a failure, as multiples; rounds of a peeling.
+LEAST, AGAIN, ROUNDS = 8, (4, 16, 64), 24
+#: What stands for a null doc_id in the order of ids.
 FIRST = -(2**63)
+#: Bits of an order's key that one step of the search for next documents settles, see successors.
+STEPS = (12, 13, 13, 13, 13)
+CELLS = "array<struct<p: bigint, n: int, x: bigint, c: bigint>>"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -42,152 +48,189 @@ def check(digest: Column) -> Column:
     return F.xxhash64(F.lit("check"), digest)
 
 
-def _place(digest: Column, table: Column | int, width: int) -> Column:
-    """Position in a sub-table, from 21 bits of the digest for each."""
-    bits = F.shiftrightunsigned(digest, 0)
-    if isinstance(table, Column):
-        bits = F.when(table == 0, bits).when(table == 1, F.shiftrightunsigned(digest, 21)).otherwise(F.shiftrightunsigned(digest, 42))
-    return bits.bitwiseAND(F.lit(width - 1))
+def cell(p: Column, n: Column, x: Column, c: Column) -> Column:
+    return F.struct(p.cast("long").alias("p"), n.cast("int").alias("n"), x.alias("x"), c.alias("c"))
 
 
-def _at(k: Column, i: Column, width: int) -> Column:
-    return _place(k["d"], F.floor(i / F.lit(width)), width) == i.bitwiseAND(F.lit(width - 1))
+def width_for(n: Column) -> Column:
+    """The least power of two that is LEAST and n at least."""
+    bits = F.ceil(F.log2(F.greatest(n, F.lit(LEAST)).cast("double"))).cast("int")
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bits)
 
 
-def _merge(cell: Column, key: Column, sign: int) -> Column:
-    """The cell with a key added (sign 1) or taken out (sign -1)."""
-    return F.struct(
-        (cell["n"] + sign * key["s"]).alias("n"), cell["x"].bitwiseXOR(key["d"]).alias("x"), cell["c"].bitwiseXOR(key["c"]).alias("c")
-    )
+def places(digest: Column, width: Column) -> list[Column]:
+    """One in each sub-table, from 21 bits of the digest each; a place is 2^21 times the table's number and the cell."""
+    low = width - 1
+    return [F.shiftrightunsigned(digest, 21 * t).bitwiseAND(low) + (t << 21) for t in range(3)]
 
 
-def sketch(keys: Column, width: int) -> Column:
-    """Cells (n, x, c) of the three sub-tables one after the other, from keys (s, d, c): sign, digest, check."""
-    empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("c"))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(3 * width - 1)),
-        lambda i: F.aggregate(F.filter(keys, lambda k: _at(k, i, width)), empty, lambda cell, k: _merge(cell, k, 1)),
-    )
+def gathered(cells: Column) -> Column:
+    """Cells in order of place, those of one place added up and empty ones left out."""
+
+    def runs(of: Column) -> Column:
+        n = F.size(of)
+        starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(of, i - 1)["p"] != F.get(of, i - 2)["p"]))
+
+        def one(start: Column, stop: Column) -> Column:
+            return F.aggregate(
+                F.slice(of, start + 1, stop - start - 1),
+                F.get(of, start - 1),
+                lambda a, b: F.struct(
+                    a["p"].alias("p"), (a["n"] + b["n"]).alias("n"), a["x"].bitwiseXOR(b["x"]).alias("x"), a["c"].bitwiseXOR(b["c"]).alias("c")
+                ),
+            )
+
+        made = let(starts, lambda s: F.transform(s, lambda start, j: one(start, F.coalesce(F.get(s, j + 1), n + 1))))
+        return F.filter(made, lambda c: (c["n"] != 0) | (c["x"] != 0) | (c["c"] != 0))
+
+    return F.when(F.size(cells) < 2, cells).otherwise(let(F.sort_array(cells), runs))
+
+
+def entries(digest: Column, sign: Column, width: Column) -> Column:
+    return let(check(digest), lambda c: F.array(*[cell(p, sign, digest, c) for p in places(digest, width)]))
+
+
+def sketch(of: Column, width: Column) -> Column:
+    """Cells (p, n, x, c) of an array of distinct digests."""
+    return gathered(F.flatten(F.transform(of, lambda d: entries(d, F.lit(1), width))))
+
+
+def folded(cells: Column, width: Column) -> Column:
+    """The cells of a sketch at a smaller width."""
+    table = F.lit(-(1 << 21)).cast("long")
+    return F.transform(cells, lambda k: cell(k["p"].bitwiseAND(table) + k["p"].bitwiseAND(width - 1), k["n"], k["x"], k["c"]))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(
-        a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["x"].bitwiseXOR(y["x"]).alias("x"), x["c"].bitwiseXOR(y["c"]).alias("c"))
-    )
+    return gathered(F.concat(a, F.transform(b, lambda k: cell(k["p"], -k["n"], k["x"], k["c"]))))
 
 
-def peel(cells: Column, width: int) -> Column:
-    """The digests (s, d, c) that a sketch holds, s their side; null where cells are left that hold no single one."""
+def peel(cells: Column, width: Column) -> Column:
+    """The digests (s, d) that a sketch holds, s their side (1 or -1); null where cells are left that hold no single one."""
 
     def step(state: Column, _: Column) -> Column:
-        single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (check(c["x"]) == c["c"]))
-        keys = F.array_distinct(F.transform(single, lambda c: F.struct(c["n"].alias("s"), c["x"].alias("d"), c["c"].alias("c"))))
+        single = F.filter(state["cells"], lambda k: (F.abs(k["n"]) == 1) & (check(k["x"]) == k["c"]))
+        keys = F.array_distinct(F.transform(single, lambda k: F.struct(k["n"].alias("s"), k["x"].alias("d"))))
 
         def without(found: Column) -> Column:
-            left = F.transform(
-                state["cells"],
-                lambda c, i: F.aggregate(F.filter(found, lambda k: _at(k, i, width)), c, lambda cell, k: _merge(cell, k, -1)),
-            )
-            return F.when(F.size(found) == 0, state).otherwise(
-                F.struct(left.alias("cells"), F.concat(state["keys"], found).alias("keys"))
-            )
+            out = F.flatten(F.transform(found, lambda k: entries(k["d"], -k["s"], width)))
+            return F.struct(gathered(F.concat(state["cells"], out)).alias("cells"), F.concat(state["keys"], found).alias("keys"))
 
-        return let(keys, without)
+        stuck = F.struct(state["cells"].alias("cells"), state["keys"].alias("keys"))
+        return F.when(F.size(state["cells"]) == 0, stuck).otherwise(
+            let(keys, lambda found: F.when(F.size(found) == 0, stuck).otherwise(without(found)))
+        )
 
-    none = F.array().cast("array<struct<s: int, d: bigint, c: bigint>>")
-    start = F.struct(cells.alias("cells"), none.alias("keys"))
+    none = F.array().cast("array<struct<s: int, d: bigint>>")
+    start = F.struct(cells.cast(CELLS).alias("cells"), none.alias("keys"))
     end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
-    return let(end, lambda e: F.when(~F.exists(e["cells"], lambda c: (c["n"] != 0) | (c["x"] != 0)), e["keys"]))
+    return let(end, lambda e: F.when(F.size(e["cells"]) == 0, e["keys"]))
 
 
-def difference(a: Column, b: Column) -> Column:
-    """How many digests are in just one of two arrays of distinct digests, recovered by peeling their sketches."""
+def with_difference(rows: DataFrame, one: str, two: str, out: str) -> DataFrame:
+    """Adds `out`: the digests in just one of two documents (s: 1 the first's, -1 the second's), by peeling.
 
-    def keys(of: Column, side: int) -> Column:
-        return F.transform(of, lambda d: F.struct(F.lit(side).alias("side"), F.lit(1).alias("s"), d.alias("d"), check(d).alias("c")))
+    one and two name columns of `document`: the sketches that they hold are subtracted first.  What no width resolves is
+    told digest by digest.
+    """
+    a, b = F.col(one), F.col(two)
+    narrow, wide = F.least(a["width"], b["width"]), F.greatest(a["width"], b["width"])
+    rows = rows.withColumn("_narrow", narrow)
+    rows = rows.withColumn("_cells", subtract(folded(a["cells"], F.col("_narrow")), folded(b["cells"], F.col("_narrow"))))
+    rows = rows.withColumn(out, peel(F.col("_cells"), F.col("_narrow")))
+    for times in AGAIN:  # a step of its own for each, so that what isn't needed isn't made
+        rows = rows.withColumn("_wide", F.least(wide * times, F.lit(1 << 21)))
+        wider = peel(subtract(sketch(a["digests"], F.col("_wide")), sketch(b["digests"], F.col("_wide"))), F.col("_wide"))
+        rows = rows.withColumn(out, F.when(F.col(out).isNotNull(), F.col(out)).otherwise(wider))
+    side = lambda x, y, s: F.transform(F.array_except(x, y), lambda d: F.struct(F.lit(s).alias("s"), d.alias("d")))
+    told = F.concat(side(a["digests"], b["digests"], 1), side(b["digests"], a["digests"], -1))
+    return rows.withColumn(out, F.when(F.col(out).isNotNull(), F.col(out)).otherwise(told)).drop("_narrow", "_wide", "_cells")
 
-    def in_bucket(group: Column) -> Column:
-        def attempt(width: int) -> Column:
-            one, two = F.filter(group, lambda k: k["side"] == 0), F.filter(group, lambda k: k["side"] == 1)
-            found = peel(subtract(sketch(one, width), sketch(two, width)), width)
-            return let(found, lambda keys: F.when(keys.isNotNull(), F.size(keys)))
 
-        # what no sketch resolves is counted as it is: digests that the bucket holds once
-        once = F.size(F.filter(group, lambda k: F.size(F.filter(group, lambda o: o["d"] == k["d"])) == 1))
-        return F.coalesce(*[attempt(w) for w in WIDTHS], once)
+def with_likeness(rows: DataFrame, one: str, two: str, out: str) -> DataFrame:
+    """Adds `out`: common paragraphs / all paragraphs, from the counts and the recovered difference."""
+    rows = with_difference(rows, one, two, out)
+    both, d = F.size(F.col(one)["digests"]) + F.size(F.col(two)["digests"]), F.size(out)
+    return rows.withColumn(out, (both - d) / (both + d))
 
-    n = F.ceil((F.size(a) + F.size(b)) / F.lit(BUCKET))
-    both = F.concat(keys(a, 0), keys(b, 1))
-    dealt = F.sort_array(F.transform(both, lambda k: F.struct(F.pmod(k["c"], n).alias("b"), k.alias("k"))))
 
-    def total(rows: Column) -> Column:
-        names = F.transform(rows, lambda r: r["b"])
+def document(text: Column) -> Column:
+    """(width, cells, digests) of a text."""
 
-        def per_bucket(bs: Column) -> Column:
-            backwards = F.reverse(bs)
+    def made(of: Column) -> Column:
+        return let(width_for(F.size(of)), lambda w: F.struct(w.alias("width"), sketch(of, w).alias("cells"), of.alias("digests")))
 
-            def one(b: Column) -> Column:
-                start = F.array_position(bs, b)
-                stop = F.size(bs) - F.array_position(backwards, b) + 1
-                group = F.transform(F.slice(rows, start.cast("int"), (stop - start + 1).cast("int")), lambda r: r["k"])
-                return let(group, in_bucket)
+    return let(digests(text), made)
 
-            return F.aggregate(F.array_distinct(bs), F.lit(0), lambda sum_, b: sum_ + one(b))
 
-        return let(names, per_bucket)
+def fingerprint(of: Column) -> Column:
+    """A document's sketch as a string: width, then place:count:digests:checks of each cell; see parsed."""
+    cells = F.transform(of["cells"], lambda k: F.concat_ws(":", k["p"], k["n"], F.hex(k["x"]), F.hex(k["c"])))
+    return F.concat_ws(";", of["width"].cast("string"), F.array_join(cells, ";"))
 
-    return let(dealt, total)
 
+def parsed(print_: Column) -> Column:
+    """(width, cells) of a fingerprint, which subtract and peel take."""
+    parts = F.split(print_, ";")
+    number = lambda text: F.conv(text, 16, -10).cast("long")
 
-def likeness(a: Column, b: Column) -> Column:
-    """Common paragraphs / all paragraphs, from the counts and the recovered difference."""
-    both = F.size(a) + F.size(b)
-    return let(difference(a, b), lambda d: (both - d) / (both + d))
+    def one(part: Column) -> Column:
+        return let(F.split(part, ":"), lambda f: cell(f[0].cast("long"), f[1].cast("int"), number(f[2]), number(f[3])))
 
+    return let(parts, lambda s: F.struct(s[0].cast("long").alias("width"), F.transform(F.slice(s, 2, F.size(s)), one).alias("cells")))
 
-def fingerprint(of: Column) -> Column:
-    """The sketch of one document's digests as a string: its number of paragraphs and a hash of its cells."""
-    keys = F.transform(of, lambda d: F.struct(F.lit(1).alias("s"), d.alias("d"), check(d).alias("c")))
-    cells = F.transform(sketch(keys, ALONE), lambda c: F.concat_ws(":", c["n"], F.hex(c["x"])))
-    return F.concat(F.size(of).cast("string"), F.lit("-"), F.md5(F.array_join(cells, ",")))
+
+def successors(keys: DataFrame) -> DataFrame:
+    """Rows (k, h, next_k, next_h): of distinct pairs (k, h), the next one in falling order; the first after the last.
+
+    The order is found by parts of the key's bits, from the lowest up: within an interval of keys each pair's next one is
+    the one below; the interval's least pair is followed by the greatest one of the next interval that isn't empty,
+    which the step above finds in the same way.  So no window holds more than 2^13 intervals (2^20 for one k), and
+    nothing is gathered anywhere.
+    """
+    top = F.struct(F.col("k").alias("k"), F.col("h").alias("h"))
+    # unsigned order, so that plain shifts keep it
+    rows = keys.select(
+        F.col("k").bitwiseXOR(F.lit(FIRST)).alias("u"), F.col("h").bitwiseXOR(F.lit(FIRST)).alias("v"), top.alias("hi"), top.alias("lo")
+    )
+    links: DataFrame | None = None
+
+    def step(rows: DataFrame, group: list[Column], order: list[Column], names: list[str]) -> DataFrame:
+        nonlocal links
+        rows = rows.select("*", *[g.alias(f"g{i}") for i, g in enumerate(group)])
+        by = [f"g{i}" for i in range(len(group))]
+        down = Window.partitionBy(*by).orderBy(*order)
+        found = rows.select("lo", F.lead("hi").over(down).alias("hi")).where("hi IS NOT NULL")
+        links = found if links is None else links.unionByName(found)
+        up = rows.groupBy(*by).agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"))
+        return durable(up.select(*[F.col(b).alias(n) for b, n in zip(by, names, strict=True)], "hi", "lo"))
+
+    v = F.shiftrightunsigned("v", 44)
+    unsigned = lambda c: F.col(c).bitwiseXOR(F.lit(FIRST)).desc()
+    rows = step(rows, [F.col("u"), v], [unsigned("v")], ["u", "v"])
+    rows = step(rows, [F.col("u")], [F.col("v").desc()], ["u"])
+    for bits in STEPS:
+        rows = step(rows, [F.shiftrightunsigned("u", bits)], [unsigned("u")], ["u"])
+    ends = rows.select("lo", "hi")  # one row: all keys are one interval
+    every = links.unionByName(ends)
+    return every.select(F.col("lo.k").alias("k"), F.col("lo.h").alias("h"), F.col("hi.k").alias("next_k"), F.col("hi.h").alias("next_h"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, next_text): the next row's text in falling order of doc_id, the first row's after the last.
+    """Rows (doc_id, text, own, next_text, other): a document, and the next one in falling order of doc_id.
 
-    Ids are cut into ranges of about equal counts; each range also gets the head of the range below as its last row, so
-    no order over all rows is needed.
+    own and other are their `document`.  Only ids and hashes take part in the search; a text moves to its number, and
+    once more to the document before it.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("k"), text.alias("text")
-    )
-    ids = rows.select("k", F.col("k").cast("double").alias("as_double"))
-    count = ids.count()
-    n = max(1, min(RANGES, count // RANGE))
-    cuts = []
-    if n > 1:
-        shares = F.lit([i / n for i in range(1, n)])
-        cuts = sorted(set(ids.agg(F.percentile_approx("as_double", shares, F.lit(20 * n)).alias("q")).first()["q"]))
-    splits = [float("-inf"), *cuts, float("inf")]
-
-    def ranged(df: DataFrame) -> DataFrame:
-        if not cuts:
-            return df.withColumn("part", F.lit(0.0))
-        return Bucketizer(splits=splits, inputCol="as_double", outputCol="part").transform(df)
-
-    heads = ranged(ids).groupBy("part").agg(F.max("k").alias("head"))
-    down = Window.orderBy("part")
-    heads = heads.select(
-        "head", F.coalesce(F.lead("part").over(down), F.min("part").over(Window.partitionBy())).alias("to")
-    )
-    mark = F.xxhash64("text")
-    tops = rows.join(F.broadcast(heads), F.col("k") == F.col("head")).groupBy("to", "k").agg(F.max_by("text", mark).alias("text"))
-    tops = tops.select(F.lit(None).cast("long").alias("doc_id"), "k", "text", F.col("to").alias("part"), F.lit(1).alias("kind"))
-    own = ranged(rows.withColumn("as_double", F.col("k").cast("double"))).select("doc_id", "k", "text", "part", F.lit(0).alias("kind"))
-    order = Window.partitionBy("part").orderBy("kind", F.col("k").desc(), mark.desc())
-    all_rows = own.unionByName(tops).withColumn("next_text", F.lead("text").over(order))
-    return all_rows.where("kind = 0").select("doc_id", "text", "next_text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(FIRST)).alias("k"), F.xxhash64("text").alias("h"), "text")
+    after = durable(successors(durable(rows.select("k", "h").distinct())))
+    own = rows.join(after.hint("merge"), ["k", "h"])
+    # the first row of each pair; told by lag, so that both uses of rows are one exchange
+    same = Window.partitionBy("k", "h").orderBy("doc_id")
+    other = rows.withColumn("again", F.lag(F.lit(True)).over(same)).where("again IS NULL")
+    other = other.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("text").alias("next_text"))
+    return own.join(other.hint("merge"), ["next_k", "next_h"]).select("doc_id", "text", "next_text")
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -204,13 +247,21 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-        digests(F.col("text")).alias("own"),
-        digests(F.col("edited")).alias("new"),
-        digests(F.col("next_text")).alias("other"),
+        document(F.col("text")).alias("own"),
+        document(F.col("edited")).alias("new"),
+        document(F.col("next_text")).alias("other"),
     )
-    own, new, other = F.col("own"), F.col("new"), F.col("other")
+    rows = with_likeness(with_likeness(rows, "own", "new", "near_edited"), "own", "other", "near_next")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256",
-        fingerprint(own).alias("fingerprint"), fingerprint(new).alias("edited_fingerprint"),
-        likeness(own, new).alias("near_edited"), likeness(own, other).alias("near_next"),
+        fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("new")).alias("edited_fingerprint"),
+        "near_edited", "near_next",
     )
+
+
+def differing(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, and the paragraph digests that its text and the next one's don't share, by side."""
+    rows = with_next(docs).select("doc_id", document(F.col("text")).alias("own"), document(F.col("next_text")).alias("other"))
+    found = with_difference(rows, "own", "other", "d")
+    of = lambda s: F.transform(F.filter("d", lambda k: k["s"] == s), lambda k: k["d"])
+    return found.select("doc_id", of(1).alias("only_own"), of(-1).alias("only_next"))
