@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rallyline.session import checkpoint_dir, durable
+
+__all__ = ["ROW", "ascii_lower", "components", "durable", "numbered", "settled", "stored", "table"]
+
+#: The name of a row's number among a table's own columns.
+ROW = "_rl_row"
 #: The white space of every contract, U+0020 and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
@@ -19,31 +24,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table of their own in the run's part of the shared folder, for whole documents or many rows."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
-    Only where a session names none, and runs in one process, a temporary folder takes its place.
-    """
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="rallyline-checkpoint-"))
-    return context.getCheckpointDir()
 
+def settled(docs: DataFrame) -> DataFrame:
+    """docs, or a stored copy where its plan shuffles: then it might give its rows in another order when it is read again.
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    A scan, also one that is filtered or mapped, gives each of its splits' rows in their order.
+    """
+    return stored(docs) if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table of their own in the shared folder, for whole documents."""
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, the same whenever docs is read; see settled for docs that are shuffled."""
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 
 def ascii_lower(text: Column) -> Column:

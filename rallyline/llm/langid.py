@@ -14,7 +14,6 @@ empty table gives no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -36,7 +35,11 @@ FAMILIES = {
 FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs.split()}
 #: Hashed features; documents of a language that the machines are fitted on, about.
 DIM, PER_LANGUAGE = 2048, 800
-LETTER = re.compile(r"[^\W\d_]").search
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of the categories L is in the text."""
+    return any(map(str.isalpha, text))
 
 
 def features(text: str) -> np.ndarray:
@@ -137,7 +140,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() for t in batch.column(1)]
-            keep = [i for i, t in enumerate(texts) if LETTER(t)]
+            keep = [i for i, t in enumerate(texts) if has_letter(t)]
             made = [features(texts[i]).astype(np.float16).tobytes() for i in keep]
             langs = [batch.column(0)[i].as_py() for i in keep]
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(made, pa.binary())], ["lang", "x"])
@@ -161,7 +164,7 @@ def predicted(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
                 part = batch.slice(k, 512)
                 texts = [t.as_py() for t in part.column(2)]
                 names, scores = ["und"] * len(texts), [0.0] * len(texts)
-                keep = [i for i, t in enumerate(texts) if model and t and LETTER(t)]
+                keep = [i for i, t in enumerate(texts) if model and t and has_letter(t)]
                 if keep:
                     found, sure = model.predict(np.stack([features(texts[i]) for i in keep]))
                     for i, name, s in zip(keep, found, sure, strict=True):

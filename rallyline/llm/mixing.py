@@ -2,14 +2,18 @@
 
 Targets: sources in code point order (null last) weigh 3, 1, 2, repeating, and share `total` times all words; a target
 stops at `most` times its source's size, and the excess is shared again by weight until none is above.  Equal-token
-blocks go to the highest quotients size / (2 s + 1): first to sources, then to the shards of each source, so a shard has
-an integer quota.  Highest quotients are found without listing them: a divisor gives every party its rounded share, and
-the few blocks that are then too many or too few go by the next quotients.  In a shard the quota takes whole passes over
-the documents first and then documents in a seeded order.
+blocks go to the highest quotients size / (2 s + 1): first to sources, then to groups of shards, then to the shards of
+each group, so a shard has an integer quota and no window holds more than a group's shards or a source's groups.
+Highest quotients are found without listing them: a divisor gives every party its rounded share, and the few blocks that
+are then too many or too few go by the next quotients.
+
+In a shard the quota first takes whole passes over all words.  Then its documents are cut into blocks of BLOCK words (a
+document's last may be shorter), which are selected in a seeded order until the quota is full; of the block that goes
+over it, the first words are taken.
 
 Defined results: null or empty text has size 0 and none of it is taken; null is a source of its own, the last; rows that
-repeat a doc_id count each, ties in the seeded order go by doc_id and size; an empty table gives no rows; other columns
-are ignored, whatever their names.
+repeat a doc_id count each, and which of equal rows gives a block doesn't matter; an empty table gives no rows; other
+columns are ignored, whatever their names.  A shard holds some SHARD documents, but all rows of one doc_id and one text.
 """
 
 from __future__ import annotations
@@ -17,16 +21,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rallyline.llm.common import WORD_CLASS, durable
+from rallyline.llm.common import ROW, WORD_CLASS, durable, numbered, settled
 
 #: The repeating weights, the share of all words, and how often a source may be taken.
 WEIGHTS, TOTAL, MOST = (3, 1, 2), 1.5, 2
-#: Words of a block, and documents of a shard, about.
-BLOCK, SHARD = 16, 2048
+#: Words of a block; documents of a shard, about; shards of a group.
+BLOCK, SHARD, GROUP = 64, 2048, 1024
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select(
+def sizes(docs: DataFrame, seed: int) -> DataFrame:
+    return numbered(docs).select(
+        F.col(ROW).alias("row"),
+        F.xxhash64(F.lit(seed), "doc_id", "text").alias("mark"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD_CLASS)), F.lit(0)).cast("long").alias("size"),
@@ -82,40 +88,50 @@ def apportion(parties: DataFrame, votes: str, seats: Column, within: list[str],
 
 
 def mixed(docs: DataFrame, seed: int = 42, block: int = BLOCK, per_shard: int = SHARD) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken."""
-    rows = durable(sizes(docs))
-    shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(max(1, -(-rows.count() // per_shard))))
-    rows = rows.withColumn("shard", shard)
-    shards = durable(rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size")))
-    goals = targets(shards.groupBy("source").agg(F.sum("shard_size").alias("source_size")))
+    """One row per row of docs: row, doc_id, source, size, source_size, target, taken."""
+    rows = durable(sizes(docs, seed))
+    n = max(1, -(-rows.count() // per_shard))
+    rows = rows.withColumn("shard", F.pmod("mark", F.lit(n)))
+    group = F.floor(F.col("shard") / F.lit(GROUP)).cast("long").alias("group")
+    shards = durable(rows.groupBy("source", "shard", group).agg(F.sum("size").alias("shard_size")))
+    groups = durable(shards.groupBy("source", "group").agg(F.sum("shard_size").alias("group_size")))
+    goals = targets(groups.groupBy("source").agg(F.sum("group_size").alias("source_size")))
     blocks = F.ceil(F.sum("target").over(Window.partitionBy()) / block)
-    goals = apportion(goals, "target", blocks, [], ["source"], "source_blocks")
-    # every shard gets its source's words, so that the quotas of a source are one window of small rows
-    parts = shards.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    parts = apportion(parts, "shard_size", F.col("source_blocks"), ["source"], ["shard"], "blocks")
+    goals = apportion(goals, "target", blocks, [], ["source"], "source_blocks").withColumnRenamed("source", "s")
+    parts = groups.join(goals, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    parts = apportion(parts, "group_size", F.col("source_blocks"), ["source"], ["group"], "group_blocks")
+    parts = parts.select(F.col("source").alias("s"), F.col("group").alias("g"), "source_size", "target", "group_blocks")
+    quotas = shards.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("group") == F.col("g"))).drop("s", "g")
+    quotas = apportion(quotas, "shard_size", F.col("group_blocks"), ["source", "group"], ["shard"], "blocks")
     quotas = durable(
-        parts.select(
+        quotas.select(
             F.col("source").alias("s"), F.col("shard").alias("k"), "source_size", "target", "shard_size",
             F.least(F.col("blocks") * block, MOST * F.col("shard_size")).alias("quota"),
         )
     )
-    rows = rows.join(quotas, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("k")))
-    seeded = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), "doc_id", "size")
-    before = F.coalesce(F.sum("size").over(seeded.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     passes = F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(0)
-    rest = F.col("quota") - passes * F.col("shard_size")
-    taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    rows = rows.join(quotas, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("k")))
+    rows = rows.withColumn("passes", passes.cast("long")).drop("s", "k")
+    rest = F.col("quota") - F.col("passes") * F.col("shard_size")
+    cut = rows.where("size > 0").select(
+        "row", "source", "shard", "mark", rest.alias("rest"), "size",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / F.lit(block)))).alias("nth"),
+    )
+    words = F.least(F.lit(block), F.col("size") - F.col("nth") * block)
+    seeded = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), "mark", "nth"), "mark", "nth", "row")
+    before = F.coalesce(F.sum("words").over(seeded.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = cut.withColumn("words", words).withColumn("before", before).where("before < rest")
+    chosen = cut.groupBy("row").agg(F.sum(F.least(F.col("words"), F.col("rest") - F.col("before"))).alias("chosen"))
+    taken = F.col("passes") * F.col("size") + F.coalesce("chosen", F.lit(0))
+    return rows.join(chosen, "row", "left").select(
+        "row", "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken")
+    )
 
 
 def mixture(docs: DataFrame, seed: int = 42) -> DataFrame:
     """The rows of docs in whole copies: as many as round(taken / size), so a document may go or come twice."""
-    plan = mixed(docs, seed).where("taken > 0").select(
-        F.col("doc_id").alias("_rl_doc_id"), F.col("size").alias("_rl_size"),
-        F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_rl_copies"),
-    ).groupBy("_rl_doc_id", "_rl_size").agg(F.max("_rl_copies").alias("_rl_copies"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD_CLASS)), F.lit(0)).cast("long")
-    rows = docs.withColumn("_rl_words", size).join(
-        plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_rl_doc_id")) & (F.col("_rl_words") == F.col("_rl_size"))
-    )
-    return rows.withColumn("_rl_copy", F.explode(F.sequence(F.lit(1), F.col("_rl_copies")))).where("_rl_copies > 0").select(docs.columns)
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    docs = settled(docs)
+    plan = mixed(docs, seed).where("taken > 0").select(F.col("row").alias(ROW), copies.alias("_rl_copies")).where("_rl_copies > 0")
+    rows = numbered(docs).join(plan.hint("merge"), ROW)
+    return rows.withColumn("_rl_copy", F.explode(F.sequence(F.lit(1), F.col("_rl_copies")))).select(docs.columns)

@@ -5,8 +5,9 @@ as partial partitions of one item each; the two with the largest imbalance merge
 one with the emptiest of the other, until one partition is left, whose windows are nearly equal.  Where its fullest
 window exceeds the capacity, the number of windows rises and the shard is partitioned anew.
 
-Tokens are exact ids of the given tokenizer.  Its pre-tokenizer never joins what white space parts, so a worker encodes
-a distinct run of other characters once and looks it up after that; every id comes from the tokenizer or its model.
+Tokens are exact ids of the given tokenizer, whole texts by default.  Where the tokenizer's own description says that it
+lower-cases, drops white space and parts words in the known way (see KNOWN), a worker encodes each distinct run of other
+characters once and looks it up after that; every id comes from the tokenizer or its model.
 
 Defined results: null and empty texts have the end id alone; rows that repeat a doc_id are packed each; an empty table
 gives no rows; other columns are ignored, whatever their names.
@@ -15,6 +16,7 @@ gives no rows; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import struct
 import zlib
@@ -33,6 +35,32 @@ KEPT, SHARD = 600_000, 1024
 #: Printable ASCII and the letters of Latin-1, for which the pattern below parts a text as the tokenizer's does.
 PLAIN = re.compile(r"[\x21-\x7E\xC0-\xD6\xD8-\xF6\xF8-\xFF]+\Z").match
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
+#: The parts of a tokenizer's description by which its front end is the known one.
+KNOWN = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
 #: By the tokenizer's path, for the life of a worker.
 _known: dict = {}
 
@@ -88,17 +116,28 @@ class Runs(dict):
         return made
 
 
+def front_is_known(tokenizer) -> bool:
+    """Whether the tokenizer parts and folds text as KNOWN says, and white space parts none of its added tokens."""
+    made = json.loads(tokenizer.to_str())
+    added = all("<|" in t["content"] and len(t["content"].split()) == 1 for t in made["added_tokens"])
+    return added and made["model"]["type"] == "BPE" and all(made.get(k) == v for k, v in KNOWN.items())
+
+
 class Encoder:
     """Ids of a whole text as little-endian unsigned 32-bit numbers, the end id last."""
 
     def __init__(self, path: str, end_id: int) -> None:
         if path not in _known:
-            _known[path] = Runs(path)
-        self.runs = _known[path]
+            runs = Runs(path)
+            _known[path] = runs, front_is_known(runs.whole)
+        self.runs, self.known = _known[path]
         self.end = pack_ids([end_id])
 
     def __call__(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.runs.__getitem__, (text or b"").split())) + self.end
+        text = text or b""
+        if self.known:
+            return b"".join(map(self.runs.__getitem__, text.split())) + self.end
+        return pack_ids(self.runs.whole.encode(text.decode(), add_special_tokens=False).ids) + self.end
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
@@ -210,5 +249,7 @@ def packed(
         return pd.DataFrame(out, columns=["row", "sequence_id", "offset"])
 
     keyed = made.select("row", "doc_id", "start", "length", F.pmod(F.xxhash64("row"), F.lit(count)).alias("shard"))
-    placed = keyed.groupBy("shard").applyInPandas(pack, shape)
+    # dealt evenly by number, since adaptive execution would join the small shards to a few tasks
+    tasks = min(count, max(4 * docs.sparkSession.sparkContext.defaultParallelism, count // 64))
+    placed = keyed.repartition(tasks, "shard").groupBy("shard").applyInPandas(pack, shape)
     return made.join(placed, "row").drop("row")

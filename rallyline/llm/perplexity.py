@@ -1,104 +1,166 @@
-"""Quality by a language model: interpolated modified Kneser-Ney over characters, trained on trusted text.
+"""Quality by a language model: interpolated modified Kneser-Ney over character n-grams, trained on trusted text.
 
-Characters fall into 64 classes (see CLASSES), so four of them are a number below 2^24 and every table has a proven
-bound, whatever the corpus.  Counts come from every trusted document: each task counts its own, and the counts meet by
-hash; joins on the context's and the n-gram's hash shards give discounted shares and back-off weights.  The finished
-tables (at most 2^24 shares, some hundred thousand in practice) are broadcast, and a document's perplexity is scored
-where it lies.  A threshold for each language is a high quantile of the trusted documents' own perplexities, and a
-short text, whose perplexity is mostly chance, is allowed a little more.
+Every table of the model is a DataFrame keyed by the n-gram itself, a string of 1 to 4 characters of any script: counts
+of the highest order from the trusted documents, continuation counts of each lower order by grouping the order above,
+contexts' totals and back-off weights by grouping again, probabilities by joining each order with the one below.  All of
+them are dealt by n-gram or context, so none is gathered or broadcast.
 
-Trusted documents are those with label quality 1.  Their text moves compressed, once, to meet the labels.
+Documents are scored by count joins as well.  Consecutive rows make blocks of some 8 MB of text; a block's distinct
+n-grams, far fewer than its characters, are joined with the tables, and the probabilities come back to the block, where
+each document's perplexity is that of its own n-grams.  So each text moves once, and n-grams move once for each block,
+not once for each document.
+
+Trusted documents are those with label quality 1.  A threshold for each language is a high quantile of their own
+perplexities; a short text, whose perplexity is mostly chance, is allowed a little more.
+
+Digits count as one character and so do all kinds of white space; everything else counts as it stands.
 
 Defined results: null or empty text has no perplexity and is rejected; a language without trusted documents (or a null
 one) takes the quantile of all trusted documents; without any, nothing but empty text is rejected; rows that repeat a
-doc_id are judged each; labels that repeat count once; an empty table gives no rows; other columns are ignored.
+doc_id are judged each; labels that repeat count once, and rows without an id are trusted by none; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallyline.llm.common import durable
+from rallyline.llm.common import ROW, durable, numbered, settled, stored
 
 ORDER = 4
+#: Characters that are counted at a time, and bytes of text of a block.
+CHUNK, BLOCK = 1 << 20, 8 << 20
 #: Of the trusted documents of a language, the share whose perplexity is under the threshold; accuracy of the quantile;
 #: what a text of n characters is allowed for chance, as exp(CHANCE / sqrt(n)) times the threshold.
 QUANTILE, ACCURACY, CHANCE = 0.995, 10_000, 2.0
+#: Bits of the filter that spares text without a label the way to the labels.
+FILTER = 1 << 23
+MIXER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _classes() -> np.ndarray:
-    """Class of a code point below 256: a-z, capitals, digits, white space, full stop, comma, then U+00DF to U+00FD."""
-    table = np.full(257, 63, np.uint32)
-    table[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    table[ord("A") : ord("Z") + 1] = 27
-    table[0xC0:0xDF] = 27
-    table[ord("0") : ord("9") + 1] = 28
-    table[[9, 10, 11, 12, 13, 32]] = 29
-    table[[ord("."), ord(",")]] = 30, 31
-    table[0xDF:0xFE] = np.arange(32, 63)
+def _folded() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    table[[0, *range(9, 14)]] = ord(" ")
+    table[ord("0") : ord("9") + 1] = ord("0")
     return table
 
 
-#: Class 0 stands before the text, class 63 for all other characters.
-CLASSES = _classes()
-
-
-def classes(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    return CLASSES[np.minimum(points, 256)]
-
-
-def grams(of: np.ndarray) -> np.ndarray:
-    """The 4-grams that end at each character, as 24-bit numbers."""
-    padded = np.concatenate([np.zeros(ORDER - 1, np.uint32), of])
-    return (padded[:-3] << 18) | (padded[1:-2] << 12) | (padded[2:-1] << 6) | padded[3:]
-
-
-def trusted_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (packed): the compressed character classes of documents with label quality 1."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+FOLDED = _folded()
+
+
+def code_points(text: str | None) -> np.ndarray:
+    points = np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32)
+    return np.where(points < 256, FOLDED[np.minimum(points, 255)], points)
+
+
+def chunks(texts: Iterable[str | None], size: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Code points of many texts end to end and the text that each belongs to, -1 for those that are context alone.
+
+    Zeros stand before a text, and where a long one is cut its last characters are repeated.
+    """
+    held: list[np.ndarray] = []
+    owners: list[np.ndarray] = []
+    n = 0
+    for i, text in enumerate(texts):
+        points, context = code_points(text), np.zeros(ORDER - 1, np.uint32)
+        for k in range(0, len(points), size):
+            body = points[k : k + size]
+            held += [context, body]
+            owners += [np.full(ORDER - 1, -1), np.full(len(body), i)]
+            context = np.concatenate([context, body])[1 - ORDER :]
+            n += len(body)
+            if n >= size:
+                yield np.concatenate(held), np.concatenate(owners)
+                held, owners, n = [], [], 0
+    if n:
+        yield np.concatenate(held), np.concatenate(owners)
+
+
+def gram_keys(points: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the n-gram that ends at each point from the ORDER-th on."""
+    n = len(points) - ORDER + 1
+    keys = np.zeros(n, np.uint64)
+    for j in range(ORDER):
+        keys = (keys ^ points[j : j + n]) * MIXER
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def distinct_grams(texts: Iterable[str | None]) -> tuple[list[str], np.ndarray]:
+    """The n-grams of the texts, each once, and their counts."""
+    keys, counts, codes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, ORDER), np.uint32)
+    for points, owners in chunks(texts):
+        ends = np.flatnonzero(owners[ORDER - 1 :] >= 0)
+        new, at, n = np.unique(gram_keys(points)[ends], return_index=True, return_counts=True)
+        keys, first, of = np.unique(np.concatenate([keys, new]), return_index=True, return_inverse=True)
+        codes = np.concatenate([codes, np.lib.stride_tricks.sliding_window_view(points, ORDER)[ends[at]]])[first]
+        counts = np.bincount(of, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+    every = codes.astype("<u4").tobytes().decode("utf-32-le")
+    return [every[k : k + ORDER] for k in range(0, len(every), ORDER)], counts
+
+
+class Blocks:
+    """The block of each row of a partition, in order: a block is named by its first row."""
+
+    def __init__(self) -> None:
+        self.block, self.left = 0, 0
+
+    def of(self, row: int, text: str | None) -> int:
+        if self.left <= 0:
+            self.block, self.left = row, BLOCK
+        self.left -= 64 + len(text or "")
+        return self.block
+
+
+def good_ids(labels: DataFrame) -> DataFrame:
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+
+
+def trusted_text(docs: DataFrame, labels: DataFrame, bits: int = FILTER) -> DataFrame:
+    """Rows (text) of documents with label quality 1.
+
+    A filter of a fixed number of bits keeps most other text from moving; the join decides.
+    """
+    good = good_ids(labels)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    marked = good.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("at"))
+    words = marked.agg(F.expr("bit_or(shiftleft(1L, CAST(p % 64 AS INT)))").alias("w")).toPandas()
+    made = np.zeros(bits // 64, np.int64)
+    made[words["at"].to_numpy(np.int64)] = words["w"].to_numpy(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(made.view(np.uint64))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
         for batch in batches:
-            packed = [zlib.compress(classes(t.as_py()).astype(np.uint8).tobytes(), 1) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+            p = batch.column(2).to_numpy().astype(np.uint64)
+            hit = (of[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)
+            yield batch.select([0, 1]).filter(pa.array(hit.astype(bool)))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text <> ''")
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    # trusted ids grow with the corpus, so they are never broadcast: the plan is the same at every size
-    return rows.mapInArrow(pack, "doc_id long, packed binary").join(good.hint("merge"), "doc_id", "left_semi").select("packed")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text <> ''")
+    rows = rows.select("doc_id", "text", place.alias("p")).mapInArrow(likely, "doc_id long, text string")
+    return rows.join(good.hint("merge"), "doc_id", "left_semi").select("text")
 
 
-def gram_counts(packed: DataFrame) -> DataFrame:
-    """Rows (gram, n): how often each 4-gram stands in the trusted text, summed in each task before they meet."""
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """Rows (g, n): how often each n-gram stands in the texts, summed in each task before they meet."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for text in batch.column(0):
-                codes = grams(np.frombuffer(zlib.decompress(text.as_py()), np.uint8).astype(np.uint32))
-                if total is None:
-                    total = np.zeros(1 << 24, np.int32)
-                np.add.at(total, codes, 1) if len(codes) < 64 else _add(total, codes)
-        if total is not None:
-            found = np.flatnonzero(total)
-            for k in range(0, len(found), 10_000):
-                part = found[k : k + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part].astype(np.int64))], ["gram", "n"])
+        def rows() -> Iterator[str]:
+            for batch in batches:
+                for text in batch.column(0):
+                    yield text.as_py()
 
-    parts = packed.mapInArrow(count, "gram long, n long")
-    return parts.groupBy("gram").agg(F.sum("n").alias("n"))
+        grams, n = distinct_grams(rows())
+        for k in range(0, len(grams), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(grams[k : k + 10_000], pa.string()), pa.array(n[k : k + 10_000])], ["g", "n"])
 
-
-def _add(total: np.ndarray, codes: np.ndarray) -> None:
-    found, n = np.unique(codes, return_counts=True)
-    total[found] += n
+    return texts.select("text").mapInArrow(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -110,101 +172,148 @@ def discounts(n: list[int]) -> list[float]:
     return [min(max(d, 0.05), k - 0.05) for k, d in enumerate(made, 1)]
 
 
-def _lower(types: np.ndarray, below: np.ndarray, size: int) -> np.ndarray:
-    """P(last | rest) over all n-grams of an order, from continuation counts `types` and the next lower order's P."""
-    types = types.astype(np.float64)
-    d = discounts([int((types == k).sum()) for k in (1, 2, 3, 4)])
-    cut = np.select([types == 0, types == 1, types == 2], [0.0, d[0], d[1]], d[2])
-    shape = types.reshape(-1, 64)
-    total = shape.sum(1, keepdims=True)
-    left = cut.reshape(-1, 64).sum(1, keepdims=True)
-    share = np.where(total > 0, (shape - cut.reshape(-1, 64)) / np.maximum(total, 1), 0.0)
-    weight = np.where(total > 0, left / np.maximum(total, 1), 1.0)
-    lower = below.reshape(1, 64) if size == 2 else np.tile(below.reshape(-1, 64), (64, 1))
-    return (share + weight * lower).reshape(-1)
+def last(k: int) -> Column:
+    return F.substring("g", -k, k) if k else F.lit("")
 
 
+@dataclass
 class Model:
-    """share: sparse discounted shares of 4-grams; weight: back-off weight by context; below: P of the last 3."""
-
-    def __init__(self, gram: np.ndarray, share: np.ndarray, context: np.ndarray, weight: np.ndarray, trigrams: np.ndarray) -> None:
-        self.gram, self.share = gram.astype(np.uint32), share.astype(np.float32)
-        self.weight = np.ones(1 << 18, np.float32)
-        self.weight[context] = weight
-        tri = np.zeros(1 << 18, np.int64)
-        np.add.at(tri, trigrams, 1)  # 4-gram types by their last three
-        bi = np.bincount(np.flatnonzero(tri) & 0xFFF, minlength=1 << 12)
-        uni = np.bincount(np.flatnonzero(bi) & 0x3F, minlength=64)
-        one = _lower(uni, np.full(64, 1 / 64), 2)
-        two = _lower(bi, one, 2)
-        self.below = _lower(tri, two, 3).astype(np.float32)
-        self._logs: np.ndarray | None = None
-
-    def logs(self) -> np.ndarray:
-        """Natural logarithm of P for every 4-gram; 64 MB, made once in a worker."""
-        if self._logs is None:
-            p = (self.weight.reshape(64, 64, 64, 1) * self.below.reshape(1, 64, 64, 64)).reshape(-1)
-            p[self.gram] += self.share
-            np.maximum(p, 1e-9, out=p)
-            self._logs = np.log(p, out=p)
-        return self._logs
-
-    def perplexity(self, text: str | None) -> float | None:
-        return float(np.exp(-self.logs()[grams(classes(text))].mean())) if text else None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_logs": None}
+    """By order from 1: known, rows (g, p) of the n-grams that occur; contexts, rows (context, weight).
+
+    spread: what an unseen character of order 1 has, the back-off weight times one share of the alphabet.
+    """
+
+    known: list[DataFrame]
+    contexts: list[DataFrame]
+    spread: float
+
+    def probabilities(self, grams: DataFrame, order: int = ORDER) -> DataFrame:
+        """Rows (g, p) for distinct n-grams (g) of an order; where one is unknown, its context's weight times the order below."""
+        found = grams.join(self.known[order - 1], "g", "left")
+        if order == 1:
+            return found.select("g", F.coalesce("p", F.lit(self.spread)).alias("p"))
+        found = durable(found)
+        open_ = found.where("p IS NULL").select("g", F.substring("g", 1, order - 1).alias("context"), last(order - 1).alias("below"))
+        below = self.probabilities(open_.select(F.col("below").alias("g")).distinct(), order - 1)
+        open_ = open_.join(self.contexts[order - 1], "context", "left").join(below.withColumnRenamed("g", "below"), "below")
+        rest = open_.select("g", (F.coalesce("weight", F.lit(1.0)) * F.col("p")).alias("p"))
+        return durable(found.where("p IS NOT NULL").unionByName(rest))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    counts = durable(gram_counts(trusted_text(docs, labels)))
-    n = counts.agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).first()
-    d = discounts(list(n))
-    cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    counts = counts.withColumn("context", F.shiftright("gram", 6)).withColumn("cut", cut)
-    contexts = counts.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("cuts"))
-    shares = counts.join(contexts, "context").select("gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("share"))
-    # both bounded by the alphabet: at most 2^24 and 2^18 rows
-    top = shares.toPandas()
-    weights = contexts.select("context", (F.col("cuts") / F.col("total")).alias("weight")).toPandas()
-    gram = top["gram"].to_numpy(np.int64)
-    return Model(gram, top["share"].to_numpy(np.float64), weights["context"].to_numpy(np.int64), weights["weight"].to_numpy(), gram & 0x3FFFF)
-
-
-def scored(docs: DataFrame, shared: Broadcast[Model]) -> DataFrame:
-    """One row per row of docs: doc_id, lang, perplexity, n_chars."""
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+    counts = {ORDER: durable(gram_counts(trusted_text(docs, labels)))}
+    for k in range(ORDER - 1, 0, -1):  # how many n-grams of the order above end in this one
+        counts[k] = durable(counts[k + 1].groupBy(last(k).alias("g")).agg(F.count("*").alias("n")))
+    known, contexts, spread = [], [], 1.0
+    for k in range(1, ORDER + 1):
+        of = [F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)]
+        *ones, threes, total, size = counts[k].agg(*of, F.count_if(F.col("n") >= 3), F.sum("n"), F.count("*")).first()
+        d = discounts(ones)
+        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        rows = counts[k].select("g", "n", cut.alias("cut"), F.substring("g", 1, k - 1).alias("context"), last(k - 1).alias("below"))
+        if k == 1:  # one context, the empty one
+            cuts = ones[0] * d[0] + ones[1] * d[1] + threes * d[2]
+            spread = cuts / total / (size + 1) if total else 1.0
+            known.append(durable(rows.select("g", ((F.col("n") - F.col("cut")) / F.lit(float(total or 1)) + spread).alias("p"))))
+            contexts.append(rows.limit(0))
+            continue
+        totals = rows.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("weight"))
+        totals = durable(totals)
+        rows = rows.join(totals, "context").join(known[-1].select(F.col("g").alias("below"), F.col("p").alias("lower")), "below")
+        p = (F.col("n") - F.col("cut")) / F.col("total") + F.col("weight") * F.col("lower")
+        known.append(durable(rows.select("g", p.alias("p"))))
+        contexts.append(totals.select("context", "weight"))
+    return Model(known, contexts, spread)
+
+
+def block_grams(rows: DataFrame) -> DataFrame:
+    """Rows (block, g): the distinct n-grams of each block of rows (row, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, held, at = Blocks(), [], None
+
+        def made() -> Iterator[pa.RecordBatch]:
+            grams, _ = distinct_grams(held)
+            for k in range(0, len(grams), 10_000):
+                part = grams[k : k + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(part), pa.int64()), pa.array(part, pa.string())], ["block", "g"])
+
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(2)]
-            made = pa.array([model.perplexity(t) for t in texts], pa.float64())
-            sizes = pa.array(list(map(len, texts)), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made, sizes], ["doc_id", "lang", "perplexity", "n_chars"])
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                block = blocks.of(row, text := text.as_py())
+                if block != at:
+                    yield from made()
+                    at, held = block, []
+                held.append(text)
+        yield from made()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    return rows.mapInArrow(score, "doc_id long, lang string, perplexity double, n_chars long")
+    return rows.select("row", "text").mapInArrow(run, "block long, g string")
+
+
+def blocked(rows: DataFrame) -> DataFrame:
+    """Rows (row, doc_id, lang, text) with their block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks()
+        for batch in batches:
+            of = [blocks.of(row, text.as_py()) for row, text in zip(batch.column(0).to_pylist(), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of, pa.int64())], ["row", "doc_id", "lang", "text", "block"])
+
+    return rows.select("row", "doc_id", "lang", "text").mapInArrow(run, "row long, doc_id long, lang string, text string, block long")
+
+
+def perplexities(texts: list[str | None], grams: list[str], p: np.ndarray) -> list[float | None]:
+    """Of each text, None for an empty one; grams and p must hold every n-gram of the texts."""
+    keys = gram_keys(np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32))[::ORDER]
+    order = np.argsort(keys)
+    keys, logs = keys[order], np.log(np.maximum(p, 1e-12))[order]
+    total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    for points, owners in chunks(texts):
+        ends = np.flatnonzero(owners[ORDER - 1 :] >= 0)
+        own, wanted = owners[ORDER - 1 :][ends], gram_keys(points)[ends]
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        if (keys[at] != wanted).any():
+            raise ValueError("a block's rows are not the ones that its n-grams came from: docs changed between two reads")
+        total += np.bincount(own, logs[at], len(texts))
+        n += np.bincount(own, minlength=len(texts))
+    return [float(np.exp(-total[i] / n[i])) if n[i] else None for i in range(len(texts))]
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """One row per row of docs: row, doc_id, lang, perplexity, n_chars."""
+    rows = numbered(docs).select(
+        F.col(ROW).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"
+    )
+    grams = stored(block_grams(rows))
+    known = stored(grams.join(model.probabilities(grams.select("g").distinct()), "g"))
+
+    def score(texts: pa.Table, of: pa.Table) -> pa.Table:
+        made = perplexities(texts["text"].to_pylist(), of["g"].to_pylist(), of["p"].to_numpy())
+        sizes = [len(t.as_py() or "") for t in texts["text"]]
+        return pa.table([texts["row"], texts["doc_id"], texts["lang"], pa.array(made, pa.float64()), pa.array(sizes, pa.int64())],
+                        ["row", "doc_id", "lang", "perplexity", "n_chars"])
+
+    both = blocked(rows).groupBy("block").cogroup(known.groupBy("block"))
+    return both.applyInArrow(score, "row long, doc_id long, lang string, perplexity double, n_chars long")
 
 
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """One row per row of docs: doc_id, lang, perplexity, threshold, kept."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    rows = durable(scored(docs, model))
-    model.unpersist()
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    trusted = durable(rows.join(good.hint("merge"), "doc_id", "left_semi").select("lang", "perplexity"))
+    """One row per row of docs: row, doc_id, lang, perplexity, threshold, kept."""
+    docs = settled(docs)
+    rows = durable(scored(docs, fit(docs, labels)))
+    trusted = durable(rows.join(good_ids(labels).hint("merge"), "doc_id", "left_semi").select("lang", "perplexity"))
     limit = F.percentile_approx("perplexity", F.lit(quantile), F.lit(ACCURACY))
     overall = trusted.agg(limit).first()[0]
-    by_lang = trusted.where("lang is not null").groupBy("lang").agg(limit.alias("threshold"))
-    # one row for each language
-    rows = rows.join(F.broadcast(by_lang), "lang", "left")
+    by_lang = trusted.where("lang IS NOT NULL").groupBy("lang").agg(limit.alias("threshold"))
+    rows = rows.join(by_lang, "lang", "left")
     threshold = F.coalesce("threshold", F.lit(overall if overall is not None else float("inf")).cast("double"))
     allowed = F.exp(F.lit(CHANCE) / F.sqrt(F.greatest(F.col("n_chars"), F.lit(1))))
     kept = F.coalesce(F.col("perplexity") <= threshold * allowed, F.lit(False))
-    return rows.select("doc_id", "lang", "perplexity", threshold.alias("threshold"), kept.alias("kept"))
+    return rows.select("row", "doc_id", "lang", "perplexity", threshold.alias("threshold"), kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """The rows of docs that the model doesn't reject; all rows under a doc_id that is rejected go."""
-    bad = judged(docs, labels, quantile).where("not kept").select(F.col("doc_id").alias("_rl_bad")).distinct()
-    return docs.join(bad.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_rl_bad")), "left_anti").select(docs.columns)
+    """The rows of docs that the model doesn't reject."""
+    docs = settled(docs)
+    kept = judged(docs, labels, quantile).where("kept").select(F.col("row").alias(ROW))
+    return numbered(docs).join(kept.hint("merge"), ROW, "left_semi").select(docs.columns)

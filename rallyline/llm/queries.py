@@ -36,7 +36,7 @@ def op5_licence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return perplexity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return perplexity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
 
 
 def op7_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rallyline.llm.common import SPACE_CHARS, durable
+from rallyline.llm.common import ROW, SPACE_CHARS, durable, numbered, settled
 
 #: Bytes of a chunk: at least, at most; a cut needs these bits of the rolling hash to be zero (one place in 2,048).
 LEAST, MOST, CUT = 256, 16_384, 0x7FF00000
@@ -56,13 +56,13 @@ def cuts(data: bytes) -> list[int]:
 
 
 def recipes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Rows (doc_id, text_sha256, n_bytes, chunks), chunks an array of (short, sha, size) in the text's order."""
+    """Rows (row, doc_id, text_sha256, n_bytes, chunks), chunks an array of (short, sha, size) in the text's order."""
     chunk = pa.struct([("short", pa.int64()), ("sha", pa.binary()), ("size", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole, sizes, lists = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 data = normalise(text.as_py())
                 made, start = [], 0
                 for end in cuts(data):
@@ -74,12 +74,14 @@ def recipes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
                 sizes.append(len(data))
                 lists.append(made)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(whole), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(chunk))],
-                ["doc_id", "text_sha256", "n_bytes", "chunks"],
+                [*batch.columns[:2], pa.array(whole), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(chunk))],
+                ["row", "doc_id", "text_sha256", "n_bytes", "chunks"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    shape = "doc_id long, text_sha256 string, n_bytes long, chunks array<struct<short: long, sha: binary, size: int>>"
+    rows = numbered(docs).select(
+        F.col(ROW).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")
+    )
+    shape = "row long, doc_id long, text_sha256 string, n_bytes long, chunks array<struct<short: long, sha: binary, size: int>>"
     return rows.mapInArrow(run, shape)
 
 
@@ -96,10 +98,9 @@ def verified_recipes(made: DataFrame) -> DataFrame:
     return lists.select("row", F.expr("transform(recipe, c -> struct(c.short, c.ordinal))").alias("recipe"))
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_bytes."""
-    # row numbers are stable, since the checkpoint is what later steps read
-    made = durable(recipes(docs).withColumn("row", F.monotonically_increasing_id()))
+def grouped(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: row, doc_id, keep_id, group_size, kept, text_sha256, n_bytes."""
+    made = durable(recipes(docs))
     rows = made.select("row", "doc_id", "text_sha256", "n_bytes")
     listed = durable(rows.join(verified_recipes(made), "row", "left"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
@@ -108,6 +109,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     many = durable(groups.where("group_size > 1")).withColumnRenamed("recipe", "same")
     joined = listed.join(many, F.col("recipe").eqNullSafe(F.col("same")), "left")
     return joined.select(
+        "row",
         "doc_id",
         F.when(F.col("stays").isNull(), F.col("doc_id")).otherwise(F.col("stays.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -117,11 +119,13 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     )
 
 
+def exact_groups(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_bytes."""
+    return grouped(docs).drop("row")
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text is the first of its group; rows that repeat a doc_id and a text are one."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_rl_kept")).distinct()
-    rows = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_rl_kept")), "left_semi")
-    text = F.xxhash64(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    rows = rows.withColumn("_rl_text", text)
-    first = Window.partitionBy("doc_id", "_rl_text").orderBy(F.lit(0))
-    return rows.withColumn("_rl_nth", F.row_number().over(first)).where("_rl_nth = 1").select(docs.columns)
+    """The rows of docs whose text is the first of its group; only these rows' numbers meet the texts, which move once."""
+    docs = settled(docs)
+    kept = grouped(docs).where("kept").select(F.col("row").alias(ROW))
+    return numbered(docs).join(kept.hint("merge"), ROW, "left_semi").select(docs.columns)

@@ -258,6 +258,14 @@ def test_exact_groups(odd, none, docs, texts):
     assert recipes.exact_groups(none).count() == 0 == recipes.exact_dedup(none).count()
 
 
+def test_exact_dedup_is_by_row(spark):
+    """One row of each text stays, whatever other rows share its id or have none."""
+    rows = [(1, "B"), (5, "A"), (5, "B"), (None, "B"), (None, "C"), (None, "C"), (6, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    kept = Counter((r["doc_id"], r["text"]) for r in recipes.exact_dedup(docs).collect())
+    assert kept == Counter([(1, "B"), (5, "A"), (None, "C"), (6, None)])
+
+
 def test_colliding_chunk_hashes_are_told_apart(spark):
     chunk = lambda sha: {"short": 5, "sha": sha, "size": 9}
     made = spark.createDataFrame([(1, [chunk(b"a")]), (2, [chunk(b"b")]), (3, [chunk(b"a")])], "row long, chunks array<struct<short: long, sha: binary, size: int>>")
@@ -326,6 +334,28 @@ def test_packing_is_tight_and_empty_input_works(none):
     assert packing.windows([], 4096) == [] and packing.packed(none).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_tokenizer_gives_its_own_ids(name):
+    """The short way is taken for the known front end alone; every other tokenizer sees whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    whole, encode = Tokenizer.from_file(path), packing.Encoder(path, 2)
+    for text in (*(t or "" for _, t, *_ in ODD), " lead", "a  b\n\n c\u00a0d", "don't WE'LL x<|endoftext|>y", "½²①e\u0301"):
+        assert np.frombuffer(encode(text.encode()), "<u4").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_windows_are_as_few_as_can_be():
+    """Against the least possible number: the sum over the capacity, or the items too large to share a window."""
+    rng = np.random.default_rng(12)
+    for low, high, over in ((1, 400, 1.02), (1, 4096, 1.08), (2049, 4096, 1.0), (1000, 1400, 1.55)):
+        sizes = sorted((int(x) for x in rng.integers(low, high, 300)), reverse=True)
+        least = max(-(-sum(sizes) // 4096), sum(2 * s > 4096 for s in sizes))
+        made = packing.windows(sizes, 4096)
+        assert all(sum(sizes[i] for i in w) <= 4096 for w in made) and least <= len(made) <= over * least + 1
+
+
 def brute_places(text, phrase):
     lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower) if x]
@@ -354,26 +384,77 @@ def test_licence_templates(spark):
     assert got[1]["score"] == 1 == got[3]["score"]
 
 
-def test_perplexity_model(spark, docs):
+def brute_perplexity(trusted, order=4):
+    """Interpolated modified Kneser-Ney by the book, with dictionaries."""
+    fold = lambda t: "".join("0" if c in "0123456789" else " " if c in " \t\n\x0b\x0c\r\0" else c for c in t)
+    grams = lambda t: [("\0" * (order - 1) + fold(t))[i : i + order] for i in range(len(t))]
+    counts = {order: Counter(g for t in trusted for g in grams(t))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    d = {k: perplexity.discounts([sum(n == i for n in c.values()) for i in (1, 2, 3, 4)]) for k, c in counts.items()}
+    totals = {k: Counter() for k in counts}
+    cuts = {k: Counter() for k in counts}
+    for k, c in counts.items():
+        for g, n in c.items():
+            totals[k][g[:-1]] += n
+            cuts[k][g[:-1]] += d[k][min(n, 3) - 1]
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / (len(counts[1]) + 1)
+        context, n = g[:-1], counts[k][g]
+        if not totals[k][context]:
+            return p(g[1:])
+        own = (n - d[k][min(n, 3) - 1]) / totals[k][context] if n else 0
+        return own + cuts[k][context] / totals[k][context] * p(g[1:])
+
+    def of(text):
+        logs = [math.log(p(g)) for g in grams(text)]
+        return math.exp(-sum(logs) / len(logs)) if logs else None
+
+    return of
+
+
+def test_perplexity_is_by_the_book(spark, docs, monkeypatch):
+    """Every document's perplexity, the threshold of each language, and the verdicts; also with tiny blocks and pieces."""
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
-    model = perplexity.fit(docs, labels)
-    p = np.exp(model.logs().astype(np.float64)).reshape(-1, 64).sum(1)
-    seen = np.unique(model.gram >> 6)
-    assert np.allclose(p[seen], 1, atol=1e-3) and np.allclose(p[:5000], 1, atol=1e-3)
-    # the counts, and one probability, by hand
+    extra = [(900001, "Привет, мир! 日本語テキスト", "ru"), (900002, "😀 ½ ² ①\n42", "ru"), (900003, "", "de"), (None, "no id", "en")]
+    rows = docs.select("doc_id", "text", "lang").orderBy(F.char_length("text")).limit(60)
+    rows = rows.unionByName(spark.createDataFrame(extra, rows.schema)).coalesce(2)
+    rows = spark.createDataFrame(rows.collect(), rows.schema).repartition(2)
+    labels = labels.unionByName(spark.createDataFrame([(900001, 1, 0)], "doc_id long, quality long, toxic long").select(*[F.col(c).cast(t) for c, t in labels.dtypes]))
     good = {r["doc_id"] for r in labels.where("quality = 1").collect()}
-    count = Counter()
-    for r in docs.collect():
-        if r["doc_id"] in good:
-            count.update(perplexity.grams(perplexity.classes(r["text"])).tolist())
-    n = [sum(c == k for c in count.values()) for k in (1, 2, 3, 4)]
-    d = perplexity.discounts(n)
-    gram, c = count.most_common(1)[0]
-    context = [v for g, v in count.items() if g >> 6 == gram >> 6]
-    share = (c - d[min(c, 3) - 1]) / sum(context)
-    weight = sum(d[min(v, 3) - 1] for v in context) / sum(context)
-    expected = share + weight * float(model.below[gram & 0x3FFFF])
-    assert math.isclose(math.exp(model.logs()[gram]), expected, rel_tol=1e-4)
+    every = rows.collect()
+    trusted = [r["text"] for r in every if r["doc_id"] in good]
+    assert len(trusted) > 10
+    brute = brute_perplexity(trusted)
+    expected = {r["doc_id"]: brute(r["text"]) for r in every}
+    for chunk, block in ((perplexity.CHUNK, perplexity.BLOCK), (7, 900)):
+        monkeypatch.setattr(perplexity, "CHUNK", chunk)
+        monkeypatch.setattr(perplexity, "BLOCK", block)
+        monkeypatch.setattr(perplexity.chunks, "__defaults__", (chunk,))
+        got = {r["doc_id"]: r for r in perplexity.judged(rows, labels, 0.5).collect()}
+        assert len(got) == len(every)
+        for i, r in got.items():
+            assert r["perplexity"] is None if expected[i] is None else math.isclose(r["perplexity"], expected[i], rel_tol=1e-9), i
+    for lang in {r["lang"] for r in every}:
+        own = sorted(expected[r["doc_id"]] for r in every if r["doc_id"] in good and r["lang"] == lang)
+        for r in every:
+            if r["lang"] == lang and own:
+                assert math.isclose(got[r["doc_id"]]["threshold"], own[math.ceil(0.5 * len(own)) - 1], rel_tol=1e-9)
+                limit = got[r["doc_id"]]["threshold"] * math.exp(perplexity.CHANCE / math.sqrt(max(1, len(r["text"]))))
+                assert got[r["doc_id"]]["kept"] == (r["text"] != "" and expected[r["doc_id"]] <= limit)
+
+
+def test_good_rows_stay_beside_rejected_ones_with_their_id(spark):
+    """Rows are judged by themselves: a rejected row takes no other row without an id, or with its id, along."""
+    clean = "the cat sat on the mat and the dog sat on the rug " * 4
+    rows = [(i, clean) for i in range(30)] + [(None, clean), (None, "#%&$ " * 40), (7, "@@!!~~ " * 40), (None, None)]
+    labels = spark.createDataFrame([(i, 1) for i in range(20) if i != 7], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    kept = Counter((r["doc_id"], r["text"]) for r in perplexity.keep_good(docs, labels).collect())
+    assert kept == Counter((i, t) for i, t in rows if t == clean)
 
 
 def test_perplexity_verdicts(spark, docs, odd, none):
@@ -400,6 +481,8 @@ def test_language_accuracy(spark, odd, none):
     got = {r["doc_id"]: r for r in langid.predicted(odd).collect()}
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (3, 4, 5, 12))
     assert langid.predicted(none).count() == 0
+    signs = spark.createDataFrame([(1, "½ ² ① _ 7", "en"), (2, "½ é", "en"), (3, "ª", "en")], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predicted(signs).collect()} == {1: "und", 2: "en", 3: "en"}
     assert {r["lang_pred"] for r in langid.predicted(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
@@ -430,6 +513,99 @@ def test_url_templates_learn_from_rules(spark):
     assert all(got[i]["verdict"] == "allow" for i in range(40, len(rows)))
 
 
+def test_learnt_templates_block_what_no_rule_names(spark):
+    """Unruled URLs built like mostly blocked ones are blocked; those built otherwise, or far more than the blocked, aren't."""
+    rows = [f"http://s.com/en/{i}" for i in range(40)] + [f"http://s.com/fr/{i}.html" for i in range(9)] + ["http://s.com/about"]
+    rows += [f"http://s.com/img/{i}/logo.png" for i in range(30)]
+    few = [f"http://h.org/es/{i}" for i in range(50)]
+    for n in (18, 20, 40):  # more branches of the same kind, and of others, change nothing
+        urls_of = rows + few + [f"http://h.org/x{chr(97 + i // 26)}{chr(97 + i % 26)}/{i}" for i in range(n)]
+        urls_of += [f"http://h.org/y{i}/z/{i}" for i in range(10 * n)]
+        pages = spark.createDataFrame(list(enumerate(urls_of)), "page_id long, url string")
+        got = [r["verdict"] for r in sorted(urls.judged(pages).collect(), key=lambda r: r["page_id"])]
+        assert set(got[:49]) == {"block"} and set(got[49:80]) == {"allow"}, n
+        assert set(got[80 : 130 + n]) == {"block"} and set(got[130 + n :]) == {"allow"}, n
+    many = [f"http://s.com/en/{i}" for i in range(40)] + [f"http://s.com/fr/{i}" for i in range(300)]
+    pages = spark.createDataFrame(list(enumerate(many)), "page_id long, url string")
+    assert {r["verdict"] for r in urls.judged(pages).where("page_id >= 40").collect()} == {"allow"}
+    rules = (("block", "t.org", "/bad"), ("allow", "t.org", "/good"))
+    mixed = [f"http://t.org/{a}/{i}" for a in ("bad", "good", "plain") for i in range(30)]
+    pages = spark.createDataFrame(list(enumerate(mixed)), "page_id long, url string")
+    got = urls.judged(pages, rules).collect()
+    assert {r["verdict"] for r in got if r["page_id"] >= 60} == {"allow"}
+    assert {r["template"] for r in got} == {None, "/bad/#"}
+
+
+def brute_templates(rows):
+    """Template by (host, shape) from (host, shape, said), a node at a time."""
+    plain = lambda rest: re.sub(r"[0-9#]+", "#", re.sub(r"[^\W\d_]+", "w", re.sub(r"(\.[A-Za-z0-9]{1,5})?/*$", "", rest)))
+    found = {}
+
+    def node(host, template, under):  # under: (shape, rest, urls, labels, blocked)
+        if len({u[1] for u in under}) == 1:
+            found.update({(host, u[0]): f"{template}/{u[1]}" for u in under})
+            return
+        branches, kinds, sums = defaultdict(list), {}, defaultdict(lambda: [0, 0, 0])
+        for u in under:
+            branches[u[1].partition("/")[0]].append(u)
+        for segment, us in branches.items():
+            of = Counter()
+            for u in us:
+                of[plain(u[1])] += u[2]
+            kinds[segment] = max(of, key=lambda k: (of[k], k))
+            for j, n in enumerate((1, sum(u[3] for u in us), sum(u[4] for u in us))):
+                sums[kinds[segment]][j] += n
+        deeper = defaultdict(list)
+        for segment, us in branches.items():
+            n, labels, blocked = sums[kinds[segment]]
+            own, bad = sum(u[3] for u in us), sum(u[4] for u in us)
+            differs = own and abs(bad / own - blocked / labels) > 1.96 * math.sqrt(blocked / labels * (1 - blocked / labels) / own)
+            name = f"{template}/{segment}" if n == 1 or segment == "" or differs else f"{template}/*<{kinds[segment]}>"
+            for u in us:
+                if "/" in u[1]:
+                    deeper[name].append((u[0], u[1].partition("/")[2], *u[2:]))
+                else:
+                    found[host, u[0]] = name
+        for name, us in deeper.items():
+            node(host, name, us)
+
+    counts = defaultdict(lambda: [0, 0, 0])
+    for host, shape, said in rows:
+        for j, n in enumerate((1, said is not None, said == "block")):
+            counts[host, shape][j] += n
+    hosts = defaultdict(list)
+    for (host, shape), n in counts.items():
+        if shape:
+            hosts[host].append((shape, shape.removeprefix("/"), *n))
+        else:
+            found[host, shape] = ""
+    for host, under in hosts.items():
+        node(host, "", under)
+    return found, counts
+
+
+def test_url_tree_against_a_plain_one(spark):
+    rng = np.random.default_rng(3)
+    parts = ["en", "fr", "de", "shop", "item-1", "7", "a.html", "page2", ""]
+    made = [f"http://h{rng.integers(3)}.com/" + "/".join(parts[k] for k in rng.integers(0, 9, rng.integers(1, 5))) for _ in range(500)]
+    real = [r["url"] for r in spark.read.parquet(f"{DATA}/pages.parquet").select("url").collect()]
+    for every in (made, real):
+        pages = spark.createDataFrame(list(enumerate(every)), "page_id long, url string")
+        got = urls.judged(pages).collect()
+        rows = [(r["host"], re.sub("[0-9]+", "#", r["path"]), r["verdict"] if r["rule"] else None) for r in got]
+        found, counts = brute_templates(rows)
+        mine = urls.templates(spark.createDataFrame(rows, "host string, shape string, said string")).collect()
+        assert {(r["host"], r["shape"]): r["template"] for r in mine} == found
+        totals = defaultdict(lambda: np.zeros(3))
+        for key, n in counts.items():
+            totals[key[0], found[key]] += n
+        bad = {k for k, (n, labels, blocked) in totals.items() if (blocked + 1) / (labels + 3 + 0.5 * (n - labels)) > 0.5}
+        for r, (host, shape, said) in zip(got, rows, strict=True):
+            assert r["verdict"] == (said or ("block" if (host, found[host, shape]) in bad else "allow"))
+            assert r["template"] == (found[host, shape] if (host, found[host, shape]) in bad else None)
+    assert any(r["verdict"] == "block" and not r["rule"] for r in got)
+
+
 def brute_targets(size):
     names = sorted(size, key=lambda s: (s is None, s or ""))
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
@@ -446,6 +622,46 @@ def brute_targets(size):
     return made
 
 
+def spark_copy(df):
+    """The same rows in other partitions."""
+    return df.sparkSession.createDataFrame(df.collect()[::-1], df.schema).repartition(5)
+
+
+def test_mixing_selects_seeded_blocks(spark):
+    """By hand for one shard: whole passes, then 64-word blocks in the seeded order, and another seed takes others."""
+    rows = [(i, " ".join(["w"] * (37 * i % 500)), "ab"[i % 5 == 0]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by_seed = {}
+    for seed in (42, 43):
+        got = {r["doc_id"]: r for r in mixing.mixed(docs, seed).collect()}
+        by_seed[seed] = [got[i]["taken"] for i in range(60)]
+        marks = docs.select("doc_id", F.xxhash64(F.lit(seed), "doc_id", "text").alias("mark"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))).alias("nth"))
+        order = marks.select("doc_id", "nth", F.xxhash64(F.lit(seed), "mark", "nth").alias("at")).collect()
+        for source in "ab":
+            own = {i: got[i]["size"] for i in got if rows[i][2] == source}
+            quota, size = sum(got[i]["taken"] for i in own), sum(own.values())
+            assert abs(quota - got[min(own)]["target"]) <= 2 * mixing.BLOCK
+            expected = {i: quota // size * n for i, n in own.items()}
+            left = quota % size
+            for r in sorted((r for r in order if r["doc_id"] in own), key=lambda r: r["at"]):
+                words_in = min(max(own[r["doc_id"]] - 64 * r["nth"], 0), 64)
+                expected[r["doc_id"]] += min(words_in, left)
+                left -= min(words_in, left)
+            assert expected == {i: got[i]["taken"] for i in own}
+    assert by_seed[42] != by_seed[43]
+
+
+def test_mixture_copies_rows_by_their_own_plan(spark):
+    """Rows with one id and size but other texts each come as often as their own plan says."""
+    rows = [(7, f"{chr(97 + i)} " * 50, "s") for i in range(26)] + [(8, "x " * 3000, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.mixed(docs).collect()
+    out = Counter(r["source"] for r in mixing.mixture(docs).collect())
+    for source in "st":
+        assert out[source] == sum(int(r["taken"] / r["size"] + 0.5) for r in plan if r["source"] == source)
+    assert sum(r["taken"] for r in plan if r["source"] == "s") <= 2 * 26 * 50
+
+
 def test_mixing(odd, none, docs, texts):
     for df, source in ((odd, None), (docs, None)):
         rows = mixing.mixed(df).toPandas().astype({"source": object})
@@ -459,7 +675,7 @@ def test_mixing(odd, none, docs, texts):
             assert math.isclose(r.target, target[r.source], abs_tol=1e-6) and 0 <= r.taken <= 2 * r.size
             taken[r.source] += r.taken
         assert all(abs(taken[s] - target[s]) <= 2 * mixing.BLOCK for s in size)
-        again = mixing.mixed(df.repartition(5)).select("doc_id", "size", "taken").collect()
+        again = mixing.mixed(spark_copy(df)).select("doc_id", "size", "taken").collect()
         assert Counter(again) == Counter(mixing.mixed(df).select("doc_id", "size", "taken").collect())
     assert mixing.mixed(none).count() == 0 == mixing.mixture(none).count()
     assert mixing.mixture(odd).columns == odd.columns
@@ -501,27 +717,53 @@ def test_sketches(odd, none, docs, texts):
     assert one["near_next"] == 1
 
 
-def test_peeling_fails_softly_and_retries(spark):
+def test_fingerprints_subtract_and_peel(spark):
+    """Two written fingerprints give back the digests that differ, by side; the same as from the texts."""
+    texts_of = [("a\nb\nc\nd", "a\nb\nx\nd\ny"), ("", "one"), ("same\nlines", "same\nlines"), ("\n".join(map(str, range(300))), "\n".join(map(str, range(7, 302))))]
+    df = spark.createDataFrame(texts_of, "a string, b string")
+    df = df.select(sketches.document(F.col("a")).alias("a"), sketches.document(F.col("b")).alias("b"))
+    df = df.select("a", "b", sketches.parsed(sketches.fingerprint(F.col("a"))).alias("p"), sketches.parsed(sketches.fingerprint(F.col("b"))).alias("q"))
+    width = F.least("p.width", "q.width")
+    cells = [sketches.folded(F.col(f"{c}.cells"), width) for c in "pq"]
+    df = df.select("a", "b", sketches.peel(sketches.subtract(*cells), width).alias("d"))
+    rows = sketches.with_difference(df, "a", "b", "e").collect()
+    for r in rows:
+        a, b = set(r["a"]["digests"]), set(r["b"]["digests"])
+        expected = {(1, x) for x in a - b} | {(-1, x) for x in b - a}
+        assert {(k["s"], k["d"]) for k in r["e"]} == expected and len(r["e"]) == len(expected)
+        assert {(k["s"], k["d"]) for k in r["d"]} == expected
+
+
+def test_peeling_fails_softly_and_retries(spark, monkeypatch):
     """Sets far beyond a width don't peel at it, and do at a wider one; the difference is right either way."""
     rng = np.random.default_rng(8)
     sets = [[int(x) for x in rng.integers(-(2**62), 2**62, n)] for n in (5, 40, 300)]
-    rows = [(i, a, a[: len(a) // 2] + b) for i, a in enumerate(sets) for b in [[int(x) for x in rng.integers(-(2**62), 2**62, 9)]]]
-    df = spark.createDataFrame(rows, "i int, a array<long>, b array<long>")
-    got = df.select("a", "b", sketches.difference(F.col("a"), F.col("b")).alias("d")).collect()
-    assert all(r["d"] == len(set(r["a"]) ^ set(r["b"])) for r in got)
-    keys = F.transform("a", lambda d: F.struct(F.lit(1).alias("s"), d.alias("d"), sketches.check(d).alias("c")))
-    tries = df.select(*[F.size(sketches.peel(sketches.sketch(keys, w), w)).alias(f"w{w}") for w in (16, 256)]).collect()
-    assert tries[0][0] == 5 and (tries[1][0] or -1) in (-1, 40) and (tries[2][0] or -1) == -1 and tries[2][1] == 300
-
-
-def test_ranges_follow_each_other(spark, monkeypatch):
-    """The next document is found across ranges of ids, also with gaps, ties and a null id."""
-    monkeypatch.setattr(sketches, "RANGE", 3)
-    ids = [*range(0, 40, 3), 1000, 10**15, None]
-    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
-    got = {r["doc_id"]: r["next_text"] for r in sketches.with_next(df).collect()}
-    order = sorted(ids, key=lambda i: -(2**63) if i is None else i, reverse=True)
-    assert got == {i: f"t{order[(n + 1) % len(order)]}" for n, i in enumerate(order)}
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(sets)], "i int, a array<long>")
+    tries = df.select(*[F.size(sketches.peel(sketches.sketch(F.col("a"), F.lit(w).cast("long")), F.lit(w).cast("long"))).alias(f"w{w}") for w in (16, 256)])
+    tries = tries.collect()
+    assert tries[0][0] == 5 and tries[2][0] in (None, -1) and tries[2][1] == 300
+    lines_of = [("\n".join(str(x) for x in range(n)), "\n".join(str(x) for x in range(n // 2, m))) for n in (1, 9, 60) for m in (3, 200, 900)]
+    df = spark.createDataFrame(lines_of, "a string, b string")
+    for again in (sketches.AGAIN, ()):  # with no wider try, digests are told one by one
+        monkeypatch.setattr(sketches, "AGAIN", again or (1,))
+        made = df.select("a", "b", sketches.document(F.col("a")).alias("x"), sketches.document(F.col("b")).alias("y"))
+        got = sketches.with_likeness(made, "x", "y", "l").collect()
+        for r in got:
+            a, b = set(r["a"].split("\n")), set(r["b"].split("\n"))
+            assert math.isclose(r["l"], len(a & b) / len(a | b))
+
+
+def test_next_documents_in_falling_order(spark):
+    """The next document is found across gaps, ties, repeats and null ids, and the last is followed by the first."""
+    rng = np.random.default_rng(4)
+    ids = [*range(0, 40, 3), 1000, 4095, 4096, 2**25, 10**15, -5, -(10**12), None, None, None, 7, 7, *rng.integers(-(2**63), 2**63 - 1, 50).tolist()]
+    rows = [(i, f"t{n}") for n, i in enumerate(ids)] + [(7, "twin"), (7, "twin")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    got = Counter((r["doc_id"], r["text"], r["next_text"]) for r in sketches.with_next(df).collect())
+    order = sorted(set(rows), key=lambda r: (-(2**63) if r[0] is None else r[0], marks[r[1]]), reverse=True)
+    after = {r: order[(n + 1) % len(order)][1] for n, r in enumerate(order)}
+    assert got == Counter((*r, after[r]) for r in rows)
 
 
 def test_pipeline(spark):
