@@ -95,6 +95,12 @@ def rate(a: Column, b: Column, digits: int, times: int = 1) -> Column:
     return F.round(a.cast("decimal(20,4)") * times / F.nullif(b, F.lit(0)).cast("decimal(20,4)"), digits)
 
 
+def net_rate(points: Column, possessions: Column, against: Column, possessions_against: Column) -> Column:
+    """Points for less points against, each for 100 possessions, rounded once."""
+    share = lambda a, b: a.cast("decimal(20,4)") * 100 / F.nullif(b, F.lit(0)).cast("decimal(20,4)")
+    return F.round(share(points, possessions) - share(against, possessions_against), 2)
+
+
 def effective_field_goals(made: Column, threes: Column, tried: Column) -> Column:
     return rate(made + F.lit(0.5).cast("decimal(2,1)") * threes, tried, 4)
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyline.operators.ordered import Stream, previous_known
+from rallyline.session import durable
 
 #: The play vocabulary by role.
 ENDING = ("2FGM", "3FGM", "TO", "D", "FTM")
@@ -38,6 +39,12 @@ class Plays:
     away: str = "away"
 
 
+def _columns(plays: Plays) -> list[str]:
+    """The columns of a play stream that possessions come from."""
+    named = (*plays.stream.keys, plays.stream.order, plays.play, plays.team, plays.player, plays.period, plays.home, plays.away)
+    return list(dict.fromkeys(named))
+
+
 def unknown_plays(df: DataFrame, plays: Plays) -> DataFrame:
     """Violations: rows whose play isn't in the vocabulary."""
     return df.where(~F.coalesce(F.col(plays.play), F.lit("")).isin(*ENDING, *CONTINUING, *NO_BALL))
@@ -57,30 +64,39 @@ def trips(df: DataFrame, plays: Plays, longest: int = 3) -> DataFrame:
     same = F.coalesce(F.col("_before.free"), F.lit(False)) & F.col("_before.player").eqNullSafe(player)
     rows = rows.withColumn("_first", F.col("_free") & ~same)
     rows = rows.withColumn("_trip", F.sum(F.col("_first").cast("int")).over(s.so_far))
-    last_ball = previous_known(F.when(ball, F.struct(play.alias("p"), team.alias("t"), player.alias("n"))), s)
-    rows = rows.withColumn("_ball", last_ball).withColumn("_balls", F.coalesce(F.sum(ball.cast("int")).over(s.before), F.lit(0)))
-    since = s.within("_balls")
-    retained = F.coalesce(F.max(F.when(play.isin(*RETAINING), 1).otherwise(0)).over(since.before), F.lit(0)) == 1
-    rows = rows.withColumn("_retained", retained)
+    # what stands between the last ball row and this one is told by positions, so that all of it is the stream's own window
+    at = F.col(s.order)
+    last_ball = previous_known(F.when(ball, F.struct(play.alias("p"), team.alias("t"), player.alias("n"), at.alias("at"))), s)
+    last_foul = previous_known(F.when(play.isin(*RETAINING), at), s)
+    rows = rows.withColumn("_ball", last_ball).withColumn("_foul", last_foul)
+    retained = F.col("_foul").isNotNull() & (F.col("_ball.at").isNull() | (F.col("_foul") > F.col("_ball.at")))
     and_one = (
         F.col("_ball.p").isin(*FIELD_GOALS) & F.col("_ball.t").eqNullSafe(team) & F.col("_ball.n").eqNullSafe(player)
     )
-    rows = rows.withColumn("_and_one", F.coalesce(and_one, F.lit(False)))
-    in_trip = s.within("_trip", "_free")
-    rows = rows.withColumn("trip_position", F.when(F.col("_free"), F.row_number().over(in_trip.window)))
-    rows = rows.withColumn("trip_size", F.when(F.col("_free"), F.count("*").over(in_trip.whole)))
-    first = lambda c: F.max(F.when(F.col("_first"), F.col(c))).over(in_trip.whole)
-    rows = rows.withColumn("and_one", F.when(F.col("_free"), first("_and_one")))
-    rows = rows.withColumn("excluded", F.when(F.col("_free"), F.col("and_one") | first("_retained")))
+    told = F.struct(F.coalesce(and_one, F.lit(False)).alias("and_one"), retained.alias("retained"), F.col("_nth").alias("nth"))
+    rows = rows.withColumn("_nth", F.sum(F.col("_free").cast("int")).over(s.so_far))
+    rows = rows.withColumn("_start", F.last(F.when(F.col("_first"), told), ignorenulls=True).over(s.so_far))
+    # the next trip's first number, or the stream's last, tells a trip's size: a look ahead in the reversed order
+    ahead = Window.partitionBy(*s.keys).orderBy(F.col(s.order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    next_nth = F.last(F.when(F.col("_first"), F.col("_nth")), ignorenulls=True).over(ahead)
+    rows = rows.withColumn("_next", F.coalesce(next_nth, F.max("_nth").over(s.whole) + 1))
+    rows = rows.withColumn("trip_position", F.when(F.col("_free"), (F.col("_nth") - F.col("_start.nth") + 1).cast("int")))
+    rows = rows.withColumn("trip_size", F.when(F.col("_free"), F.col("_next") - F.col("_start.nth")))
+    rows = rows.withColumn("and_one", F.when(F.col("_free"), F.col("_start.and_one")))
+    rows = rows.withColumn("excluded", F.when(F.col("_free"), F.col("_start.and_one") | F.col("_start.retained")))
     rows = rows.withColumn("trip", F.when(F.col("_free"), F.col("_trip")))
     rows = rows.withColumn("trip_long", F.col("trip_size") > longest)
-    return rows.drop("_free", "_before", "_first", "_trip", "_ball", "_balls", "_retained", "_and_one")
+    return rows.drop("_free", "_before", "_first", "_trip", "_ball", "_foul", "_nth", "_start", "_next")
 
 
 def possessions(df: DataFrame, plays: Plays) -> DataFrame:
-    """Rows (keys, possession_index, team, period, start, end, end_reason, points), from rows of a play stream."""
+    """Rows (keys, possession_index, team, period, start, end, end_reason, points), from rows of a play stream.
+
+    Rows that `trips` has been through already are taken as they are.
+    """
     s, play, team, order = plays.stream, F.col(plays.play), F.col(plays.team), plays.stream.order
-    rows = trips(df, plays)
+    # written, since both the possessions and the and-ones start from it
+    rows = df if "trip_size" in df.columns else durable(trips(df.select(*_columns(plays)), plays))
     free, ball = play.isin(*FREE_THROWS), play.isin(*ENDING, *CONTINUING)
     out = F.coalesce(F.col("excluded"), F.lit(False))
     rows = rows.withColumn("_out", out).withColumn("_after_out", F.coalesce(previous_known(F.when(ball, out), s), F.lit(False)))
@@ -134,11 +150,23 @@ def off_possession_points(df: DataFrame, plays: Plays) -> DataFrame:
 
 
 def attach(events: DataFrame, found: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
-    """Adds possession_index to each event: the lowest one that covers it, null where none does."""
-    spans = found.select(*keys, "start", "end", "possession_index")
-    covered = events.join(spans, list(keys)).where(F.col(order).between(F.col("start"), F.col("end")))
-    first = covered.groupBy(*keys, order).agg(F.min("possession_index").alias("possession_index"))
-    return events.join(first, [*keys, order], "left")
+    """Adds possession_index to each event: the lowest one that covers it, null where none does.
+
+    Possessions of one team don't overlap, so what can cover an event is the last one of either team that began up to
+    it: one ordered pass over events and beginnings, whatever the number of either.
+    """
+    one = F.min("team").over(Window.partitionBy(*keys))
+    begun = found.withColumn("_one", F.col("team") == one).select(
+        *keys, F.col("start").alias(order), "_one", F.struct("end", "possession_index").alias("_span")
+    )
+    both = events.withColumn("_event", F.lit(1)).unionByName(begun.withColumn("_event", F.lit(0)), allowMissingColumns=True)
+    so_far = Window.partitionBy(*keys).orderBy(order, "_event").rowsBetween(Window.unboundedPreceding, 0)
+    for side, is_side in (("_a", F.col("_one")), ("_b", ~F.col("_one"))):
+        both = both.withColumn(side, F.last(F.when(is_side, F.col("_span")), ignorenulls=True).over(so_far))
+    covers = [F.when(F.col(f"{s}.end") >= F.col(order), F.col(f"{s}.possession_index")) for s in ("_a", "_b")]
+    # least() passes over nulls
+    rows = both.withColumn("possession_index", F.least(*covers)).where("_event = 1")
+    return rows.select(*events.columns, "possession_index")
 
 
 def possession_gate(found: DataFrame, plays: Plays, sides: DataFrame, most: int = 2) -> DataFrame:

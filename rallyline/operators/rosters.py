@@ -6,7 +6,7 @@ intervals of positions, and every later question is a join on (season, game) wit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyline.functions.scalars import elapsed_seconds, game_seconds, lineup_hash
@@ -29,10 +29,14 @@ def timed(events: DataFrame) -> DataFrame:
     return rows
 
 
+def overtime_tip() -> Column:
+    """Whether a row is a substitution stamped at an overtime's very tip."""
+    return (F.col("period") >= 5) & F.col("playtype").isin(*SUBSTITUTIONS) & F.coalesce(F.col("clock") == "05:00", F.lit(False))
+
+
 def corrected(events: DataFrame) -> DataFrame:
     """Adds elapsed_corrected: substitutions stamped at an overtime's very tip count a minute later."""
-    tip = (F.col("period") >= 5) & F.col("playtype").isin(*SUBSTITUTIONS) & (F.col("clock") == "05:00")
-    return events.withColumn("elapsed_corrected", F.col("elapsed") + F.when(tip, 60).otherwise(0))
+    return events.withColumn("elapsed_corrected", F.col("elapsed") + F.when(overtime_tip(), 60).otherwise(0))
 
 
 def lengths(events: DataFrame) -> DataFrame:

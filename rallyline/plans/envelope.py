@@ -7,7 +7,7 @@ from typing import Any
 
 DEFAULT_LIMIT, MAX_LIMIT = 50, 200
 #: Columns that mean nothing without the basis of the clock or minutes they come from.
-NEEDS_BASIS = frozenset({"seconds", "seconds_remaining_raw"})
+NEEDS_BASIS = frozenset({"seconds", "minutes", "seconds_remaining_raw", "mean_seconds_remaining_at_start", "elapsed_corrected"})
 STRADDLE = "A possession that runs past its stint's end is credited to the units that were on the floor when it began."
 
 

@@ -10,7 +10,10 @@ from typing import Any
 from rallyline.plans.envelope import BadRequest
 from rallyline.plans.tools import League
 
-VERSION = "2024-11-05"
+#: The protocol's versions, newest first, and its error codes.
+VERSIONS = ("2025-06-18", "2025-03-26", "2024-11-05")
+PARSE, REQUEST, METHOD, PARAMS = -32700, -32600, -32601, -32602
+INSTRUCTIONS = "Read-only questions about a season. Ask describe_warehouse first; quarantined games are left out unless asked for."
 TOOLS = ("describe_warehouse", "shot_data", "find_games", "game", "team_stats", "player_stats", "lineup_stats", "player_on_off", "possessions", "play_by_play")
 _TYPES = {"str": "string", "int": "integer", "bool": "boolean"}
 
@@ -21,40 +24,52 @@ def listed() -> list[dict[str, Any]]:
         args = [p for p in inspect.signature(getattr(League, name)).parameters.values() if p.name != "self"]
         properties = {p.name: {"type": _TYPES[str(p.annotation).split(" ")[0]]} for p in args}
         required = [p.name for p in args if p.default is p.empty]
-        tools.append({"name": name, "inputSchema": {"type": "object", "properties": properties, "required": required}})
+        tools.append({
+            "name": name, "title": name.replace("_", " ").capitalize(), "description": inspect.getdoc(getattr(League, name)) or name,
+            "inputSchema": {"type": "object", "properties": properties, "required": required}, "annotations": {"readOnlyHint": True},
+        })
     return tools
 
 
-def handle(league: League, message: dict[str, Any]) -> dict[str, Any] | None:
+def handle(league: League, message: Any) -> dict[str, Any] | None:
     """The reply to one message; None for a notification."""
-    if "id" not in message:
+    if not isinstance(message, dict):
+        return {"jsonrpc": "2.0", "id": None, "error": {"code": REQUEST, "message": "a message is an object"}}
+    if message.get("id") is None:
         return None
-    method, params = message.get("method"), message.get("params") or {}
     reply: dict[str, Any] = {"jsonrpc": "2.0", "id": message["id"]}
 
     def failed(code: int, text: str) -> dict[str, Any]:
         return reply | {"error": {"code": code, "message": text}}
 
+    method, params = message.get("method"), message.get("params")
+    params = params if isinstance(params, dict) else {}
+    if not isinstance(method, str):
+        return failed(REQUEST, "a request names its method")
     if method == "initialize":
-        return reply | {"result": {"protocolVersion": VERSION, "capabilities": {"tools": {}}, "serverInfo": {"name": "rallyline", "version": "1"}}}
+        asked = params.get("protocolVersion")
+        agreed = asked if asked in VERSIONS else VERSIONS[0]
+        return reply | {"result": {"protocolVersion": agreed, "capabilities": {"tools": {"listChanged": False}},
+                                   "serverInfo": {"name": "rallyline", "version": "1"}, "instructions": INSTRUCTIONS}}
     if method == "ping":
         return reply | {"result": {}}
     if method == "tools/list":
         return reply | {"result": {"tools": listed()}}
     if method != "tools/call":
-        return failed(-32601, f"unknown method {method}")
-    name, arguments = params.get("name"), params.get("arguments") or {}
+        return failed(METHOD, f"unknown method {method}")
+    name, arguments = params.get("name"), params.get("arguments")
+    arguments = arguments if isinstance(arguments, dict) else {}
     if name not in TOOLS:
-        return failed(-32602, f"unknown tool {name}")
+        return failed(PARAMS, f"unknown tool {name}")
     schema = next(t["inputSchema"] for t in listed() if t["name"] == name)
     if missing := [a for a in schema["required"] if a not in arguments]:
-        return failed(-32602, f"missing: {', '.join(missing)}")
+        return failed(PARAMS, f"missing: {', '.join(missing)}")
     if extra := sorted(arguments.keys() - schema["properties"].keys()):
-        return failed(-32602, f"unknown: {', '.join(extra)}")
+        return failed(PARAMS, f"unknown: {', '.join(extra)}")
     try:
         made, wrong = json.dumps(getattr(league, name)(**arguments), default=str), False
-    except (BadRequest, TypeError, ValueError) as error:
-        made, wrong = str(error), True
+    except Exception as error:  # noqa: BLE001 - a tool that fails, also in Spark, mustn't end the server
+        made, wrong = f"{type(error).__name__}: {error}" if not isinstance(error, BadRequest) else str(error), True
     return reply | {"result": {"content": [{"type": "text", "text": made}], "isError": wrong}}
 
 
@@ -65,7 +80,7 @@ def serve(league: League, lines: Iterable[str]) -> Iterator[str]:
         try:
             message = json.loads(line)
         except ValueError:
-            yield json.dumps({"jsonrpc": "2.0", "id": None, "error": {"code": -32700, "message": "not JSON"}})
+            yield json.dumps({"jsonrpc": "2.0", "id": None, "error": {"code": PARSE, "message": "not JSON"}})
             continue
         if (reply := handle(league, message)) is not None:
             yield json.dumps(reply)

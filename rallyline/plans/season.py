@@ -6,13 +6,14 @@ global step is the season's correction switch, one row per season that is broadc
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rallyline.functions.scalars import matches_official, official_seconds
-from rallyline.operators import episodes, intervals, quality, rosters
+from rallyline.operators import episodes, intervals, ordered, quality, rosters
 from rallyline.operators.rosters import GAME, KEYS, PLAYER
 from rallyline.session import durable
 from rallyline.sources import payloads
@@ -46,28 +47,39 @@ class Tables:
 
 @dataclass(frozen=True)
 class Season(Tables):
-    """Flat inputs: games (schedule), events, players and team rows (box score), shots."""
+    """Flat inputs: games (the schedule's played ones), events, players and team rows (box score), shots.
+
+    teams holds (season, team, name) of every scheduled game: a team is in the competition before it has played.
+    """
 
     games: DataFrame
     events: DataFrame
     players: DataFrame
     team_rows: DataFrame
     shots: DataFrame
+    teams: DataFrame
 
     @classmethod
     def read(cls, spark: SparkSession, root: str, season: str) -> Season:
         box = payloads.payloads(spark, root, "Boxscore", payloads.BOX_SCORE)
+        scheduled = payloads.games(spark, root, season)
         return cls(
-            payloads.games(spark, root, season).where("played"),
+            payloads.with_box(scheduled.where("played"), box),
             payloads.events(payloads.payloads(spark, root, "PlaybyPlay", payloads.PLAY_BY_PLAY)),
             payloads.players(box),
             payloads.team_rows(box),
             payloads.shots(payloads.payloads(spark, root, "Points", payloads.SHOTS)),
+            payloads.teams(scheduled),
         )
 
     def only(self, chosen: DataFrame) -> Season:
         """The same tables for the games in chosen (season, game)."""
-        return Season(*[getattr(self, name).join(chosen, list(KEYS), "left_semi") for name in self.names()])
+        tables = [getattr(self, name) for name in self.names()]
+        return Season(*[t.join(chosen, list(KEYS), "left_semi") if "game" in t.columns else t for t in tables])
+
+    def sound(self, refused: DataFrame) -> Season:
+        """The same tables without the games in refused."""
+        return self.only(self.games.select(*KEYS).join(refused.select(*KEYS).distinct(), list(KEYS), "left_anti"))
 
 
 @dataclass(frozen=True)
@@ -75,6 +87,9 @@ class Derived(Tables):
     games: DataFrame
     events: DataFrame
     stints: DataFrame
+    lineups: DataFrame
+    lineup_players: DataFrame
+    trips: DataFrame
     possessions: DataFrame
     minutes: DataFrame
     dimension_players: DataFrame
@@ -83,11 +98,8 @@ class Derived(Tables):
     verdicts: DataFrame
 
 
-def minutes(season: Season) -> DataFrame:
+def minutes(season: Season, events: DataFrame, moves: DataFrame, length: DataFrame) -> DataFrame:
     """Seconds per listed player: raw, corrected for overtime tips, and official (null where the box has none)."""
-    events = durable(rosters.corrected(rosters.timed(season.events)))
-    length = rosters.lengths(events)
-    moves = durable(rosters.transitions(events, season.players))
     rows = season.players.select(*PLAYER, "name", official_seconds(F.col("minutes")).alias("seconds_official"))
     for name, clock in (("seconds_raw", "elapsed"), ("seconds_candidate", "elapsed_corrected")):
         played = rosters.seconds_played(rosters.court_intervals(moves, season.players, clock), length)
@@ -117,23 +129,111 @@ def point_differences(season: Season) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
-def derive(season: Season) -> Derived:
-    events = durable(rosters.corrected(rosters.timed(season.events)).join(season.games.select(*KEYS, "home", "away"), list(KEYS)))
+def input_refusals(season: Season) -> DataFrame:
+    """Rows (season, game, finding) of games whose inputs break a rule that every later step rests on."""
+    events, players = season.events, season.players
+    known = season.games.select(*KEYS, "home", "away")
+    sides = known.select(*KEYS, F.explode(F.array("home", "away")).alias("team"))
+    starters = players.groupBy(*KEYS, "team").agg(F.count_if("is_starter").alias("n"))
+    foreign = lambda rows: rows.where("team IS NOT NULL").join(sides, [*KEYS, "team"], "left_anti")
+    found = {
+        "repeated_position": ordered.repeated_order(events, GAME),
+        "score_decreased": ordered.decreases(events, GAME, "points_a").unionByName(ordered.decreases(events, GAME, "points_b")),
+        "unknown_play": episodes.unknown_plays(events, PLAYS),
+        "third_team": foreign(events).select(*KEYS).unionByName(foreign(players).select(*KEYS)),
+        "not_two_teams": sides.join(starters, [*KEYS, "team"], "left_anti"),
+        "not_five_starters": starters.where("n <> 5"),
+        "repeated_player": players.groupBy(*PLAYER).count().where("count > 1"),
+        "substitution_without_team_or_clock": events.where(F.col("playtype").isin(*rosters.SUBSTITUTIONS) & (F.col("team").isNull() | F.col("clock").isNull())),
+        "unpaired_substitutions": rosters.unpaired_substitutions(events),
+        "no_events": known.join(events, list(KEYS), "left_anti"),
+    }
+    rows = [bad.select(*KEYS, F.lit(name).alias("finding")) for name, bad in found.items()]
+    return functools.reduce(DataFrame.unionByName, rows).join(known.select(*KEYS), list(KEYS), "left_semi").distinct()
+
+
+def state_refusals(season: Season, events: DataFrame, moves: DataFrame, courts: DataFrame, played: DataFrame, length: DataFrame) -> DataFrame:
+    """Rows (season, game, finding) of games whose rebuilt states don't add up.
+
+    Corrected seconds may change players' shares of a team's time, never its sum, and none may be negative.
+    """
+    sums = played.groupBy(*KEYS, "team").agg(F.sum("seconds_raw").alias("raw"), F.sum("seconds_candidate").alias("candidate"))
+    total = played.select(*PLAYER, F.col("seconds_raw").alias("seconds"))
+    tips = events.where(rosters.overtime_tip()).join(season.players.select(*PLAYER), list(PLAYER), "left_anti")
+    found = {
+        "conservation": rosters.conservation(moves, season.players, courts),
+        "team_minutes": rosters.team_minutes(total, length),
+        "correction_changes_a_team": sums.where("raw <> candidate"),
+        "correction_of_unknown_player": tips,
+        "negative_seconds": played.where("seconds_candidate < 0 OR seconds_raw < 0"),
+    }
+    rows = [bad.select(*KEYS, F.lit(name).alias("finding")) for name, bad in found.items()]
+    return functools.reduce(DataFrame.unionByName, rows).distinct()
+
+
+def derive(season: Season, refused: list[DataFrame] | None = None) -> Derived:
+    """The derived tables.  A game that breaks a rule is refused: all of them raise Violation together.
+
+    With a list, such games are left out instead, and the list gets their rows (season, game, finding).
+    """
+
+    def turn_away(bad: DataFrame, what: str) -> DataFrame | None:
+        bad = durable(bad)
+        if refused is None:
+            quality.refuse(bad, what)
+            return None
+        refused.append(bad)
+        return None if bad.isEmpty() else bad
+
+    if (bad := turn_away(input_refusals(season), "games refused for their inputs")) is not None:
+        season = season.sound(bad)
+    events = rosters.corrected(rosters.timed(season.events)).join(season.games.select(*KEYS, "home", "away"), list(KEYS))
+    events = durable(events.withColumn("is_team_event", F.col("player_id").isNull() & F.col("team").isNotNull()))
     length = durable(rosters.lengths(events))
-    spans = durable(rosters.substitution_spans(events))
     moves = durable(rosters.transitions(events, season.players))
     courts = durable(rosters.court_intervals(moves, season.players))
+    played = durable(minutes(season, events, moves, length))
+    if (bad := turn_away(state_refusals(season, events, moves, courts, played, length), "games refused for their states")) is not None:
+        season = season.sound(bad)
+        drop = lambda df: durable(df.join(bad.select(*KEYS).distinct(), list(KEYS), "left_anti"))
+        events, length, moves, courts, played = map(drop, (events, length, moves, courts, played))
+    spans = durable(rosters.substitution_spans(events))
     stints = durable(rosters.stints(events, spans, courts, length, season.games))
-    found = durable(possessions(events, stints, length))
-    played = durable(minutes(season))
-    verdicts = judge(season, events, spans, moves, courts, played, found)
-    enriched = intervals.segment_index(events, spans, KEYS, "pos", "stint")
+    units = lineups(stints)
+    quality.refuse(units.groupBy("lineup_id").count().where("count > 1"), "lineups share an id")
+    shots = durable(episodes.trips(events, PLAYS))
+    found = durable(possessions(shots, stints, length))
+    suspects = durable(rosters.off_court(events, courts, spans, season.players))
+    verdicts = judge(season, spans, moves, courts, played, found, suspects)
+    enriched = intervals.segment_index(shots.withColumnRenamed("excluded", "trip_excluded"), spans, KEYS, "pos", "stint")
     enriched = episodes.attach(enriched, found.withColumnRenamed("start_pos", "start").withColumnRenamed("end_pos", "end"), KEYS, "pos")
-    names = Window.partitionBy("player_id").orderBy(F.desc("game"))
-    people = season.players.select("player_id", "name", "game", F.row_number().over(names).alias("n")).where("n = 1").select("player_id", "name")
-    sides = F.explode(F.array(F.struct(F.col("home").alias("team"), F.col("home_name").alias("name")), F.struct(F.col("away").alias("team"), F.col("away_name").alias("name"))))
-    teams = season.games.select("season", "game", sides.alias("t")).groupBy("season", "t.team").agg(F.max_by("t.name", "game").alias("name"))
-    return Derived(season.games, enriched, stints, found, played, people, teams, verdicts)
+    flagged = suspects.select(*KEYS, "pos", F.lit(True).alias("_suspect"))
+    enriched = enriched.join(flagged, [*KEYS, "pos"], "left").withColumn("attribution_suspect", F.coalesce("_suspect", F.lit(False))).drop("_suspect")
+    units_at = stints.select(*KEYS, "stint", "lineup_home", "lineup_away")
+    enriched = enriched.join(units_at, [*KEYS, "stint"], "left")
+    names = Window.partitionBy("player_id").orderBy(F.desc("season"), F.desc("game"))
+    people = season.players.select("player_id", "name", "season", "game", F.row_number().over(names).alias("n")).where("n = 1")
+    people = people.select("player_id", "name", F.col("season").alias("name_season"))
+    return Derived(
+        season.games, enriched, stints, units, units.select("lineup_id", "team", F.explode("unit").alias("player_id")), trip_table(shots), found, played,
+        people, season.teams, verdicts,
+    )
+
+
+def lineups(stints: DataFrame) -> DataFrame:
+    """One row per five-player unit: lineup_id, team, unit."""
+    sides = F.explode(F.array(*[F.struct(F.col(s).alias("team"), F.col(f"lineup_{s}").alias("lineup_id"), F.col(f"unit_{s}").alias("unit")) for s in ("home", "away")]))
+    return stints.select(sides.alias("s")).select("s.lineup_id", "s.team", "s.unit").where("lineup_id IS NOT NULL").distinct()
+
+
+def trip_table(shots: DataFrame) -> DataFrame:
+    """One row per free-throw trip: its shooter, positions, size, makes, and whether it is an and-one or left out of possessions."""
+    rows = shots.where("trip IS NOT NULL").groupBy(*KEYS, "trip")
+    return rows.agg(
+        F.first("team").alias("team"), F.first("player_id").alias("player_id"), F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"),
+        F.count("*").alias("size"), F.count_if(F.col("playtype") == "FTM").alias("made"), F.max("and_one").alias("and_one"),
+        F.max("excluded").alias("excluded"), F.max("trip_long").alias("long"),
+    )
 
 
 def possessions(events: DataFrame, stints: DataFrame, length: DataFrame) -> DataFrame:
@@ -142,7 +242,8 @@ def possessions(events: DataFrame, stints: DataFrame, length: DataFrame) -> Data
     at = events.select(*KEYS, F.col("pos").alias("start_pos"), "elapsed", "score_a", "score_b", "home", "away")
     rows = found.join(at, [*KEYS, "start_pos"]).join(length, list(KEYS))
     inside = stints.select(*KEYS, "stint", F.col("start_pos").alias("s0"), F.col("end_pos").alias("s1"), "lineup_home", "lineup_away")
-    rows = rows.join(inside, list(KEYS), "left").where(F.col("start_pos").between(F.col("s0"), F.col("s1")))
+    # stints cover a game from its first row to its last, so each possession begins in one of them
+    rows = rows.join(inside, list(KEYS)).where(F.col("start_pos").between(F.col("s0"), F.col("s1")))
     at_home = F.col("team") == F.col("home")
     margin = F.when(at_home, F.col("score_a") - F.col("score_b")).otherwise(F.col("score_b") - F.col("score_a"))
     return rows.select(
@@ -155,14 +256,14 @@ def possessions(events: DataFrame, stints: DataFrame, length: DataFrame) -> Data
     )
 
 
-def judge(season: Season, events: DataFrame, spans: DataFrame, moves: DataFrame, courts: DataFrame, played: DataFrame, found: DataFrame) -> DataFrame:
+def judge(season: Season, spans: DataFrame, moves: DataFrame, courts: DataFrame, played: DataFrame, found: DataFrame, suspects: DataFrame) -> DataFrame:
     """One row per game: excluded, reasons in their fixed order, and the counts behind them."""
     wrong = played.where(~matches_official(F.col("seconds_corrected"), F.col("seconds_official")))
     named = found.withColumnRenamed("opponent", "other")
     gate = episodes.possession_gate(named, PLAYS, season.games.select(*KEYS, "home", "away"))
     parts = {
         "minutes_mismatch": wrong,
-        "off_court_attribution": rosters.off_court(events, courts, spans, season.players),
+        "off_court_attribution": suspects,
         "not_five_on_court": rosters.not_five(courts, spans, season.games),
         "substitution_state": rosters.state_issues(moves),
         "possession_gate": gate,

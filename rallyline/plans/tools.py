@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallyline.functions.scalars import effective_field_goals, name_like, rate
+from rallyline.functions.scalars import effective_field_goals, name_like, net_rate, rate
 from rallyline.operators.rosters import KEYS
 from rallyline.plans import views
 from rallyline.plans.envelope import Answer, BadRequest, clamp
@@ -34,7 +34,8 @@ class League:
 
     def __init__(self, season: Season, derived: Derived) -> None:
         self.season, self.derived = season, derived
-        self.games = views.v_game(derived)
+        # one row for each game, which every answer asks for its coverage and exclusions
+        self.games = views.v_game(derived).cache()
 
     # -- helpers ---------------------------------------------------------------------------------------------------
 
@@ -62,18 +63,28 @@ class League:
         return self._resolve(self.derived.dimension_players, "player_id", player, "player")
 
     def coverage(self, season: str | None = None) -> list[dict[str, Any]]:
-        rows = self.games if season is None else self.games.where(F.col("season") == season)
-        counts = rows.groupBy("season").agg(
-            F.count("*").alias("games"), F.count_if("excluded").alias("excluded_games"),
-            F.min("utc_date").cast("date").alias("first_date"), F.max("utc_date").cast("date").alias("last_date"),
-        )
-        return [r.asDict() for r in counts.orderBy("season").collect()]
+        return self._notes(season)[0]
 
     def exclusions(self, season: str | None, included: bool) -> dict[str, Any]:
-        rows = self.games.where("excluded")
-        rows = rows if season is None else rows.where(F.col("season") == season)
-        reasons = rows.select(F.explode("reasons").alias("reason")).groupBy("reason").count().orderBy("reason").collect()
-        return {"included": included, "games": rows.count(), "reasons": {r["reason"]: r["count"] for r in reasons}}
+        return {"included": included} | self._notes(season)[1]
+
+    def _notes(self, season: str | None) -> tuple[list[dict[str, Any]], dict[str, Any]]:
+        """Coverage by season, and the excluded games by reason, from one aggregate by verdict: a few rows a season."""
+        rows = self.games if season is None else self.games.where(F.col("season") == season)
+        day = F.col("utc_date").cast("date")
+        got = rows.groupBy("season", "excluded", "reasons").agg(F.count("*").alias("n"), F.min(day).alias("first"), F.max(day).alias("last")).collect()
+        coverage: dict[str, dict[str, Any]] = {}
+        reasons: dict[str, int] = {}
+        for r in sorted(got, key=lambda r: r["season"]):
+            c = coverage.setdefault(r["season"], {"season": r["season"], "games": 0, "excluded_games": 0, "first_date": r["first"], "last_date": r["last"]})
+            c["games"] += r["n"]
+            c["first_date"], c["last_date"] = min(c["first_date"], r["first"]), max(c["last_date"], r["last"])
+            if r["excluded"]:
+                c["excluded_games"] += r["n"]
+                for reason in r["reasons"]:
+                    reasons[reason] = reasons.get(reason, 0) + r["n"]
+        out = sum(c["excluded_games"] for c in coverage.values())
+        return list(coverage.values()), {"games": out, "reasons": dict(sorted(reasons.items()))}
 
     def _visible(self, rows: DataFrame, season: str, include_quarantined: bool) -> DataFrame:
         rows = rows.where(F.col("season") == season)
@@ -88,22 +99,27 @@ class League:
         reason = more.pop("empty_reason", None)
         if not got and offset and total:
             reason = "page_out_of_range"
-        return Answer(got, self.coverage(season), self.exclusions(season, include), offset, total, empty_reason=reason, **more).as_dict()
+        coverage, out = self._notes(season)
+        return Answer(got, coverage, {"included": include} | out, offset, total, empty_reason=reason, **more).as_dict()
 
     # -- the ten tools ---------------------------------------------------------------------------------------------
 
     def describe_warehouse(self, include_quarantined: bool = False) -> dict[str, Any]:
-        teams = {r["season"]: r["n"] for r in self.derived.dimension_teams.groupBy("season").agg(F.count("*").alias("n")).collect()}
+        """Seasons, teams, coordinate coverage and excluded games: what to read first."""
+        teams: dict[str, list[dict[str, str]]] = {}
+        for r in self.derived.dimension_teams.orderBy("season", "team").collect():  # a few dozen a season
+            teams.setdefault(r["season"], []).append({"team": r["team"], "name": r["name"]})
         shots = views.v_shot_data(self.season, self.derived).where("shot_type <> 'FT'").groupBy("season")
         found = {r["season"]: r for r in shots.agg(F.count("*").alias("n"), F.count_if("has_real_coordinate").alias("real")).collect()}
         rows = self.coverage()
         for r in rows:
             s = found.get(r["season"])
-            r |= {"teams": teams.get(r["season"], 0), "field_goals": s["n"] if s else 0, "with_real_coordinates": s["real"] if s else 0}
+            r |= {"teams": len(teams.get(r["season"], [])), "team_list": teams.get(r["season"], []), "field_goals": s["n"] if s else 0, "with_real_coordinates": s["real"] if s else 0}
         return Answer(rows, self.coverage(), self.exclusions(None, include_quarantined), total_available=len(rows)).as_dict()
 
     def shot_data(self, season: str, game: int | None = None, team: str | None = None, player: str | None = None, period: int | None = None, made: bool | None = None,
                   shot_type: str | None = None, only_with_real_coordinates: bool = False, limit: int | None = None, offset: int = 0, include_quarantined: bool = False) -> dict[str, Any]:
+        """Shot events with their coordinates where the feed has real ones."""
         season = self.resolve_season(season)
         if shot_type not in (None, "2P", "3P", "FT"):
             raise BadRequest("shot_type must be 2P, 3P or FT")
@@ -117,10 +133,11 @@ class League:
         loaded = self.season.shots.where(F.col("season") == season).limit(1).count() > 0
         reason = "no_matching_shots" if loaded or not only_with_real_coordinates else "shot_coordinates_not_loaded"
         rows = rows.where("has_real_coordinate") if only_with_real_coordinates else rows
-        return self._answer(season, rows.drop("excluded"), ["game", "pos"], include_quarantined, limit, offset, empty_reason=reason)
+        return self._answer(season, rows, ["game", "pos"], include_quarantined, limit, offset, empty_reason=reason)
 
     def find_games(self, season: str, team: str | None = None, opponent: str | None = None, from_date: str | None = None, to_date: str | None = None, phase: str | None = None,
                    round_number: int | None = None, limit: int | None = None, offset: int = 0, include_quarantined: bool = False) -> dict[str, Any]:
+        """Games of a season by team, opponent, dates, phase or round."""
         season = self.resolve_season(season)
         rows = self._visible(self.games, season, include_quarantined)
         for t in filter(None, (team, opponent)):
@@ -151,6 +168,7 @@ class League:
     FACTORS = ("effective_fg", "turnover_rate", "offensive_rebound_rate", "free_throw_rate", "offensive_rating", "defensive_rating")
 
     def game(self, season: str, gamecode: int, include_quarantined: bool = False) -> dict[str, Any]:
+        """One game: both sides' box score, possessions and four factors."""
         season = self.resolve_season(season)
         one = self.games.where((F.col("season") == season) & (F.col("game") == gamecode)).collect()
         if not one:
@@ -159,11 +177,21 @@ class League:
             raise BadRequest(f"game {gamecode} is quarantined ({', '.join(one[0]['reasons'])}); ask with include_quarantined")
         rows = views.v_team_game(self.season, self.derived).where((F.col("season") == season) & (F.col("game") == gamecode))
         rows = self._factors(rows).withColumn("side", F.when(F.col("team") == F.col("home"), "home").otherwise("away"))
-        rows = rows.select("game", "side", "team", "opponent", "points", "possessions", *self.FACTORS)
+        rows = rows.withColumns({
+            "field_goals_made": F.col("field_goals_made2") + F.col("field_goals_made3"),
+            "field_goals_attempted": F.col("field_goals_attempted2") + F.col("field_goals_attempted3"),
+        })
+        rows = rows.select(
+            "game", "side", "team", "opponent", "points", F.col("opp_points").alias("opponent_points"), "field_goals_made", "field_goals_attempted",
+            F.col("field_goals_made3").alias("three_pointers_made"), F.col("field_goals_attempted3").alias("three_pointers_attempted"),
+            "free_throws_made", "free_throws_attempted", "offensive_rebounds", "defensive_rebounds", F.col("assistances").alias("assists"), "steals",
+            "turnovers", "fouls_commited", "possessions", F.col("opp_possessions").alias("opponent_possessions"), *self.FACTORS, "excluded", "reasons",
+        )
         return self._answer(season, rows, [F.desc("side")], include_quarantined)
 
     def team_stats(self, season: str, team: str | None = None, clutch_max_seconds_remaining: int | None = None, clutch_max_margin: int | None = None,
                    include_quarantined: bool = False) -> dict[str, Any]:
+        """Season totals, four factors and ratings by team; optionally of late and close possessions."""
         season = self.resolve_season(season)
         if (clutch_max_seconds_remaining is None) != (clutch_max_margin is None):
             raise BadRequest("both clutch arguments or neither")
@@ -183,11 +211,13 @@ class League:
                   "turnovers", "offensive_rebounds", "opp_defensive_rebounds", "free_throws_attempted", "clutch_possessions", "clutch_points"]
         rows = rows.groupBy("team").agg(F.count("*").alias("games"), *[F.sum(c).alias(c) for c in summed])
         rows = self._factors(rows).withColumn("clutch_rating", rate(F.col("clutch_points"), F.col("clutch_possessions"), 2, 100))
-        rows = rows.select("team", "games", "points", "possessions", *self.FACTORS, "clutch_possessions", "clutch_rating")
+        rows = rows.withColumn("possessions_per_game", rate(F.col("possessions"), F.col("games"), 2))
+        rows = rows.select("team", "games", "points", "possessions", "possessions_per_game", *self.FACTORS, "clutch_possessions", "clutch_rating")
         return self._answer(season, rows, [F.desc_nulls_last("offensive_rating"), "team"], include_quarantined, 200, caveats=caveats)
 
     def player_stats(self, season: str, player: str | None = None, team: str | None = None, per_game: bool = False, minutes_basis: str = "corrected", min_seconds: int = 0,
                      limit: int | None = None, offset: int = 0, include_quarantined: bool = False) -> dict[str, Any]:
+        """Season totals or averages by player, with minutes on a stated basis."""
         season = self.resolve_season(season)
         if minutes_basis not in BASES:
             raise BadRequest(f"minutes_basis must be one of {', '.join(BASES)}")
@@ -197,15 +227,27 @@ class League:
         if team:
             rows = rows.where(F.col("team") == self.resolve_team(season, team))
         rows = rows.withColumn("seconds", F.col(BASES[minutes_basis]))
-        sums = ["seconds", "points", "total_rebounds", "assistances", "steals", "turnovers", "free_throws_made", "field_goals_made2", "field_goals_made3"]
-        made = rows.groupBy("player_id").agg(F.max("name").alias("name"), F.max("team").alias("team"), F.count("*").alias("games"), *[F.sum(c).alias(c) for c in sums])
-        made = made.where(F.col("seconds") >= min_seconds)
-        if per_game:
-            made = made.withColumns({c: rate(F.col(c), F.col("games"), 2) for c in sums})
+        counted = {"points": "points", "rebounds": "total_rebounds", "assists": "assistances", "steals": "steals", "turnovers": "turnovers", "valuation": "valuation"}
+        hidden = ["seconds", "team_possessions", "field_goals_made2", "field_goals_made3", "field_goals_attempted2", "field_goals_attempted3"]
+        made = rows.groupBy("player_id").agg(
+            F.max("name").alias("name"), F.max("team").alias("team"), F.count("*").alias("games"),
+            *[F.sum(c).alias(name) for name, c in counted.items()], *[F.sum(c).alias(f"_{c}") for c in hidden],
+        )
+        made = made.where(F.col("_seconds") >= min_seconds)
+        # one rounding, of sums: rates and averages of rounded parts would drift
+        by = F.col("games") if per_game else F.lit(1)
+        goals = F.col("_field_goals_made2") + F.col("_field_goals_made3")
+        tried = F.col("_field_goals_attempted2") + F.col("_field_goals_attempted3")
+        made = made.select(
+            "player_id", "name", "team", "games", rate(F.col("_seconds"), by * 60, 1).alias("minutes"),
+            *[rate(F.col(c), by, 2).alias(c) for c in counted], effective_field_goals(goals, F.col("_field_goals_made3"), tried).alias("effective_fg"),
+            rate(F.col("points"), F.col("_team_possessions"), 2, 100).alias("points_per_100_team_possessions"), F.col("_seconds").alias("seconds"),
+        )
         return self._answer(season, made, [F.desc_nulls_last("points"), "player_id"], include_quarantined, limit, offset, estimate=True, basis=minutes_basis)
 
     def lineup_stats(self, season: str, team: str | None = None, contains_player: str | None = None, min_possessions: int = 25, limit: int | None = None, offset: int = 0,
                      include_quarantined: bool = False) -> dict[str, Any]:
+        """Five-player units with both ratings, by net rating."""
         season = self.resolve_season(season)
         rows = self._visible(views.v_possession(self.derived), season, include_quarantined)
         own = rows.groupBy(F.col("offense_lineup").alias("lineup_id")).agg(F.count("*").alias("possessions"), F.sum("points").alias("points"))
@@ -219,11 +261,12 @@ class League:
             made = made.where(F.col("team") == self.resolve_team(season, team))
         made = made.where(F.col("possessions") >= min_possessions)
         made = made.withColumns({"offensive_rating": rate(F.col("points"), F.col("possessions"), 2, 100), "defensive_rating": rate(F.col("opp_points"), F.col("opp_possessions"), 2, 100)})
-        made = made.withColumn("net_rating", F.col("offensive_rating") - F.col("defensive_rating"))
+        made = made.withColumn("net_rating", net_rate(F.col("points"), F.col("possessions"), F.col("opp_points"), F.col("opp_possessions")))
         return self._answer(season, made, [F.desc_nulls_last("net_rating"), "lineup_id"], include_quarantined, limit, offset, estimate=True,
                             caveats=["The floor counts possessions on offence alone."])
 
     def player_on_off(self, season: str, player: str, team: str | None = None, include_quarantined: bool = False) -> dict[str, Any]:
+        """Ratings of a player's team with the player on the floor and off it."""
         season = self.resolve_season(season)
         who = self.resolve_player(player)
         units = views.v_lineup_player(self.derived).where(F.col("player_id") == who).select("lineup_id", "team").distinct()
@@ -234,18 +277,20 @@ class League:
         flags = units.select("lineup_id", F.lit(True).alias("has"))
 
         def side(of: str, lineup: str, prefix: str) -> DataFrame:
-            own = rows.join(F.broadcast(teams), rows[of] == teams["team"]).drop(teams["team"]).withColumn("side_team", F.col(of))
+            own = rows.join(teams, rows[of] == teams["team"]).drop(teams["team"]).withColumn("side_team", F.col(of))
             own = own.join(flags, own[lineup] == flags["lineup_id"], "left").withColumn("split", F.when(F.col("has"), "on").otherwise("off"))
             return own.groupBy("side_team", "split").agg(F.count("*").alias(f"{prefix}possessions"), F.sum("points").alias(f"{prefix}points"))
 
         made = side("team", "offense_lineup", "").join(side("opponent", "defense_lineup", "opp_"), ["side_team", "split"])
         made = made.withColumns({"offensive_rating": rate(F.col("points"), F.col("possessions"), 2, 100), "defensive_rating": rate(F.col("opp_points"), F.col("opp_possessions"), 2, 100)})
-        made = made.withColumn("net_rating", F.col("offensive_rating") - F.col("defensive_rating")).withColumnRenamed("side_team", "team")
+        made = made.withColumn("net_rating", net_rate(F.col("points"), F.col("possessions"), F.col("opp_points"), F.col("opp_possessions")))
+        made = made.withColumnRenamed("side_team", "team")
         return self._answer(season, made, ["team", F.desc("split")], include_quarantined, 200, caveats=["'off' includes games that the player missed."])
 
     def possessions(self, season: str, game: int | None = None, team: str | None = None, lineup_id: str | None = None, max_seconds_remaining: int | None = None,
                     max_margin: int | None = None, end_reason: str | None = None, aggregate: bool = False, limit: int | None = None, offset: int = 0,
                     include_quarantined: bool = False) -> dict[str, Any]:
+        """Possessions one by one, or summed by team."""
         season = self.resolve_season(season)
         rows = self._visible(views.v_possession(self.derived), season, include_quarantined)
         for c, v in {"game": game, "offense_lineup": lineup_id, "end_reason": end_reason, "team": self.resolve_team(season, team) if team else None}.items():
@@ -253,24 +298,32 @@ class League:
         rows = rows if max_seconds_remaining is None else rows.where(F.col("seconds_remaining_raw") <= max_seconds_remaining)
         rows = rows if max_margin is None else rows.where(F.abs("margin_at_start") <= max_margin)
         if aggregate:
+            left = F.sum("seconds_remaining_raw").alias("_left")
             made = rows.groupBy("team").agg(
-                F.count("*").alias("possessions"), F.sum("points").alias("points"), F.count_if(F.col("points") > 0).alias("scoring"),
-                F.round(F.avg("margin_at_start").cast("decimal(12,4)"), 1).alias("mean_margin"),
+                F.count("*").alias("possessions"), F.sum("points").alias("points"), F.count_if("straddles").alias("straddling"), left,
+                F.count("seconds_remaining_raw").alias("_known"),
             )
-            made = made.withColumn("points_per_100", rate(F.col("points"), F.col("possessions"), 2, 100))
-            return self._answer(season, made, ["team"], include_quarantined, limit, offset)
+            made = made.select(
+                "team", "possessions", "points", rate(F.col("points"), F.col("possessions"), 2, 100).alias("points_per_100"), "straddling",
+                rate(F.col("_left"), F.col("_known"), 1).alias("mean_seconds_remaining_at_start"),
+            )
+            return self._answer(season, made, [F.desc("possessions"), "team"], include_quarantined, 200, basis="raw")
         return self._answer(season, rows.drop("excluded", "phase", "utc_date"), ["game", "possession_index"], include_quarantined, limit, offset, basis="raw",
                             caveats=["Time left and margin are those at the possession's first event, its own basket included."])
 
     def play_by_play(self, season: str, gamecode: int, period: int | None = None, playtype: str | None = None, from_index: int | None = None, limit: int | None = None,
                      offset: int = 0, include_quarantined: bool = False) -> dict[str, Any]:
+        """One game's events in their only valid order, with units, possession and trip."""
         season = self.resolve_season(season)
         rows = self._visible(views.v_play_by_play(self.derived), season, include_quarantined).where(F.col("game") == gamecode)
         rows = rows if period is None else rows.where(F.col("period") == period)
         rows = rows if playtype is None else rows.where(F.col("playtype") == playtype.upper())
         rows = rows if from_index is None else rows.where(F.col("pos") >= from_index)
-        rows = rows.select("game", "pos", "period", "clock", "playtype", "team", "player_id", "name", "score_a", "score_b", "stint", "possession_index")
-        made = self._answer(season, rows, ["pos"], include_quarantined, limit, offset)
+        rows = rows.select(
+            "game", "pos", "period", "clock", "playtype", "team", "player_id", "name", "score_a", "score_b", "lineup_home", "lineup_away", "stint",
+            "possession_index", "trip", "is_team_event", F.col("clock_backwards").alias("clock_moved_backwards"), "attribution_suspect", "elapsed_corrected",
+        )
+        made = self._answer(season, rows, ["pos"], include_quarantined, limit, offset, basis="corrected")
         if not made["rows"] and not offset:
             raise Unknown(f"no such plays in game {gamecode} of {season}")
         return made

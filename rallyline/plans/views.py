@@ -29,28 +29,20 @@ def v_team_game(s: Season, d: Derived) -> DataFrame:
     counts = d.possessions.groupBy(*KEYS, "team").agg(F.count("*").alias("possessions"))
     rows = rows.join(counts, [*KEYS, "team"], "left")
     rows = rows.join(counts.select(*KEYS, F.col("team").alias("opponent"), F.col("possessions").alias("opp_possessions")), [*KEYS, "opponent"], "left")
-    return rows.join(v_game(d).select(*KEYS, "home", "away", "utc_date", "phase", "round", "excluded"), list(KEYS))
+    return rows.join(v_game(d).select(*KEYS, "home", "away", "utc_date", "phase", "round", "excluded", "reasons"), list(KEYS))
 
 
 def v_player_game(s: Season, d: Derived) -> DataFrame:
-    """One row per listed player and game: official statistics and seconds by basis."""
+    """One row per listed player and game: official statistics, seconds by basis, and the team's possessions."""
     seconds = d.minutes.select(*KEYS, "team", "player_id", "seconds_raw", "seconds_corrected", "seconds_official")
     rows = s.players.drop("name").join(seconds, [*KEYS, "team", "player_id"]).join(d.dimension_players, "player_id", "left")
-    return rows.join(v_game(d).select(*KEYS, "excluded"), list(KEYS))
-
-
-def lineups(d: Derived) -> DataFrame:
-    """One row per five-player unit: lineup_id, team, unit."""
-    both = d.stints.select(F.col("home").alias("team"), F.col("lineup_home").alias("lineup_id"), F.col("unit_home").alias("unit")).unionByName(
-        d.stints.select(F.col("away").alias("team"), F.col("lineup_away").alias("lineup_id"), F.col("unit_away").alias("unit"))
-    )
-    return both.where("lineup_id IS NOT NULL").distinct()
+    counts = d.possessions.groupBy(*KEYS, "team").agg(F.count("*").alias("team_possessions"))
+    return rows.join(counts, [*KEYS, "team"], "left").join(v_game(d).select(*KEYS, "excluded"), list(KEYS))
 
 
 def v_lineup_player(d: Derived) -> DataFrame:
     """One row per unit and player."""
-    rows = lineups(d).select("lineup_id", "team", F.explode("unit").alias("player_id"))
-    return rows.join(d.dimension_players, "player_id", "left")
+    return d.lineup_players.join(d.dimension_players.drop("name_season"), "player_id", "left")
 
 
 def v_possession(d: Derived) -> DataFrame:
@@ -58,6 +50,7 @@ def v_possession(d: Derived) -> DataFrame:
 
 
 def v_play_by_play(d: Derived) -> DataFrame:
+    """One row per event in its order, with the units on the floor and the marks that say how far to trust it."""
     rows = d.events.join(d.dimension_players, "player_id", "left")
     return rows.join(v_game(d).select(*KEYS, "excluded"), list(KEYS))
 
@@ -72,8 +65,8 @@ def v_shot_data(s: Season, d: Derived) -> DataFrame:
     for name in ("x", "y", "zone"):
         rows = rows.withColumn(name, real_coordinate(x, y, F.col(f"_{name}")))
     rows = rows.withColumn("has_real_coordinate", F.col("x").isNotNull())
-    rows = rows.join(d.dimension_players, "player_id", "left").join(v_game(d).select(*KEYS, "excluded"), list(KEYS))
+    rows = rows.join(d.dimension_players, "player_id", "left").join(v_game(d).select(*KEYS, "excluded", "reasons"), list(KEYS))
     return rows.select(
         *KEYS, "pos", "number", "period", "clock", "team", "player_id", "name", "playtype", "shot_type", "made", "x", "y", "zone",
-        "has_real_coordinate", "fastbreak", "second_chance", "off_turnover", "excluded",
+        "has_real_coordinate", "fastbreak", "second_chance", "off_turnover", "excluded", "reasons",
     )

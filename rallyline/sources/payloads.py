@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from rallyline.functions.scalars import integer_or_null, trimmed
+from rallyline.functions.scalars import integer_or_null, strict_boolean, trimmed
 from rallyline.operators.ordered import Stream
 
 #: Payload fields as the source spells them.
@@ -123,7 +123,7 @@ def _needed(value: Column, what: str) -> Column:
 def players(box: DataFrame) -> DataFrame:
     """One row per listed player: ids, flags, official minutes and 18 statistics."""
     rows = box.select("season", "game", F.explode("Stats").alias("s")).select("season", "game", F.explode("s.PlayersStats").alias("p"))
-    flag = lambda c: F.coalesce(F.lower(F.col(c)).isin("1", "true", "1.0"), F.lit(False))
+    flag = lambda c: strict_boolean(F.regexp_replace(F.coalesce(F.col(c), F.lit("0")), r"\.0$", ""))
     return rows.select(
         "season", "game", _needed(trimmed(F.col("p.Player_ID")), "player id").alias("player_id"), _needed(trimmed(F.col("p.Team")), "team").alias("team"),
         trimmed(F.col("p.Player")).alias("name"), trimmed(F.col("p.Dorsal")).alias("dorsal"), flag("p.IsStarter").alias("is_starter"),
@@ -140,6 +140,7 @@ def team_rows(box: DataFrame) -> DataFrame:
         F.struct(F.lit("total").alias("row_kind"), F.col("s.totr").alias("t")), F.struct(F.lit("team_only").alias("row_kind"), F.col("s.tmr").alias("t"))
     )
     rows = rows.select("season", "game", code.alias("team"), trimmed(F.col("s.Coach")).alias("coach"), F.explode(kinds).alias("k"))
+    rows = rows.withColumn("team", _needed(F.col("team"), "team code"))
     return rows.select("season", "game", "team", "coach", "k.row_kind", *[F.col(f"k.t.{s}").alias(_snake(s)) for s in STATISTICS])
 
 
@@ -147,6 +148,7 @@ def games(spark: SparkSession, root: str, season: str) -> DataFrame:
     """The schedule of a season: one row per game, played or not."""
     rows = spark.read.schema(SCHEDULE).option("multiLine", True).json(f"{root}/{season}/schedule.json").select(F.explode("data").alias("g"))
     referees = F.array_compact(F.array(*[F.col(f"g.referee{i}.name") for i in range(1, 5)]))
+    codes = F.array_compact(F.array(*[F.col(f"g.referee{i}.code") for i in range(1, 5)]))
     return rows.select(
         F.lit(season).alias("season"), F.col("g.gameCode").alias("game"), F.col("g.played").eqNullSafe(True).alias("played"),
         F.col("g.round").alias("round"), trimmed(F.col("g.phaseType.code")).alias("phase"),
@@ -155,9 +157,28 @@ def games(spark: SparkSession, root: str, season: str) -> DataFrame:
         trimmed(F.col("g.local.club.name")).alias("home_name"), trimmed(F.col("g.road.club.name")).alias("away_name"),
         F.col("g.local.score").alias("home_score"), F.col("g.road.score").alias("away_score"),
         F.coalesce("g.isNeutralVenue", F.lit(False)).alias("neutral"), trimmed(F.col("g.venue.name")).alias("venue"), referees.alias("referees"),
+        codes.alias("referee_codes"), trimmed(F.col("g.gameStatus")).alias("status"), trimmed(F.col("g.roundName")).alias("round_name"),
+        trimmed(F.col("g.phaseType.name")).alias("phase_name"), trimmed(F.col("g.season.competitionCode")).alias("competition"),
+        trimmed(F.col("g.venue.code")).alias("venue_code"), F.col("g.venue.capacity").alias("venue_capacity"),
     )
 
 
+def teams(scheduled: DataFrame) -> DataFrame:
+    """Rows (season, team, name) of all scheduled games, played or not; of several names the one of the latest game."""
+    sides = F.explode(F.array(*[F.struct(F.col(s).alias("team"), F.col(f"{s}_name").alias("name")) for s in ("home", "away")]))
+    rows = scheduled.select("season", "game", sides.alias("t")).where("t.team IS NOT NULL")
+    return rows.groupBy("season", "t.team").agg(F.max_by("t.name", "game").alias("name"))
+
+
+def with_box(games: DataFrame, box: DataFrame) -> DataFrame:
+    """games with what their box scores tell: attendance, the officials' pairs, and whether the game was still live."""
+    own = box.select(
+        "season", "game", integer_or_null(trimmed(F.col("Attendance"))).alias("attendance"), referee_pairs(F.col("Referees")).alias("referee_pairs"),
+        F.col("Live").alias("live"),
+    )
+    return games.join(own, ["season", "game"], "left")
+
+
 def referee_pairs(text: Column) -> Column:
     """'A, B, C, D' as pairs 'A, B' and 'C, D'; an odd number of parts is an error."""
     parts = F.split(text, r"\s*,\s*")

@@ -7,10 +7,13 @@ again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from rallyline.operators.quality import refuse
 from rallyline.operators.rosters import KEYS
 from rallyline.plans.season import Derived, Season, derive
 from rallyline.session import durable
@@ -36,23 +39,53 @@ def new_games(spark: SparkSession, candidates: DataFrame, out: str) -> DataFrame
     return candidates.join(verdicts.select(F.col("season").cast("string").alias("season"), "game"), list(KEYS), "left_anti")
 
 
-def upserted(old: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of both tables by key, the new table's where both have it."""
-    return new if old is None else old.select(new.columns).join(new, keys, "left_anti").unionByName(new)
+def upserted(old: DataFrame | None, new: DataFrame, keys: list[str], newer: str | None = None) -> DataFrame:
+    """The rows of both tables by key, the new table's where both have it, or the one that is greater in `newer`."""
+    if old is None:
+        return new
+    old = old.select([F.col(c).cast(t) for c, t in new.dtypes])
+    if newer is None:
+        return old.join(new, keys, "left_anti").unionByName(new)
+    rows = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    last = Window.partitionBy(*keys).orderBy(F.desc(newer), F.desc("_new"))
+    return rows.withColumn("_nth", F.row_number().over(last)).where("_nth = 1").select(new.columns)
+
+
+def missing(spark: SparkSession, root: str, season: str) -> DataFrame:
+    """Rows (season, game, endpoint): the payloads that played games of a season lack; only file names are read."""
+    wanted = payloads.games(spark, root, season).where("played").select(*KEYS, F.explode(F.lit(list(ENDPOINTS))).alias("endpoint"))
+    there = payloads.files(spark, root).select(*KEYS, "endpoint")
+    return wanted.join(there, [*KEYS, "endpoint"], "left_anti")
 
 
-def build(spark: SparkSession, root: str, season: str, out: str) -> DataFrame:
-    """Derive and write the games that the warehouse lacks; their keys."""
+def build(spark: SparkSession, root: str, season: str, out: str, partial: bool = True) -> DataFrame:
+    """Derive and write the games that the warehouse lacks; their keys.
+
+    Games without all their payloads wait for a later build; with partial off, any of them ends the build before
+    anything is written, all named.  Games that break a rule go to the table `refused` with their findings, and are
+    tried again by the next build.
+    """
+    if not partial:
+        refuse(missing(spark, root, season), "payloads are missing")
     ready = durable(complete_games(spark, root, season))
     fresh = durable(new_games(spark, ready, out))
     if fresh.isEmpty():
         return fresh
-    made = derive(Season.read(spark, root, season).only(ready))
+    refused: list[DataFrame] = []
+    made = derive(Season.read(spark, root, season).only(ready), refused)
+    bad = functools.reduce(DataFrame.unionByName, refused)
+    if (before := existing(spark, f"{out}/refused")) is not None:
+        bad = before.where(F.col("season") != season).select(bad.columns).unionByName(bad)
+    bad = durable(bad)
+    bad.write.mode("overwrite").parquet(f"{out}/refused")
+    fresh = durable(fresh.join(bad.select(*KEYS).distinct(), list(KEYS), "left_anti"))
     # written first: a table can't be read while it is replaced
-    people = durable(upserted(existing(spark, f"{out}/dimension_players"), made.dimension_players, ["player_id"]))
+    kept = {}
+    for name, keys, newer in (("dimension_players", ["player_id"], "name_season"), ("dimension_teams", ["season", "team"], None), ("lineups", ["lineup_id"], None), ("lineup_players", ["lineup_id", "player_id"], None)):
+        kept[name] = durable(upserted(existing(spark, f"{out}/{name}"), getattr(made, name), keys, newer))
 
     def chosen(name: str) -> DataFrame:
-        df = people if name == "dimension_players" else getattr(made, name)
+        df = kept.get(name, getattr(made, name))
         return df.join(fresh, list(KEYS), "left_semi") if set(KEYS) <= set(df.columns) else df
 
     Derived(*[chosen(name) for name in Derived.names()]).save(out)

@@ -90,7 +90,45 @@ def test_rows(served):
     assert [r["pos"] for r in plays["rows"]] == [5, 6]
     with pytest.raises(Unknown):
         lg.play_by_play("S1", 1, playtype="nothing")
-    assert lg.describe_warehouse()["rows"][0]["teams"] == 3
+    about = lg.describe_warehouse()["rows"][0]
+    assert about["teams"] == 3 and [t["team"] for t in about["team_list"]] == ["AAA", "BBB", "CCC"]
+    assert {"trip", "is_team_event", "attribution_suspect", "clock_moved_backwards", "lineup_home", "lineup_away", "elapsed_corrected"} <= plays["rows"][0].keys()
+    suspect = [r for r in lg.play_by_play("S1", 4, limit=200, from_index=0, include_quarantined=True, playtype="AS")["rows"]]
+    assert [r["attribution_suspect"] for r in suspect] == [True]
+
+
+def test_numbers_come_from_sums(served):
+    """Ratings are rounded once, from sums; totals and averages of players and possessions agree with the facts."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    lg, facts = served
+    half_up = lambda x, n: Decimal(x).quantize(Decimal(1).scaleb(-n), ROUND_HALF_UP)
+    exact = lambda a, b: Decimal(100) * a / b
+    for r in [*lg.lineup_stats("S1", min_possessions=1)["rows"], *lg.player_on_off("S1", "PAAA0")["rows"]]:
+        if r["possessions"] and r["opp_possessions"]:
+            net = exact(r["points"], r["possessions"]) - exact(r["opp_points"], r["opp_possessions"])
+            assert r["net_rating"] == half_up(net, 2)
+    rows = lg.possessions("S1", aggregate=True)["rows"]
+    assert [r["possessions"] for r in rows] == sorted((r["possessions"] for r in rows), reverse=True)
+    every = lg.possessions("S1", team=rows[0]["team"], limit=200)
+    assert every["total_available"] == rows[0]["possessions"]
+    if not every["truncated"]:
+        left = [r["seconds_remaining_raw"] for r in every["rows"]]
+        assert rows[0]["mean_seconds_remaining_at_start"] == half_up(Decimal(sum(left)) / len(left), 1)
+        assert rows[0]["straddling"] == sum(r["straddles"] for r in every["rows"])
+    total, mean = (lg.player_stats("S1", player="PAAA1", per_game=p, minutes_basis="raw")["rows"][0] for p in (False, True))
+    seconds = sum(facts[g]["seconds"].get("PAAA1", 0) for g in (1, 3))
+    assert total["minutes"] == half_up(Decimal(seconds) / 60, 1) and mean["minutes"] == half_up(Decimal(seconds) / 60 / total["games"], 1)
+    own = [facts[g]["stats"].get("PAAA1", {}) for g in (1, 3)]
+    points = sum(2 * g.get("2", 0) + 3 * g.get("3", 0) + g.get("ft", 0) for g in own)
+    made = sum(g.get("2", 0) + g.get("3", 0) for g in own) + Decimal("0.5") * sum(g.get("3", 0) for g in own)
+    tried = sum(g.get("2a", 0) + g.get("3a", 0) for g in own)
+    assert total["points"] == points and total["effective_fg"] == half_up(made / tried, 4)
+    team = lg.team_stats("S1", team="AAA")["rows"][0]
+    assert total["points_per_100_team_possessions"] == half_up(exact(points, team["possessions"]), 2)
+    assert team["possessions_per_game"] == half_up(Decimal(team["possessions"]) / team["games"], 2)
+    one = lg.game("S1", 1)["rows"]
+    assert one[0]["opponent_points"] == one[1]["points"] and one[0]["opponent_possessions"] == one[1]["possessions"] and not one[0]["excluded"]
 
 
 def test_json_rpc(served):
@@ -98,9 +136,14 @@ def test_json_rpc(served):
     ask = lambda **m: json.dumps({"jsonrpc": "2.0", **m})
     call = lambda i, name, **a: ask(id=i, method="tools/call", params={"name": name, "arguments": a})
     lines = [ask(id=1, method="initialize"), ask(method="notifications/initialized"), ask(id=2, method="tools/list"), call(3, "find_games", season="S1"),
-             call(4, "find_games"), call(5, "find_games", season="nope"), ask(id=6, method="x"), "not json", ask(id=7, method="ping")]
+             call(4, "find_games"), call(5, "find_games", season="nope"), ask(id=6, method="x"), "not json", ask(id=7, method="ping"),
+             "3", ask(id=8, method="tools/call", params=[1]), ask(id=None, method="ping"), ask(id=9, method=4),
+             call(10, "shot_data", season="S1", game="x"), ask(id=11, method="initialize", params={"protocolVersion": "2025-03-26"})]
     got = [json.loads(x) for x in protocol.serve(lg, lines)]
-    assert [x["id"] for x in got] == [1, 2, 3, 4, 5, 6, None, 7]
+    assert [x["id"] for x in got] == [1, 2, 3, 4, 5, 6, None, 7, None, 8, 9, 10, 11]
+    assert [x["error"]["code"] for x in got if "error" in x] == [-32602, -32601, -32700, -32600, -32602, -32600]
+    assert got[11]["result"]["isError"] and got[12]["result"]["protocolVersion"] == "2025-03-26"
+    assert got[0]["result"]["protocolVersion"] == protocol.VERSIONS[0] and got[1]["result"]["tools"][0]["description"]
     assert len(got[1]["result"]["tools"]) == 10
     assert json.loads(got[2]["result"]["content"][0]["text"])["row_count"] == 2
     assert got[3]["error"]["code"] == -32602 and got[4]["result"]["isError"] and got[5]["error"]["code"] == -32601
