@@ -66,10 +66,18 @@ def season_switch(candidates: DataFrame, raw: str, corrected: str, keys: list[st
     return candidates.groupBy(*keys).agg((F.sum(corrected) < F.sum(raw)).alias("use_correction"))
 
 
-def ordered_fingerprint(df: DataFrame, row: Column, key: str) -> DataFrame:
-    """md5 of the rows' md5s in key order: for tables small enough to be put in order in one place."""
-    rows = df.select(F.md5(row).alias("m"), F.col(key).alias("k"))
-    return rows.agg(F.md5(F.expr("listagg(m, '') WITHIN GROUP (ORDER BY k)")).alias("fingerprint"), F.count("*").alias("n"))
+def ordered_fingerprint(df: DataFrame, row: Column, key: str, bits: int = 12, levels: int = 2) -> DataFrame:
+    """md5 of the rows' md5s in the order of a whole-number key, which must be unique.
+
+    Ranges of 2^bits keys are put in order and hashed by themselves, then ranges of ranges, `levels` times, and what is
+    left in one place: so no task orders more than 2^bits rows, and the last one a 2^-(bits * levels) share of them.
+    """
+    rows = df.select(F.md5(row).alias("m"), F.col(key).cast("long").alias("k"), F.lit(1).cast("long").alias("n"))
+    listed = F.md5(F.expr("listagg(m, '') WITHIN GROUP (ORDER BY k)"))
+    for _ in range(levels):
+        rows = rows.groupBy(F.shiftright("k", bits).alias("r")).agg(listed.alias("m"), F.sum("n").alias("n"))
+        rows = rows.select("m", F.col("r").alias("k"), "n")
+    return rows.agg(listed.alias("fingerprint"), F.sum("n").alias("n"))
 
 
 def table_fingerprint(df: DataFrame) -> tuple[int, int, int]:

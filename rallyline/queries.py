@@ -7,13 +7,17 @@ the ordered operators are DataFrame plans with SQL of their own.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyline.functions.scalars import at_or_null, lineup_hash, ratio
-from rallyline.operators import episodes, intervals, ordered, quality
+from rallyline.functions.scalars import (
+    at_or_null, elapsed_seconds, lineup_hash, matches_official, name_like, net_rate, official_seconds, rate, ratio, real_coordinate, shot_made, shot_type, winner,
+)
+from rallyline.operators import episodes, intervals, ordered, quality, rosters
 from rallyline.operators.ordered import Stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,24 +96,6 @@ RELATIONAL = {
         (SELECT c_custkey AS k FROM {customer} WHERE c_acctbal > 0 INTERSECT SELECT o_custkey AS k FROM {orders})
         UNION
         (SELECT o_custkey AS k FROM {orders} WHERE o_totalprice > 400000)""",
-    "q_winner_case": """
-        WITH g AS (
-          SELECT o_custkey AS custkey,
-                 max(CASE WHEN o_orderstatus = 'F' THEN CAST(round(o_totalprice * 100) AS BIGINT) END) AS home,
-                 max(CASE WHEN o_orderstatus = 'O' THEN CAST(round(o_totalprice * 100) AS BIGINT) END) AS away
-          FROM {orders} GROUP BY o_custkey
-        )
-        SELECT custkey, CASE WHEN home > away THEN 'home' WHEN away > home THEN 'away' END AS winner FROM g""",
-    "q_shot_case_null": """
-        SELECT l_linenumber AS line, CASE l_returnflag WHEN 'A' THEN '2P' WHEN 'R' THEN '3P' WHEN 'N' THEN 'FT' END AS shot_type,
-               count(*) AS n, count(nullif(l_discount, 0.0)) AS n_real,
-               sum(CASE WHEN l_discount = 0.0 THEN 1 ELSE 0 END) AS n_sentinel
-        FROM {lineitem} GROUP BY 1, 2""",
-    "q_name_resolve": """
-        SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, upper(n_name) AS code FROM {nation}
-        WHERE n_name ILIKE '%an%' OR n_name ILIKE '%1%'
-        UNION ALL
-        SELECT c_custkey AS id, c_name AS name, upper(c_name) AS code FROM {customer} WHERE c_name ILIKE '%#%077%'""",
     "q_date_bounds": """
         SELECT o_orderstatus AS status, count(*) AS n, count(DISTINCT o_custkey) AS customers
         FROM {orders}
@@ -122,37 +108,6 @@ RELATIONAL = {
     "q_page_offset": """
         SELECT o_orderkey AS orderkey, CAST(CAST(o_orderdate AS DATE) AS STRING) AS day, o_orderstatus AS status
         FROM {orders} WHERE o_orderstatus <> 'P' ORDER BY o_orderdate, o_orderkey LIMIT 50 OFFSET 100""",
-    "q_clutch_filter": """
-        WITH c AS (
-          SELECT user_id, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT)) AS cents
-          FROM {events} WHERE abs(value) <= 5 AND event_type IN ('purchase', 'error') GROUP BY user_id
-        ), a AS (SELECT user_id, count(*) AS n_all FROM {events} GROUP BY user_id)
-        SELECT a.user_id, n_all, n AS n_clutch, cents FROM a JOIN c ON a.user_id = c.user_id""",
-    "q_on_off_split": """
-        WITH f AS (
-          SELECT user_id, event_type, value,
-                 event_id % 2 = 0 AND user_id IN (SELECT user_id FROM {events} WHERE event_type = 'signup') AS on_court
-          FROM {events}
-        )
-        SELECT event_type, CASE WHEN on_court THEN 'on' ELSE 'off' END AS split, count(*) AS n,
-               CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / CAST(nullif(count(*), 0) AS DOUBLE) AS cents_each
-        FROM f GROUP BY 1, 2""",
-    "q_quarantine_default": """
-        WITH bad AS (SELECT user_id FROM {events} WHERE event_type = 'error' GROUP BY user_id HAVING count(*) > 2)
-        SELECT 'default' AS mode, count(*) AS n, count(DISTINCT user_id) AS users FROM {events}
-        WHERE user_id NOT IN (SELECT user_id FROM bad)
-        UNION ALL
-        SELECT 'include_quarantined' AS mode, count(*) AS n, count(DISTINCT user_id) AS users FROM {events}""",
-    "q_gate_violations": """
-        SELECT 'orphan_line' AS gate, CAST(count(*) AS BIGINT) AS n FROM {lineitem} l
-        WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_orderkey = l.l_orderkey)
-        UNION ALL
-        SELECT 'repeated_line' AS gate, CAST(count(*) AS BIGINT) AS n FROM (
-          SELECT l_orderkey, l_linenumber FROM {lineitem} GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) d
-        UNION ALL
-        SELECT 'negative_quantity' AS gate, CAST(count(*) AS BIGINT) AS n FROM {lineitem} WHERE l_quantity < 0
-        UNION ALL
-        SELECT 'discount_range' AS gate, CAST(count(*) AS BIGINT) AS n FROM {lineitem} WHERE NOT (l_discount BETWEEN 0 AND 1)""",
     "q_conditional_divisor": """
         SELECT o_custkey AS custkey, count(*) AS games, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS total,
                CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / CAST(nullif(count(*), 0) AS DOUBLE) AS per_game
@@ -316,8 +271,8 @@ def q_event_stint_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), "n_name")
-    return quality.ordered_fingerprint(nation, F.concat_ws(",", F.col("k").cast("string"), "n_name"), "k")
+    orders = table(spark, sf_dir, "orders")
+    return quality.ordered_fingerprint(orders, F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority"), "o_orderkey")
 
 
 def q_lineup_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,30 +288,213 @@ def q_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_settlement_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each fiftieth of a user's events as a game: the checks that are due after the last fetch."""
     from rallyline.streaming.settlement import due
 
-    early = table(spark, sf_dir, "events").where("ts < TIMESTAMP_NTZ '2024-01-03 00:00:00'")
-    seen = early.select(F.col("user_id").alias("game"), F.col("ts").alias("fetched_at"))
-    return due(seen, F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")).select("game", "label", "hours")
+    game = F.col("user_id") * 1000 + F.col("event_id") % 50
+    seen = table(spark, sf_dir, "events").select(game.alias("game"), F.col("ts").alias("fetched_at"))
+    return due(seen, F.lit("2024-12-31 00:00:00").cast("timestamp_ntz")).select("game", "label", "hours")
 
 
 def q_incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Possessions of two batches of users, put together: the same rows as a single pass."""
+    """Possessions of two batches of users, put together, against a single pass: per user, and rows that only one has."""
     events = plays_of(table(spark, sf_dir, "events"))
-    batches = [episodes.possessions(events.where(F.col("user_id") % 2 == i), episodes.Plays(USERS)) for i in (0, 1)]
-    return batches[0].unionByName(batches[1]).groupBy("user_id").agg(
-        F.count("*").alias("n"), F.sum("points").alias("points"), F.max("end").alias("last")
-    )
+    found = [episodes.possessions(events.where(part), episodes.Plays(USERS)) for part in ("user_id % 2 = 0", "user_id % 2 = 1", "true")]
+    parts, whole = found[0].unionByName(found[1]), found[2]
+    odd = quality.differences(parts, whole).groupBy("user_id").agg(F.count("*").alias("n_odd"))
+    rows = parts.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("points").alias("points"), F.max("end").alias("last"))
+    return rows.join(odd, "user_id", "left").fillna(0, ["n_odd"])
 
 
 def q_seconds_played(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Time in the on state per user: differences between transitions, open at the end until a fixed limit."""
-    kind = F.col("event_type")
-    rows = ordered.running_state(table(spark, sf_dir, "events"), USERS, kind == "signup", kind == "error", F.lit(False))
-    moves = rows.where("changed")
-    upto = F.lead("event_id").over(USERS.window)
-    spans = moves.select("user_id", "state", (F.coalesce(upto, F.lit(2_000_000)) - F.col("event_id")).alias("length"))
-    return spans.where("state").groupBy("user_id").agg(F.sum("length").alias("on_length"), F.count("*").alias("entries"))
+    """Time on court of each listed player by team, from substitutions; who never leaves plays to the game's end."""
+    s = stand_in(spark, sf_dir)
+    return rosters.seconds_played(s.courts, s.length).select("game", "team", "player_id", F.col("seconds").cast("long"))
+
+
+@dataclass(frozen=True)
+class StandIn:
+    """The events table as games: a user is a game, event_id position and clock at once, seven players a side."""
+
+    events: DataFrame
+    players: DataFrame
+    games: DataFrame
+    length: DataFrame
+    moves: DataFrame
+    courts: DataFrame
+    spans: DataFrame
+
+
+def stand_in(spark: SparkSession, sf_dir: str) -> StandIn:
+    kind, at = F.col("event_type"), F.col("event_id")
+    play = F.when(kind == "signup", "IN").when(kind == "error", "OUT").when(kind == "click", "2FGA").when(kind == "view", "D").otherwise("2FGM")
+    side = F.when(at % 2 == 0, "H").otherwise("A")
+    events = table(spark, sf_dir, "events").select(
+        F.lit("S").alias("season"), F.col("user_id").alias("game"), at.alias("pos"), play.alias("playtype"), side.alias("team"),
+        F.concat(F.lit("p"), (F.shiftright(at, 1) % 7).cast("string")).alias("player_id"), F.lit(1).alias("period"),
+        (F.shiftright(at, 6)).cast("string").alias("clock"), at.alias("elapsed"), F.lit("H").alias("home"), F.lit("A").alias("away"),
+        F.sum(F.when((kind == "purchase") & (at % 2 == 0), 2).otherwise(0)).over(USERS.so_far).alias("score_a"),
+        F.sum(F.when((kind == "purchase") & (at % 2 == 1), 2).otherwise(0)).over(USERS.so_far).alias("score_b"),
+    )
+    games = events.select("season", "game", "home", "away").distinct()
+    each = F.explode(F.sequence(F.lit(0), F.lit(6))).alias("i")
+    sides = F.explode(F.array(F.lit("H"), F.lit("A"))).alias("team")
+    players = games.select("season", "game", sides).select("season", "game", "team", each).select(
+        "season", "game", "team", F.concat(F.lit("p"), F.col("i").cast("string")).alias("player_id"), (F.col("i") < 5).alias("is_starter")
+    )
+    length = events.groupBy("season", "game").agg((F.max("pos") + 1).alias("game_length"))
+    moves = rosters.transitions(events, players)
+    courts = rosters.court_intervals(moves, players)
+    return StandIn(events, players, games, length, moves, courts, rosters.substitution_spans(events))
+
+
+def q_not_five(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Teams that don't have five players after a substitution span."""
+    s = stand_in(spark, sf_dir)
+    return rosters.not_five(s.courts, s.spans, s.games).select("game", F.col("end").alias("at_pos"), "team", "n")
+
+
+def q_substitution_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By team: batches with unequal ins and outs, repeated states, and players whose moves don't add up."""
+    s = stand_in(spark, sf_dir)
+    found = {
+        "unpaired": rosters.unpaired_substitutions(s.events), "repeated_state": rosters.state_issues(s.moves),
+        "conservation": rosters.conservation(s.moves, s.players, s.courts),
+        "team_minutes": rosters.team_minutes(rosters.seconds_played(s.courts, s.length), s.length),
+    }
+    rows = [bad.select(F.lit(name).alias("finding"), "team") for name, bad in found.items()]
+    return functools.reduce(DataFrame.unionByName, rows).groupBy("finding", "team").agg(F.count("*").alias("n"))
+
+
+def q_off_court(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plays of listed players who aren't on the floor at any time of the play's clock run or substitution span."""
+    s = stand_in(spark, sf_dir)
+    return rosters.off_court(s.events, s.courts, s.spans, s.players).select("game", "pos", "team", "player_id")
+
+
+def q_roster_stints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stints with their times, points and both units; a unit of five has a lineup id."""
+    s = stand_in(spark, sf_dir)
+    made = rosters.stints(s.events, s.spans, s.courts, s.length, s.games)
+    text = lambda c: F.array_join(c, ",")
+    return made.select(
+        "game", F.col("stint").cast("long"), "start_pos", "end_pos", "start_at", "end_at", "points_a", "points_b",
+        text("unit_home").alias("unit_home"), text("unit_away").alias("unit_away"), "lineup_home", "lineup_away",
+    )
+
+
+def q_elapsed_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds since the start from a countdown clock, or from a period's begin or end."""
+    kind, ts = F.col("event_type"), F.col("ts")
+    period = (F.dayofmonth(ts) % 6 + 1).cast("int")
+    clock = F.when(kind == "view", "").when(kind == "click", None).otherwise(F.date_format(ts, "mm:ss"))
+    play = F.when(kind == "view", "BP").when(kind == "signup", "EP").otherwise("TO")
+    return table(spark, sf_dir, "events").select("event_id", elapsed_seconds(period, play, clock).cast("long").alias("elapsed"))
+
+
+def q_official_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minutes as text against seconds as numbers: null for DNP, which only zero seconds match."""
+    n = F.pmod(F.col("o_orderkey"), F.lit(2400))
+    text = F.when(n % 5 == 0, "DNP").when(n % 7 == 0, " ").otherwise(F.format_string("%02d:%02d", F.floor(n / 60), n % 60))
+    official = official_seconds(text)
+    rebuilt = F.when(n % 3 == 0, n).when(n % 2 == 0, 0).otherwise(n + 1)
+    rows = table(spark, sf_dir, "orders").select(matches_official(rebuilt, official).alias("agrees"), official.alias("official"))
+    return rows.groupBy("agrees").agg(F.count("*").alias("n"), F.count("official").alias("n_known"), F.sum("official").cast("long").alias("seconds"))
+
+
+def q_winner_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    best = lambda s: F.max(F.when(F.col("o_orderstatus") == s, cents))
+    games = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(best("F").alias("home"), best("O").alias("away"))
+    return games.select("custkey", winner(F.lit("home"), F.lit("away"), F.col("home"), F.col("away")).alias("winner"))
+
+
+def q_shot_case_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shots by type, and how many have a real coordinate: -1, -1 is the sentinel for none."""
+    flag = F.col("l_returnflag")
+    action = F.when(flag == "A", "2FGM").when(flag == "R", F.when(F.col("l_linenumber") % 2 == 0, "3FGM").otherwise("3FGA")).otherwise("AS")
+    none = F.col("l_discount") == 0.0
+    x, y = F.when(none, -1).otherwise(F.col("l_linenumber")), F.when(none, -1).when(F.col("l_tax") == 0.0, -1).otherwise(F.col("l_linenumber"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        shot_type(action).alias("shot_type"), shot_made(action).alias("made"), real_coordinate(x, y, x).alias("real"), F.lit(1).alias("one")
+    )
+    return rows.groupBy("shot_type", "made").agg(F.count("*").alias("n"), F.count("real").alias("n_real"))
+
+
+def q_name_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    names = names.where(name_like(F.col("name"), "an") | name_like(F.col("name"), "1"))
+    more = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    rows = names.unionByName(more.where(name_like(F.col("name"), "#%077")))
+    return rows.select("id", "name", F.upper("name").alias("code"))
+
+
+def q_clutch_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings by team over possessions that begin late in their stream and follow a close one."""
+    found = found_possessions(spark, sf_dir)
+    last = F.max("end").over(USERS.whole)
+    rows = found.withColumn("left", last - F.col("start")).where("left <= 30000 AND points <= 2")
+    made = rows.groupBy("team").agg(F.count("*").alias("possessions"), F.sum("points").alias("points"))
+    return made.select("team", "possessions", "points", rate(F.col("points"), F.col("possessions"), 2, 100).cast("double").alias("rating"))
+
+
+def q_on_off_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points for 100 possessions with a player on the floor at their beginning and off it, net of the opponent's."""
+    s = stand_in(spark, sf_dir)
+    found = found_possessions(spark, sf_dir).select(F.lit("S").alias("season"), F.col("user_id").alias("game"), F.col("team").alias("offense"), "start", "possession_index", "points")
+    on = rosters.on_court(s.courts.where("player_id = 'p2' AND team = 'H'"), found, "start").select("game", "possession_index", F.lit(True).alias("on"))
+    rows = found.join(on, ["game", "possession_index"], "left").withColumn("split", F.when(F.col("on"), "on").otherwise("off"))
+    side = lambda t: (F.sum(F.when(F.col("offense") == t, F.col("points"))), F.count_if(F.col("offense") == t))
+    (points, n), (against, m) = side("H"), side("A")
+    made = rows.groupBy("split").agg(points.alias("points"), n.alias("possessions"), against.alias("opp_points"), m.alias("opp_possessions"))
+    net = net_rate(F.col("points"), F.col("possessions"), F.col("opp_points"), F.col("opp_possessions"))
+    return made.withColumn("net_rating", net.cast("double"))
+
+
+def q_quarantine_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts without the users that a check excludes, and with them."""
+    events = table(spark, sf_dir, "events")
+    checks = events.groupBy("user_id").agg(quality.reasons({"errors": F.count_if(F.col("event_type") == "error") > 13}).alias("reasons"))
+    bad = checks.where(F.size("reasons") > 0).select("user_id")
+    counts = [F.count("*").alias("n"), F.count_distinct("user_id").alias("users")]
+    seen = events.join(bad, "user_id", "left_anti").agg(*counts).select(F.lit("default").alias("mode"), "n", "users")
+    return seen.unionByName(events.agg(*counts).select(F.lit("include_quarantined").alias("mode"), "n", "users"))
+
+
+def q_gate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates over orders and lines: counts against what is expected, sums against official ones, verdicts against checks."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    expected = orders.select(F.col("o_orderkey").alias("k"), F.explode(F.sequence(F.lit(1), (F.col("o_orderkey") % 4 + 3).cast("int"))).alias("i"))
+    counts = quality.count_differences(expected, lines.select(F.col("l_orderkey").alias("k")), ["k"])
+    found = [counts.select(F.concat(F.lit("count_"), "finding").alias("gate"))]
+    units = lambda df, key, by: df.groupBy(F.col(key).alias("k")).agg(F.sum(by).alias("v"))
+    sums = quality.reconciled(units(lines, "l_orderkey", F.col("l_quantity").cast("long")), units(orders, "o_orderkey", F.col("o_orderkey") % 150), ["k"], "v")
+    found.append(sums.select(F.lit("sum_differs").alias("gate")))
+    checks = {"late": F.col("o_orderstatus") == "O", "large": F.col("o_totalprice") > 300_000}
+    stored = F.array_compact(F.array(F.when(F.col("o_orderkey") % 3 > 0, F.when(checks["late"], "late")), F.when(checks["large"], "large")))
+    verdicts = orders.select((checks["late"] | checks["large"]).alias("flag"), stored.alias("stored"), quality.reasons(checks).alias("again"))
+    found.append(quality.reason_mismatches(verdicts, "flag", "stored", F.col("again")).select(F.lit("verdict_differs").alias("gate")))
+    found.append(ordered.repeated_order(lines, Stream(("l_orderkey",), "l_linenumber")).select(F.lit("repeated_line").alias("gate")))
+    return functools.reduce(DataFrame.unionByName, found).groupBy("gate").agg(F.count("*").alias("n"))
+
+
+def q_failure_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").withColumn("failed", F.col("o_totalprice") > 300_000)
+    return quality.failure_clusters(orders, "failed", ["o_orderstatus", "o_orderpriority"])
+
+
+def q_possession_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams whose sides' possession counts differ by more than four."""
+    found = found_possessions(spark, sf_dir)
+    sides = found.select("user_id", F.lit("H").alias("home"), F.lit("A").alias("away")).distinct()
+    return episodes.possession_gate(found, episodes.Plays(USERS), sides, 4)
+
+
+def q_score_decreases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose known score is below the last known one."""
+    score = F.when(F.col("event_type") == "purchase", F.round(F.col("value") * 100).cast("long"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", score.alias("score"))
+    return ordered.decreases(rows, USERS, "score").select("user_id", "event_id", "score")
 
 
 def q_ratio_of_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,6 +539,26 @@ _STATE = f"""
       SELECT *, coalesce(last_value(told IGNORE NULLS) OVER ({_STREAM} ROWS UNBOUNDED PRECEDING), false) AS state,
              coalesce(last_value(told IGNORE NULLS) OVER ({_STREAM} {_BEFORE}), false) AS was FROM m
     ), st AS (SELECT user_id, event_id, state, was, told IS NOT NULL AND state <> was AS changed, told IS NOT NULL AND state = was AS issue FROM s)"""
+_COURTS = f"""
+    WITH e AS (
+      SELECT user_id AS game, event_id, CASE WHEN event_id % 2 = 0 THEN 'H' ELSE 'A' END AS team, 'p' || ((event_id >> 1) % 7) AS player_id,
+             CASE event_type WHEN 'signup' THEN 'IN' WHEN 'error' THEN 'OUT' WHEN 'click' THEN '2FGA' WHEN 'view' THEN 'D' ELSE '2FGM' END AS play FROM events
+    ), length AS (SELECT game, max(event_id) + 1 AS game_length FROM e GROUP BY game),
+    state AS (
+      SELECT game, team, player_id, event_id, play = 'IN' AS told,
+             coalesce(lag(play = 'IN') OVER (PARTITION BY game, team, player_id ORDER BY event_id), player_id < 'p5') AS was FROM e WHERE play IN ('IN', 'OUT')
+    ), turns AS (
+      SELECT game, team, player_id, event_id AS moment, told FROM state WHERE told <> was
+      UNION ALL SELECT game, t.team, 'p' || i, -1, true FROM (SELECT DISTINCT game FROM e), (VALUES ('H'), ('A')) t(team), range(5) r(i)
+    ), courts AS (
+      SELECT * FROM (SELECT game, team, player_id, told, moment AS enter_pos, lead(moment) OVER (PARTITION BY game, team, player_id ORDER BY moment) AS exit_pos FROM turns) WHERE told
+    ), batches AS (
+      SELECT game, min(event_id) AS start, max(event_id) AS "end" FROM e WHERE play IN ('IN', 'OUT') GROUP BY game, team, event_id >> 6
+    ), marked AS (
+      SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY game ORDER BY start, "end" {_BEFORE}) THEN 0 ELSE 1 END AS new FROM batches
+    ), spans AS (
+      SELECT game, min(start) AS start, max("end") AS "end" FROM (SELECT *, sum(new) OVER (PARTITION BY game ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS span FROM marked) GROUP BY game, span
+    )"""
 
 #: SQL for the DataFrame queries.
 ORACLES = {
@@ -421,8 +579,85 @@ ORACLES = {
         s AS (SELECT *, sum(new) OVER (PARTITION BY custkey ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS span FROM m)
         SELECT custkey, min(start) AS start, max("end") AS "end", count(*) AS parts FROM s GROUP BY custkey, span""",
     "q_running_state": f"""{_STATE} SELECT user_id, event_id, state, was, changed, issue FROM st""",
-    "q_seconds_played": f"""{_STATE}, l AS (SELECT user_id, state, coalesce(lead(event_id) OVER ({_STREAM}), 2000000) - event_id AS length FROM st WHERE changed)
-        SELECT user_id, sum(length)::BIGINT AS on_length, count(*) AS entries FROM l WHERE state GROUP BY user_id""",
+    "q_seconds_played": f"""{_COURTS} SELECT c.game, team, player_id, sum(coalesce(exit_pos, game_length) - greatest(enter_pos, 0))::BIGINT AS seconds
+        FROM courts c JOIN length l ON l.game = c.game GROUP BY c.game, team, player_id""",
+    "q_not_five": f"""{_COURTS} SELECT s.game, s."end" AS at_pos, t.team, count(c.player_id) AS n FROM spans s, (VALUES ('H'), ('A')) t(team)
+        LEFT JOIN courts c ON c.game = s.game AND c.team = t.team AND c.enter_pos <= s."end" AND coalesce(c.exit_pos, 9e18::BIGINT) > s."end"
+        GROUP BY s.game, s."end", t.team HAVING count(c.player_id) <> 5""",
+    "q_substitution_issues": f"""{_COURTS}, unpaired AS (
+          SELECT team FROM e WHERE play IN ('IN', 'OUT') GROUP BY game, team, event_id >> 6
+          HAVING count(*) FILTER (play = 'IN') <> count(*) FILTER (play = 'OUT')
+        ), sums AS (
+          SELECT team FROM courts c JOIN length l ON l.game = c.game GROUP BY c.game, team, game_length
+          HAVING sum(coalesce(exit_pos, game_length) - greatest(enter_pos, 0)) <> 5 * game_length
+        ), every AS (SELECT 'unpaired' AS finding, team FROM unpaired UNION ALL SELECT 'team_minutes', team FROM sums
+                     UNION ALL SELECT 'repeated_state', team FROM state WHERE told = was)
+        SELECT finding, team, count(*) AS n FROM every GROUP BY finding, team""",
+    "q_off_court": f"""{_COURTS}, runs AS (
+          SELECT *, sum(new) OVER (PARTITION BY game ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM (
+            SELECT *, CASE WHEN lag(event_id >> 6) OVER (PARTITION BY game ORDER BY event_id) = event_id >> 6 THEN 0 ELSE 1 END AS new FROM e)
+        ), wide AS (SELECT *, min(event_id) OVER (PARTITION BY game, run) AS ws, max(event_id) OVER (PARTITION BY game, run) AS we FROM runs),
+        plays AS (
+          SELECT w.game, w.event_id, w.team, w.player_id, least(ws, coalesce(s.start, ws)) AS ws, greatest(we, coalesce(s."end", we)) AS we
+          FROM wide w LEFT JOIN spans s ON s.game = w.game AND w.event_id BETWEEN s.start AND s."end" WHERE play NOT IN ('IN', 'OUT')
+        )
+        SELECT game, event_id AS pos, team, player_id FROM plays p WHERE NOT EXISTS (
+          SELECT 1 FROM courts c WHERE c.game = p.game AND c.team = p.team AND c.player_id = p.player_id AND enter_pos <= we AND coalesce(exit_pos, 9e18::BIGINT) >= ws)""",
+    "q_roster_stints": f"""{_COURTS}, nth AS (SELECT *, row_number() OVER (PARTITION BY game ORDER BY start) AS stint FROM spans),
+        rows AS (
+          SELECT e.game, event_id, (SELECT count(*) FROM spans s WHERE s.game = e.game AND s."end" < e.event_id) AS stint,
+                 sum(CASE WHEN play = '2FGM' AND team = 'H' THEN 2 ELSE 0 END) OVER (PARTITION BY e.game ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS a,
+                 sum(CASE WHEN play = '2FGM' AND team = 'A' THEN 2 ELSE 0 END) OVER (PARTITION BY e.game ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS b FROM e
+        ), s AS (
+          SELECT r.game, r.stint, min(event_id) AS start_pos, max(event_id) AS end_pos, max_by(a, event_id) AS a, max_by(b, event_id) AS b,
+                 coalesce(any_value(n.start), 0) AS start_at, coalesce(any_value(n."end"), -1) AS after
+          FROM rows r LEFT JOIN nth n ON n.game = r.game AND n.stint = r.stint GROUP BY r.game, r.stint
+        ), u AS (
+          SELECT s.game, s.stint, c.team, list_sort(list(c.player_id)) AS unit FROM s JOIN courts c
+            ON c.game = s.game AND c.enter_pos <= s.after AND coalesce(c.exit_pos, 9e18::BIGINT) > s.after GROUP BY s.game, s.stint, c.team
+        ), h AS (SELECT *, CASE WHEN len(unit) = 5 THEN substr(sha256(team || chr(0) || array_to_string(unit, chr(0))), 1, 32) END AS lineup FROM u)
+        SELECT s.game, s.stint, start_pos, end_pos, start_at, coalesce(lead(start_at) OVER w, game_length) AS end_at,
+               (a - coalesce(lag(a) OVER w, 0))::BIGINT AS points_a, (b - coalesce(lag(b) OVER w, 0))::BIGINT AS points_b,
+               array_to_string(x.unit, ',') AS unit_home, array_to_string(y.unit, ',') AS unit_away, x.lineup AS lineup_home, y.lineup AS lineup_away
+        FROM s JOIN length l ON l.game = s.game LEFT JOIN h x ON x.game = s.game AND x.stint = s.stint AND x.team = 'H'
+        LEFT JOIN h y ON y.game = s.game AND y.stint = s.stint AND y.team = 'A' WINDOW w AS (PARTITION BY s.game ORDER BY s.stint)""",
+    "q_elapsed_seconds": """WITH p AS (SELECT event_id, event_type AS t, extract(day FROM ts) % 6 + 1 AS period, extract(minute FROM ts) * 60 + extract(second FROM ts)::BIGINT AS clock FROM events),
+        s AS (SELECT *, CASE WHEN period <= 4 THEN 600 * (period - 1) ELSE 2400 + 300 * (period - 5) END AS start, CASE WHEN period <= 4 THEN 600 ELSE 300 END AS length FROM p)
+        SELECT event_id, CASE t WHEN 'view' THEN start WHEN 'signup' THEN start + length - clock WHEN 'click' THEN NULL ELSE start + length - clock END::BIGINT AS elapsed FROM s""",
+    "q_official_minutes": """WITH n AS (SELECT o_orderkey % 2400 AS n FROM orders),
+        o AS (SELECT n, CASE WHEN n % 5 = 0 OR n % 7 = 0 THEN NULL ELSE n END AS official, CASE WHEN n % 3 = 0 THEN n WHEN n % 2 = 0 THEN 0 ELSE n + 1 END AS rebuilt FROM n)
+        SELECT CASE WHEN official IS NULL THEN rebuilt = 0 ELSE rebuilt = official END AS agrees, count(*) AS n, count(official) AS n_known, sum(official)::BIGINT AS seconds FROM o GROUP BY 1""",
+    "q_winner_case": """WITH g AS (SELECT o_custkey AS custkey, max(round(o_totalprice * 100)::BIGINT) FILTER (o_orderstatus = 'F') AS home, max(round(o_totalprice * 100)::BIGINT) FILTER (o_orderstatus = 'O') AS away FROM orders GROUP BY 1)
+        SELECT custkey, CASE WHEN home > away THEN 'home' WHEN away > home THEN 'away' END AS winner FROM g""",
+    "q_shot_case_null": """SELECT CASE l_returnflag WHEN 'A' THEN '2P' WHEN 'R' THEN '3P' END AS shot_type,
+               CASE l_returnflag WHEN 'A' THEN true WHEN 'R' THEN l_linenumber % 2 = 0 END AS made, count(*) AS n, count(*) FILTER (l_discount <> 0) AS n_real FROM lineitem GROUP BY 1, 2""",
+    "q_name_resolve": """SELECT n_nationkey::BIGINT AS id, n_name AS name, upper(n_name) AS code FROM nation WHERE n_name ILIKE '%an%' OR n_name ILIKE '%1%'
+        UNION ALL SELECT c_custkey, c_name, upper(c_name) FROM customer WHERE c_name ILIKE '%#%077%'""",
+    "q_clutch_filter": f"""{_POSSESSIONS}, l AS (SELECT *, max("end") OVER (PARTITION BY user_id) - start AS left_ FROM p)
+        SELECT team, count(*) AS possessions, sum(points)::BIGINT AS points, round(100 * sum(points) / count(*), 2)::DOUBLE AS rating FROM l WHERE left_ <= 30000 AND points <= 2 GROUP BY team""",
+    "q_on_off_split": f"""{_POSSESSIONS}, {_COURTS.lstrip().removeprefix("WITH ")},
+        f AS (SELECT p.*, EXISTS (SELECT 1 FROM courts c WHERE c.game = p.user_id AND c.team = 'H' AND player_id = 'p2' AND enter_pos <= p.start AND coalesce(exit_pos, 9e18::BIGINT) > p.start) AS is_on FROM p),
+        t AS (SELECT CASE WHEN is_on THEN 'on' ELSE 'off' END AS split, sum(points) FILTER (team = 'H')::BIGINT AS points, count(*) FILTER (team = 'H') AS possessions,
+                sum(points) FILTER (team = 'A')::BIGINT AS opp_points, count(*) FILTER (team = 'A') AS opp_possessions FROM f GROUP BY 1)
+        SELECT *, round(100.0 * points / possessions - 100.0 * opp_points / opp_possessions, 2)::DOUBLE AS net_rating FROM t""",
+    "q_quarantine_default": """WITH good AS (SELECT user_id FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'error') <= 13)
+        SELECT 'default' AS mode, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE user_id IN (FROM good)
+        UNION ALL SELECT 'include_quarantined', count(*), count(DISTINCT user_id) FROM events""",
+    "q_gate_violations": """
+        WITH l AS (SELECT l_orderkey AS k, count(*) AS n, sum(l_quantity::BIGINT) AS q FROM lineitem GROUP BY 1),
+        o AS (SELECT o_orderkey AS k, o_orderkey % 4 + 3 AS n, o_orderkey % 150 AS q, o_orderstatus = 'O' AS late, o_totalprice > 300000 AS large FROM orders),
+        g AS (
+          SELECT CASE WHEN l.n IS NULL THEN 'count_missing' WHEN o.n IS NULL THEN 'count_extra' ELSE 'count_mismatched' END AS gate FROM o FULL JOIN l ON l.k = o.k WHERE l.n IS DISTINCT FROM o.n
+          UNION ALL SELECT 'sum_differs' FROM o FULL JOIN l ON l.k = o.k WHERE coalesce(l.q, 0) <> coalesce(o.q, 0)
+          UNION ALL SELECT 'verdict_differs' FROM o WHERE late AND k % 3 = 0
+          UNION ALL SELECT 'repeated_line' FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
+        ) SELECT gate, count(*) AS n FROM g GROUP BY gate""",
+    "q_failure_clusters": """WITH a AS (SELECT o_totalprice > 300000 AS failed, unnest(['o_orderstatus', 'o_orderpriority']) AS attribute, unnest([o_orderstatus, o_orderpriority]) AS value FROM orders)
+        SELECT attribute, value, count(*) FILTER (failed) AS failed, count(*) AS played FROM a GROUP BY 1, 2""",
+    "q_possession_gate": f"""{_POSSESSIONS}, c AS (SELECT user_id, count(*) FILTER (team = 'H') AS n_home, count(*) FILTER (team = 'A') AS n_away FROM p GROUP BY 1)
+        SELECT * FROM c WHERE abs(n_home - n_away) > 4""",
+    "q_score_decreases": f"""WITH s AS (SELECT user_id, event_id, round(value * 100)::BIGINT AS score, lag(round(value * 100)::BIGINT) OVER ({_STREAM}) AS before FROM events WHERE event_type = 'purchase')
+        SELECT user_id, event_id, score FROM s WHERE score < before""",
     "q_trips": f"""
         WITH p AS (
           SELECT user_id, event_id, event_type = 'click' AS free, CASE WHEN value > 10 THEN 'p' END AS player FROM events WHERE event_type <> 'view'
@@ -435,16 +670,20 @@ ORACLES = {
     "q_possession_aggregate": f"""{_POSSESSIONS} SELECT team, end_reason, count(*) AS n, sum(points)::BIGINT AS points, count(*) FILTER ("end" > start) AS n_long FROM p GROUP BY team, end_reason""",
     "q_event_stint_attach": f"""{_POSSESSIONS} SELECT e.user_id, e.event_id, min(possession_index) AS possession_index FROM events e
         LEFT JOIN p ON p.user_id = e.user_id AND e.event_id BETWEEN p.start AND p."end" GROUP BY e.user_id, e.event_id""",
-    "q_incremental_equals_full": f"""{_POSSESSIONS} SELECT user_id, count(*) AS n, sum(points)::BIGINT AS points, max("end") AS last FROM p GROUP BY user_id""",
+    "q_incremental_equals_full": f"""{_POSSESSIONS} SELECT user_id, count(*) AS n, sum(points)::BIGINT AS points, max("end") AS last, 0::BIGINT AS n_odd FROM p GROUP BY user_id""",
     "q_stints": f"""WITH s AS (SELECT user_id, event_id, coalesce(sum((event_type = 'signup')::INT) OVER ({_STREAM} {_BEFORE}), 0)::BIGINT AS stint FROM events)
         SELECT user_id, stint, min(event_id) AS start, max(event_id) AS "end", count(*) AS n FROM s GROUP BY user_id, stint""",
-    "q_fingerprint": """SELECT md5(string_agg(md5(n_nationkey || ',' || n_name), '' ORDER BY n_nationkey)) AS fingerprint, count(*) AS n FROM nation""",
+    "q_fingerprint": """WITH r AS (SELECT o_orderkey AS k, md5(o_orderkey || ',' || o_orderstatus || ',' || o_orderpriority) AS m FROM orders),
+        a AS (SELECT k >> 12 AS k, md5(string_agg(m, '' ORDER BY k)) AS m, count(*) AS n FROM r GROUP BY k >> 12),
+        b AS (SELECT k >> 12 AS k, md5(string_agg(m, '' ORDER BY k)) AS m, sum(n) AS n FROM a GROUP BY k >> 12)
+        SELECT md5(string_agg(m, '' ORDER BY k)) AS fingerprint, sum(n)::BIGINT AS n FROM b""",
     "q_lineup_hash": """SELECT p_partkey AS partkey, substr(sha256(p_brand || chr(0) || array_to_string(list_sort([p_name, p_brand, p_type]), chr(0))), 1, 32) AS lineup_id FROM part""",
     "q_json_props": """SELECT event_type, sum((props->>'$.k')::BIGINT)::BIGINT AS total, count(*) FILTER (props->>'$.k' IS NULL) AS without, max((props->>'$.k')::BIGINT) AS largest FROM events GROUP BY event_type""",
     "q_settlement_due": """
-        WITH s AS (SELECT user_id AS game, min(ts) AS first_at, max(ts) AS last_at FROM events WHERE ts < TIMESTAMP '2024-01-03' GROUP BY user_id),
+        WITH g AS (SELECT user_id * 1000 + event_id % 50 AS game, ts FROM events),
+        s AS (SELECT game, min(ts) AS first_at, max(ts) AS last_at FROM g GROUP BY game),
         c AS (SELECT * FROM (VALUES ('+6h', 6), ('+24h', 24), ('+72h', 72), ('+7d', 168)) AS v(label, hours))
-        SELECT game, label, hours FROM s, c WHERE TIMESTAMP '2024-01-10' >= first_at + hours * INTERVAL 1 HOUR AND last_at < first_at + hours * INTERVAL 1 HOUR""",
+        SELECT game, label, hours FROM s, c WHERE TIMESTAMP '2024-12-31' >= first_at + hours * INTERVAL 1 HOUR AND last_at < first_at + hours * INTERVAL 1 HOUR""",
     "q_ratio_of_sums": """SELECT user_id, count(*) FILTER (event_type = 'purchase')::DOUBLE / nullif(count(*) FILTER (event_type IN ('purchase', 'error')), 0)::DOUBLE AS rate,
         count(*) FILTER (event_type IN ('purchase', 'error')) AS tried FROM events GROUP BY user_id""",
 }
