@@ -56,10 +56,28 @@ def op10_lookup_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def text_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of operator 8's result, what SQL can tell: host, path, rule, and the rule's verdict."""
+    rows = urls.judged(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
+def text_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of operator 9's result, what SQL can tell: sizes and targets."""
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target")
+
+
+def text_edit_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of operator 10's result, all but the fingerprints themselves."""
+    rows = sketches.fingerprinted(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", "near_edited", "near_next")
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_simhash, op2_chunk_recipes, op3_line_dedup, op4_differencing_packs, op5_licence_index, op6_kneser_ney,
         op7_family_svm, op8_url_templates, op9_sainte_lague_mix, op10_lookup_sketches,
+        text_url_rules, text_mix_targets, text_edit_likeness,
     )
     return {f.__name__: f for f in every}
 
@@ -95,5 +113,43 @@ FROM f GROUP BY doc_id
 """
 
 
+_URL_RULES = """
+WITH h AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+  FROM (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)
+), l AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM h),
+rules AS (
+  SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) AS v(said, h, p)
+), fits AS (
+  SELECT page_id, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.said, length(r.h || r.p)) AS ruled
+  FROM l JOIN rules r ON (l.host = r.h OR suffix(l.host, '.' || r.h)) AND starts_with(l.path, r.p) GROUP BY page_id
+)
+SELECT l.page_id, host, path, rule, ruled FROM l LEFT JOIN fits ON fits.page_id = l.page_id
+"""
+
+_MIX_TARGETS = rf"""
+WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACES}+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][nth % 3 + 1] AS weight, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER ()::DOUBLE * 1.5 AS words FROM s),
+l AS (
+  SELECT *, (words - coalesce(sum(cap) OVER (ORDER BY cap / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS level FROM w
+), f AS (SELECT *, (SELECT arg_min(level, (cap / weight, nth)) FROM l WHERE level * weight <= cap) AS free FROM l)
+SELECT doc_id, size, source_size, least(cap, coalesce(free * weight, cap))::DOUBLE AS target FROM d JOIN f ON f.source IS NOT DISTINCT FROM d.source
+"""
+
+_EDIT_LIKENESS = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER w) AS o FROM t WINDOW w AS (ORDER BY doc_id DESC)),
+e AS (SELECT doc_id, t, o, substr(t, 1, length(t) - length(t) // 2) || substr(o, 1, length(t) // 2) AS e FROM n),
+p AS (SELECT *, list_distinct(string_split(t, chr(10))) AS lt, list_distinct(string_split(o, chr(10))) AS lo, list_distinct(string_split(e, chr(10))) AS le FROM e)
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(e) AS edited_sha256,
+       len(list_intersect(lt, le))::DOUBLE / (len(lt) + len(le) - len(list_intersect(lt, le))) AS near_edited,
+       len(list_intersect(lt, lo))::DOUBLE / (len(lt) + len(lo) - len(list_intersect(lt, lo))) AS near_next
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chunk_recipes": _OP2, "op3_line_dedup": _OP3, "op5_licence_index": licences.oracle()}
+    more = {"text_url_rules": _URL_RULES, "text_mix_targets": _MIX_TARGETS, "text_edit_likeness": _EDIT_LIKENESS}
+    return more | {"op2_chunk_recipes": _OP2, "op3_line_dedup": _OP3, "op5_licence_index": licences.oracle()}
