@@ -19,6 +19,8 @@ from rallyline.session import durable
 from rallyline.sources import payloads
 
 PLAYS = episodes.Plays(GAME, player="player_id")
+#: Why a game is quarantined, in the order in which reasons are told.
+REASONS = ("minutes_mismatch", "off_court_attribution", "not_five_on_court", "substitution_state", "possession_gate")
 
 
 class Tables:
@@ -268,6 +270,7 @@ def judge(season: Season, spans: DataFrame, moves: DataFrame, courts: DataFrame,
         "substitution_state": rosters.state_issues(moves),
         "possession_gate": gate,
     }
+    assert tuple(parts) == REASONS
     rows = season.games.select(*KEYS)
     for name, bad in parts.items():
         rows = rows.join(bad.groupBy(*KEYS).agg(F.count("*").alias(f"n_{name}")), list(KEYS), "left").fillna(0, [f"n_{name}"])

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rallyline.operators.quality import count_differences
+from rallyline.operators.quality import Violation, count_differences, refuse
 from rallyline.session import durable
 from rallyline.sources import payloads
 
@@ -49,6 +49,40 @@ def damaged(bodies: DataFrame) -> DataFrame:
     return bodies.where((F.sha2("content", 256) != F.col("sha256")) | (F.length("content") != F.col("byte_size"))).select("sha256")
 
 
+def archive_season(spark: SparkSession, root: str, season: str, path: str, sample: int = 16) -> DataFrame:
+    """Store a season's bodies, then read one in `sample` of them (by hash) back and verify it; the season's objects.
+
+    A body that is missing or damaged ends the run.
+    """
+    made = objects(spark, root).where(F.col("season") == season)
+    store(made, path)
+    picked = made.select("sha256").distinct().where(F.pmod(F.xxhash64("sha256"), F.lit(sample)) == 0)
+    held = spark.read.parquet(path)
+    refuse(picked.join(held, "sha256", "left_anti"), "bodies weren't stored")
+    refuse(damaged(held.join(picked, "sha256", "left_semi")), "stored bodies are damaged")
+    return made.drop("content")
+
+
+def restore_season(index: DataFrame, bodies: DataFrame, games: DataFrame, season: str, out: str, endpoints: tuple[str, ...]) -> None:
+    """Restore a season's current bodies to <out>/<season>: staged beside it, checked, then put in its place.
+
+    Rows (endpoint, game, sha256, content); a season that isn't whole, or a body that hasn't its hash, leaves what was
+    there before as it is.
+    """
+    spark, stage = bodies.sparkSession, f"{out}/.staged-{season}"
+    wanted = index.where(F.col("current") & (F.col("season") == season)).select("endpoint", "game", "sha256")
+    wanted.join(bodies.select("sha256", "byte_size", "content"), "sha256").write.mode("overwrite").parquet(stage)
+    staged = spark.read.parquet(stage)
+    refuse(damaged(staged), "bodies are damaged")
+    listing = staged.select(F.lit(season).alias("season"), "endpoint", "game")
+    refuse(incomplete(games.where(F.col("season") == season), listing, endpoints), "the season isn't whole")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(path(f"{out}/{season}"), True)
+    if not files.rename(path(stage), path(f"{out}/{season}")):
+        raise Violation(f"{stage} could not be put in place")
+
+
 def observed(old: DataFrame, new: DataFrame, every_observation: bool = False) -> DataFrame:
     """Fetch observations put together; unless every one counts, one is kept for each response, time and success."""
     both = old.unionByName(new)
