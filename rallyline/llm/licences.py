@@ -1,10 +1,11 @@
 """Licence scans through a positional rare-token index, with DataFrame functions alone.
 
 A template is a licence text as words, with a mandatory key phrase in it.  The corpus tells how many documents hold each
-licence word; the rarest word of a template's key phrase is its entry in the index: word -> (template, position).  In
-a file, every place of an indexed word gives a candidate start for each posting; the template's other words are then
-intersected at their relative positions, and the key phrase must stand there word for word.  All of this is one
-projection over each file: the index is a constant, and nothing is shuffled but the word counts.
+licence word; the two rarest words of a template's key phrase are its entries in the index: word -> (template, position).
+A file that holds the rarest word of some template is looked up: every place of an indexed word gives a candidate start
+for each posting, and a template's two lists of starts are intersected.  At what is left the key phrase must stand word
+for word, and the template's other words are counted at their relative positions.  All of this is one projection over
+each file: the index is a constant, and nothing is shuffled but the word counts.
 
 Defined results: null or empty text has no words, no labels and score 0; every place counts, also overlapping ones;
 rows that repeat a doc_id are scanned each; an empty table gives no rows; other columns are ignored, whatever their
@@ -84,13 +85,20 @@ def word_counts(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) ->
     return dict.fromkeys(vocabulary, 0) | {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
-def index(counts: dict[str, int], templates: tuple[Template, ...] = TEMPLATES) -> dict[str, list[tuple[Template, int]]]:
-    """The postings of each indexed word: templates, and the word's position in them."""
-    postings: dict[str, list[tuple[Template, int]]] = {}
+@dataclass(frozen=True)
+class Entry:
+    """A template's postings: (word, position) of its key phrase's rarest words, the rarest first."""
+
+    template: Template
+    postings: tuple[tuple[str, int], ...]
+
+
+def index(counts: dict[str, int], templates: tuple[Template, ...] = TEMPLATES) -> list[Entry]:
+    made = []
     for t in templates:
-        at, word = min(enumerate(t.key_words), key=lambda x: (counts[x[1]], x[0]))
-        postings.setdefault(word, []).append((t, t.key_at + at))
-    return postings
+        rising = sorted(range(len(t.key_words)), key=lambda i: (counts[t.key_words[i]], t.key_words[i]))
+        made.append(Entry(t, tuple((t.key_words[i], t.key_at + i) for i in rising[:2])))
+    return made
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, share: float = SHARE) -> DataFrame:
@@ -99,18 +107,20 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, share: fl
     places is an array of (label, start, share), start from 0 and maybe before the text where only a tail of the
     template stands; base_places has those of the base phrases alone.
     """
-    postings = index(word_counts(docs, templates), templates)
+    entries = index(word_counts(docs, templates), templates)
     rows = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     rows = rows.select("doc_id", "words", F.size("words").cast("long").alias("n_words"))
-    entries = F.lit(sorted(postings))
+    rarest = F.lit(sorted({e.postings[0][0] for e in entries}))
+    indexed = F.lit(sorted({w for e in entries for w, _ in e.postings}))
     hits = F.filter(
         F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
-        lambda x: F.array_contains(entries, x["w"]),
+        lambda x: F.array_contains(indexed, x["w"]),
     )
     none = F.array().cast("array<struct<w: string, i: int>>")
-    rows = rows.withColumn("hits", F.when(F.arrays_overlap("words", entries), hits).otherwise(none))
+    rows = rows.withColumn("hits", F.when(F.arrays_overlap("words", rarest), hits).otherwise(none))
 
-    def verified(t: Template, word: str, at: int) -> Column:
+    def verified(e: Entry) -> Column:
+        t = e.template
         n, tokens = len(t.words), t.words
 
         def in_place(start: Column) -> Column:
@@ -119,9 +129,13 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, share: fl
             return sum(same[1:], same[0]) / F.lit(float(n))
 
         key = F.lit(t.key_words)
-        starts = F.transform(
-            F.filter("hits", lambda h: (h["w"] == word) & (h["i"] >= at - t.key_at)), lambda h: h["i"] - F.lit(at)
-        )
+
+        def starts_of(word: str, at: int) -> Column:
+            places = F.filter("hits", lambda h: (h["w"] == word) & (h["i"] >= at - t.key_at))
+            return F.transform(places, lambda h: h["i"] - F.lit(at))
+
+        lists = [starts_of(*p) for p in e.postings]
+        starts = F.array_intersect(*lists) if len(lists) == 2 else lists[0]
         starts = F.filter(starts, lambda s: F.slice("words", s + F.lit(t.key_at + 1), len(t.key_words)) == key)
         found = F.transform(
             starts, lambda s: F.struct(F.lit(t.label).alias("label"), s.cast("long").alias("start"), in_place(s).alias("share"))
@@ -129,7 +143,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, share: fl
         return F.filter(found, lambda f: f["share"] >= share)
 
     def all_of(base: bool) -> Column:
-        found = [verified(t, w, at) for w, ts in postings.items() for t, at in ts if t.base == base]
+        found = [verified(e) for e in entries if e.template.base == base]
         return F.when(F.size("hits") > 0, F.concat(*found)).otherwise(
             F.array().cast("array<struct<label: string, start: bigint, share: double>>")
         )
