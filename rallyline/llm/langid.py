@@ -5,7 +5,7 @@ others, one for each pair of languages of that family, tell the close languages
 a language outside it is a family of its own.
 
 The machines are fitted on a bounded sample: about `per_language` documents of each language (a documented parameter),
-taken by a hash of the id.  Counting and predicting cover every document.
+taken by a hash of the id, each pair by a task of its own.  Counting and predicting cover every document.
 
 Defined results: `und` with score 0 for null text or text without a letter; a null lang teaches nothing; with one known
 language it is predicted for every text with letters, with none `und`; rows that repeat a doc_id are predicted each; an
@@ -19,10 +19,13 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rallyline.llm.common import durable
+
 #: Language families by ISO 639-1 code.
 FAMILIES = {
     "germanic": "af da de en fy is lb nb nl nn no sv yi",
@@ -74,16 +77,6 @@ class Level:
     pairs: list[tuple[int, int]]
     weights: np.ndarray
 
-    @classmethod
-    def fit(cls, x: np.ndarray, of: np.ndarray) -> Level:
-        names = sorted(set(of))
-        pairs = list(combinations(range(len(names)), 2))
-        made = []
-        for i, j in pairs:
-            rows = (of == names[i]) | (of == names[j])
-            made.append(machine(x[rows], np.where(of[rows] == names[i], 1.0, -1.0)))
-        return cls(names, pairs, np.array(made).reshape(len(pairs), x.shape[1] + 1))
-
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The name with most votes (margins decide ties), and a score from its least margin."""
         if not self.pairs:
@@ -106,12 +99,6 @@ class Hierarchy:
     families: Level
     languages: dict[str, Level]
 
-    @classmethod
-    def fit(cls, x: np.ndarray, langs: list[str]) -> Hierarchy:
-        of = np.array(langs)
-        family = np.array([FAMILY.get(lang, lang) for lang in langs])
-        return cls(Level.fit(x, family), {f: Level.fit(x[family == f], of[family == f]) for f in sorted(set(family))})
-
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         best, score = self.families.predict(x)
         names, score = [""] * len(x), score.copy()
@@ -145,12 +132,45 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy | None:
             langs = [batch.column(0)[i].as_py() for i in keep]
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(made, pa.binary())], ["lang", "x"])
 
-    sample = rows.where(drawn).select("lang", "text").mapInArrow(run, "lang string, x binary").collect()
-    if not sample:
+    sample = durable(rows.where(drawn).select("lang", "text").mapInArrow(run, "lang string, x binary"))
+    return trained(sample, [r["lang"] for r in sample.select("lang").distinct().collect()])
+
+
+def trained(sample: DataFrame, langs: list[str]) -> Hierarchy | None:
+    """The machines, from rows (lang, x): each pair of families, and of languages in a family, is fitted by a task of its own.
+
+    Only the machines come to the driver, 8 KB for each pair.
+    """
+    if not langs:
         return None
-    sample.sort()  # the same fit, whatever order the tasks end in
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in sample]).astype(np.float32)
-    return Hierarchy.fit(x, [r["lang"] for r in sample])
+    family = {lang: FAMILY.get(lang, lang) for lang in langs}
+    members = {f: sorted(lang for lang in langs if family[lang] == f) for f in sorted(set(family.values()))}
+    levels = {None: list(members)} | members
+    pairs = [(level, i, j) for level, names in levels.items() for i, j in combinations(range(len(names)), 2)]
+    sides = [
+        (lang, n, 1.0 if name == levels[level][i] else -1.0)
+        for n, (level, i, j) in enumerate(pairs)
+        for lang in langs
+        for name in (family[lang] if level is None else lang,)
+        if name in (levels[level][i], levels[level][j])
+    ]
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["y", "x"])  # the same machine, whatever order the rows come in
+        x = np.stack([np.frombuffer(b, np.float16) for b in rows["x"]]).astype(np.float32)
+        return pd.DataFrame({"pair": [rows["pair"].iloc[0]], "w": [machine(x, rows["y"].to_numpy()).tobytes()]})
+
+    made = {}
+    if pairs:
+        sided = sample.sparkSession.createDataFrame(sides, "side string, pair int, y double")
+        dealt = sample.join(F.broadcast(sided), F.col("lang") == F.col("side")).select("pair", "y", "x")
+        made = {r["pair"]: np.frombuffer(r["w"]) for r in dealt.groupBy("pair").applyInPandas(one, "pair int, w binary").collect()}
+
+    def level(at: str | None) -> Level:
+        own = [(n, i, j) for n, (of, i, j) in enumerate(pairs) if of == at]
+        return Level(levels[at], [(i, j) for _, i, j in own], np.array([made[n] for n, *_ in own]).reshape(len(own), DIM + 1))
+
+    return Hierarchy(level(None), {f: level(f) for f in members})
 
 
 def predicted(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
