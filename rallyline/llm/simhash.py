@@ -169,23 +169,26 @@ def link_wide(words: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
 def shards(batches: Iterator[pa.RecordBatch], key: bool = False) -> Iterator[list]:
     """The columns after the first, for each run of equal values in the first that has two rows or more.
 
-    With `key`, the first column's value stands before them.
+    With `key`, the first column's value stands before them.  A run's parts are put together once, when it ends.
     """
-    carry: list[np.ndarray] | None = None
+    held: list[list[np.ndarray]] = []
+
+    def whole() -> Iterator[list]:
+        if sum(len(part[0]) for part in held) > 1:
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)] if len(held) > 1 else held[0]
+            yield [*cols[0][:key], *cols[1:]]
+
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if carry is not None:
-            cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
         if not len(cols[0]):
             continue
-        cuts = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
-        bounds = [0, *cuts.tolist()]
+        bounds = [0, *(np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1).tolist(), len(cols[0])]
         for a, b in zip(bounds, bounds[1:], strict=False):
-            if b - a > 1:
-                yield [*cols[0][a : a + key], *(c[a:b] for c in cols[1:])]
-        carry = [c[bounds[-1] :] for c in cols]
-    if carry is not None and len(carry[0]) > 1:
-        yield [*carry[0][:key], *carry[1:]]
+            if held and held[0][0][0] != cols[0][a]:
+                yield from whole()
+                held = []
+            held.append([c[a:b] for c in cols])
+    yield from whole()
 
 
 def band_keys(fp: Column, radius: int, levels: int = 3) -> Column:
