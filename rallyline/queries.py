@@ -165,7 +165,7 @@ def found_possessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_scalar_subquery_listagg(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.expr("listagg(n_name, ' | ') WITHIN GROUP (ORDER BY n_name)").alias("nations"))
     region = table(spark, sf_dir, "region")
-    return region.join(F.broadcast(names), region["r_regionkey"] == names["n_regionkey"], "left").select(F.col("r_name").alias("region"), "nations")
+    return region.join(names, region["r_regionkey"] == names["n_regionkey"], "left").select(F.col("r_name").alias("region"), "nations")
 
 
 def q_lateral_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
