@@ -252,6 +252,10 @@ def near_components(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 WIDE, TABLES, DIGITS, AXES = 256, 48, 3, 64
 #: Standard errors of a fingerprint's distance that the radius lies beyond the mean.
 SPREAD = 2.5
+#: Rows of a key that one shard holds, about; a key with more is parted into blocks, see blocks_of.
+CROWD = 1 << 16
+#: Bits of the filter that tells which keys may be crowded.
+FILTER = 1 << 20
 #: Parts of the hash space in which a set's shingles are counted, and the count from which a part is full.
 PARTS, FULL = 256, 65535
 
@@ -393,6 +397,52 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(both >= least).select("u", "v")
 
 
+def parted(keyed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (key, bits, doc_id) of keys that fit a shard, and of the others with m and block, or None if there are none.
+
+    A filter of a fixed number of bits tells them apart; a key that it takes for a crowded one gets one block.
+    """
+    many = durable(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD))
+    if many.isEmpty():
+        return keyed, None
+    place = F.pmod(F.xxhash64("key"), F.lit(FILTER))
+    marked = many.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, CAST(p % 64 AS INT)))").alias("w"))
+    words = [0] * (FILTER // 64)
+    for r in marked.collect():  # FILTER / 64 rows at most
+        words[r["at"]] = r["w"]
+    bit = F.call_function("shiftright", F.get(F.lit(words), F.shiftright(place, 6)), (place % 64).cast("int")).bitwiseAND(F.lit(1))
+    m = many.select("key", F.ceil(F.col("n") / F.lit(CROWD)).alias("m"))
+    crowded = keyed.where(bit == 1).join(m.hint("merge"), "key", "left").fillna(1, ["m"])
+    return keyed.where(bit == 0), durable(crowded.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("m"))))
+
+
+def blocks_of(crowded: DataFrame) -> DataFrame:
+    """Shards of crowded keys: rows (key, bits, doc_id), key standing for a key's block.
+
+    One row of each key, its pivot, is in all of its blocks, so that what is near to it meets over blocks.
+    """
+    first = F.min_by(F.struct("bits", "doc_id"), F.struct(F.xxhash64("doc_id"), "doc_id"))
+    pivots = crowded.groupBy("key").agg(first.alias("p"), F.max("m").alias("m"))
+    pivots = pivots.select("key", "p.bits", "p.doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("block"))
+    rows = crowded.select("key", "bits", "doc_id", "block").unionByName(pivots).dropDuplicates(["key", "block", "doc_id"])
+    return rows.select(F.xxhash64("key", "block").alias("key"), "bits", "doc_id")
+
+
+def open_blocks(crowded: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (key, doc_id, root) of crowded keys with several roots, key standing for a key's block.
+
+    The rows of a key's commonest root stay in their block; all others go to each of its blocks, so any two rows with
+    different roots meet.
+    """
+    rows = crowded.select("key", "m", "block", "doc_id").join(roots.hint("merge"), "doc_id", "left")
+    rows = durable(rows.withColumn("root", F.coalesce("root", "doc_id")))
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    common = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("common"), F.count("*").alias("roots")).where("roots > 1")
+    rows = rows.join(common.hint("merge"), "key")
+    each = F.when(F.col("root") == F.col("common"), F.array("block")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))
+    return rows.select("key", F.explode(each).alias("at"), "doc_id", "root").select(F.xxhash64("key", "at").alias("key"), "doc_id", "root")
+
+
 def similar_links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Links (u, v) of doc_ids whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more.
 
@@ -401,7 +451,8 @@ def similar_links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> D
     classes are verified, then every candidate whose ends that left in different classes, unless counts of the
     shingles by parts of the hash space rule it out, which they do for no true one.  So the links' classes are
     those of all true candidates, while a group of near copies doesn't cost all its pairs.  Texts with equal sets of
-    shingles link to the smallest doc_id first, so that a shard holds no copies.
+    shingles link to the smallest doc_id first, so that a shard holds no copies; a key with very many rows is parted
+    into blocks, and then all its rows with different roots meet in the second step.
     """
     radius = radius_for(similarity)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).where("doc_id is not null")
@@ -409,15 +460,22 @@ def similar_links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> D
     heads = durable(made.groupBy("same").agg(F.min("doc_id").alias("head"), *[F.first(x).alias(x) for x in ("bits", "counts", "keys")]))
     copies = made.join(heads.select("same", "head"), "same").where("doc_id <> head")
     heads = heads.select(F.col("head").alias("doc_id"), "bits", "counts", "keys")
-    forest = durable(forest_links(heads.select(F.explode("keys").alias("key"), "bits", "doc_id"), radius))
-    tried = durable(ordered(forest))
+    keyed, crowded = parted(heads.select(F.explode("keys").alias("key"), "bits", "doc_id"))
+    forest = durable(forest_links(keyed, radius))
+    found = ordered(forest)
+    if crowded is not None:
+        found = found.unionByName(ordered(forest_links(blocks_of(crowded), radius))).distinct()
+    tried = durable(found)
     links = durable(verified(tried, texts, width, similarity))
     roots = components(links).select(F.col("node").alias("doc_id"), "root")
     touched = forest.select("key", F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     touched = touched.join(roots.hint("merge"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     touched = durable(touched)
     mixed = touched.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    open_rows = touched.join(mixed.hint("merge"), "key", "left_semi").join(heads.drop("keys").hint("merge"), "doc_id")
+    open_ids = touched.join(mixed.hint("merge"), "key", "left_semi")
+    if crowded is not None:
+        open_ids = open_ids.select("key", "doc_id", "root").unionByName(open_blocks(crowded, roots))
+    open_rows = open_ids.join(heads.drop("keys").hint("merge"), "doc_id")
     cross = cross_links(open_rows.select("key", "bits", "counts", "doc_id", "root"), radius, similarity)
     rest = durable(ordered(cross).join(tried.hint("merge"), ["u", "v"], "left_anti"))
     links = links.unionByName(verified(rest, texts, width, similarity))

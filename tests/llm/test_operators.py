@@ -193,6 +193,27 @@ def test_near_dedup_joins_what_only_some_member_matches(spark):
     assert [r["doc_id"] for r in kept] == [0]
 
 
+def test_crowded_keys_give_the_same_classes(spark, monkeypatch):
+    """A key that is parted into blocks finds what it finds as one shard: tight groups, variants of one base, chains."""
+    rng = np.random.default_rng(14)
+    rows = []
+    for g in range(4):
+        base = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+        for c in range(30):
+            copy = list(base)
+            for at in rng.integers(0, 300, (0, 3, 6, 9)[g]):
+                copy[at] = f"new{c}"
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    roots_at = {}
+    for crowd in (1 << 16, 5):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        links = simhash.similar_links(docs)
+        assert all(jaccard(rows[r["u"]][1], rows[r["v"]][1]) >= 0.8 for r in links.collect())
+        roots_at[crowd] = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+    assert roots_at[5] == roots_at[1 << 16] and len(roots_at[5]) > 50
+
+
 def test_large_near_group_ends_in_few(spark):
     """Runs of one shard hand their classes on: a group far longer than a run becomes one."""
     values = [1 << (i % 200) for i in range(200)]
