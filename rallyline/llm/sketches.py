@@ -6,8 +6,9 @@ is its sketch, written out; the width of a sub-table is the power of two that it
 
 Two fingerprints subtract cell by cell, after the wider one is folded to the other's width, so common paragraphs vanish.
 Peeling then takes a cell that holds one digest, notes it with its side, and removes it from its other cells until all
-cells are empty.  Where that fails, both documents are sketched again at four times the width, and so on.  The likeness
-of two fingerprints is common / all paragraphs, from the two counts and the number of digests recovered.
+cells are empty.  Where that fails, both documents are sketched again at the width that all paragraphs of the two ask
+for, and then at eight times that.  The likeness of two fingerprints is common / all paragraphs, from the two counts and
+the number of digests recovered.
 
 Building, subtracting and removing are one step, `gathered`: cells are put in order of place and those of one place are
 added up, so each is n log n in the cells.
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 
 from rallyline.llm.common import durable
 
-#: Least width of a sub-table; widths tried again after a failure, as multiples; rounds of a peeling.
-LEAST, AGAIN, ROUNDS = 8, (4, 16, 64), 24
+#: Least width of a sub-table; widths tried after a failure, as multiples of what both documents' paragraphs ask for
+#: together; rounds of a peeling.
+LEAST, AGAIN, ROUNDS = 8, (1, 8), 24
 #: What stands for a null doc_id in the order of ids.
 FIRST = -(2**63)
 #: Bits of an order's key that one step of the search for next documents settles, see successors.
@@ -134,8 +136,8 @@ def with_difference(rows: DataFrame, one: str, two: str, out: str) -> DataFrame:
     told digest by digest.
     """
     a, b = F.col(one), F.col(two)
-    narrow, wide = F.least(a["width"], b["width"]), F.greatest(a["width"], b["width"])
-    rows = rows.withColumn("_narrow", narrow)
+    wide = width_for(F.size(a["digests"]) + F.size(b["digests"]))
+    rows = rows.withColumn("_narrow", F.least(a["width"], b["width"]))
     rows = rows.withColumn("_cells", subtract(folded(a["cells"], F.col("_narrow")), folded(b["cells"], F.col("_narrow"))))
     rows = rows.withColumn(out, peel(F.col("_cells"), F.col("_narrow")))
     for times in AGAIN:  # a step of its own for each, so that what isn't needed isn't made
