@@ -41,7 +41,10 @@ CHUNK, BLOCK = 1 << 20, 8 << 20
 QUANTILE, ACCURACY, CHANCE = 0.995, 10_000, 2.0
 #: Bits of the filter that spares text without a label the way to the labels.
 FILTER = 1 << 23
+#: Languages whose thresholds are broadcast at most.
+LANGUAGES = 10_000
 MIXER = np.uint64(0x9E3779B97F4A7C15)
+ZSTD = pa.Codec("zstd", 3)
 
 
 def _folded() -> np.ndarray:
@@ -118,12 +121,22 @@ class Blocks:
         return self.block
 
 
+def squeezed(text: pa.Scalar) -> bytes | None:
+    """A text as it moves: Zstandard, behind its size."""
+    data = text.as_buffer()
+    return None if data is None else data.size.to_bytes(8, "little") + ZSTD.compress(data, asbytes=True)
+
+
+def unsqueezed(data: bytes | None) -> str | None:
+    return None if data is None else ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True).decode()
+
+
 def good_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
 def trusted_text(docs: DataFrame, labels: DataFrame, bits: int = FILTER) -> DataFrame:
-    """Rows (text) of documents with label quality 1.
+    """Rows (packed) of documents with label quality 1: their squeezed texts.
 
     A filter of a fixed number of bits keeps most other text from moving; the join decides.
     """
@@ -140,27 +153,29 @@ def trusted_text(docs: DataFrame, labels: DataFrame, bits: int = FILTER) -> Data
         for batch in batches:
             p = batch.column(2).to_numpy().astype(np.uint64)
             hit = (of[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)
-            yield batch.select([0, 1]).filter(pa.array(hit.astype(bool)))
+            rows = batch.select([0, 1]).filter(pa.array(hit.astype(bool)))
+            packed = pa.array([squeezed(t) for t in rows.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column(0), packed], ["doc_id", "packed"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text <> ''")
-    rows = rows.select("doc_id", "text", place.alias("p")).mapInArrow(likely, "doc_id long, text string")
-    return rows.join(good.hint("merge"), "doc_id", "left_semi").select("text")
+    rows = rows.select("doc_id", "text", place.alias("p")).mapInArrow(likely, "doc_id long, packed binary")
+    return rows.join(good.hint("merge"), "doc_id", "left_semi").select("packed")
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """Rows (g, n): how often each n-gram stands in the texts, summed in each task before they meet."""
+def gram_counts(packed: DataFrame) -> DataFrame:
+    """Rows (g, n): how often each n-gram stands in the squeezed texts, summed in each task before they meet."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[str]:
             for batch in batches:
-                for text in batch.column(0):
-                    yield text.as_py()
+                for data in batch.column(0):
+                    yield unsqueezed(data.as_py())
 
         grams, n = distinct_grams(rows())
         for k in range(0, len(grams), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(grams[k : k + 10_000], pa.string()), pa.array(n[k : k + 10_000])], ["g", "n"])
 
-    return texts.select("text").mapInArrow(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return packed.mapInArrow(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -251,15 +266,16 @@ def block_grams(rows: DataFrame) -> DataFrame:
 
 
 def blocked(rows: DataFrame) -> DataFrame:
-    """Rows (row, doc_id, lang, text) with their block."""
+    """Rows (row, doc_id, lang, packed, block) from rows (row, doc_id, lang, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = Blocks()
         for batch in batches:
             of = [blocks.of(row, text.as_py()) for row, text in zip(batch.column(0).to_pylist(), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of, pa.int64())], ["row", "doc_id", "lang", "text", "block"])
+            packed = pa.array([squeezed(t) for t in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed, pa.array(of, pa.int64())], ["row", "doc_id", "lang", "packed", "block"])
 
-    return rows.select("row", "doc_id", "lang", "text").mapInArrow(run, "row long, doc_id long, lang string, text string, block long")
+    return rows.select("row", "doc_id", "lang", "text").mapInArrow(run, "row long, doc_id long, lang string, packed binary, block long")
 
 
 def perplexities(texts: list[str | None], grams: list[str], p: np.ndarray) -> list[float | None]:
@@ -287,10 +303,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     grams = stored(block_grams(rows))
     known = stored(grams.join(model.probabilities(grams.select("g").distinct()), "g"))
 
-    def score(texts: pa.Table, of: pa.Table) -> pa.Table:
-        made = perplexities(texts["text"].to_pylist(), of["g"].to_pylist(), of["p"].to_numpy())
-        sizes = [len(t.as_py() or "") for t in texts["text"]]
-        return pa.table([texts["row"], texts["doc_id"], texts["lang"], pa.array(made, pa.float64()), pa.array(sizes, pa.int64())],
+    def score(rows: pa.Table, of: pa.Table) -> pa.Table:
+        texts = [unsqueezed(t.as_py()) for t in rows["packed"]]
+        made = perplexities(texts, of["g"].to_pylist(), of["p"].to_numpy())
+        sizes = [len(t or "") for t in texts]
+        return pa.table([rows["row"], rows["doc_id"], rows["lang"], pa.array(made, pa.float64()), pa.array(sizes, pa.int64())],
                         ["row", "doc_id", "lang", "perplexity", "n_chars"])
 
     both = blocked(rows).groupBy("block").cogroup(known.groupBy("block"))
@@ -305,7 +322,9 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Da
     limit = F.percentile_approx("perplexity", F.lit(quantile), F.lit(ACCURACY))
     overall = trusted.agg(limit).first()[0]
     by_lang = trusted.where("lang IS NOT NULL").groupBy("lang").agg(limit.alias("threshold"))
-    rows = rows.join(by_lang, "lang", "left")
+    # a language's threshold goes to its rows where they lie, unless languages are more than a broadcast should hold
+    by_lang = durable(by_lang)
+    rows = rows.join(by_lang.hint("broadcast" if by_lang.count() <= LANGUAGES else "merge"), "lang", "left")
     threshold = F.coalesce("threshold", F.lit(overall if overall is not None else float("inf")).cast("double"))
     allowed = F.exp(F.lit(CHANCE) / F.sqrt(F.greatest(F.col("n_chars"), F.lit(1))))
     kept = F.coalesce(F.col("perplexity") <= threshold * allowed, F.lit(False))
