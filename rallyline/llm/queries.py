@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyline.llm import langid, licences, lines, mixing, packing, perplexity, recipes, simhash, sketches, urls
+from rallyline.llm import audit, langid, licences, lines, mixing, packing, perplexity, recipes, simhash, sketches, urls
 from rallyline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op10_lookup_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def op12_parity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def text_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of operator 8's result, what SQL can tell: host, path, rule, and the rule's verdict."""
     rows = urls.judged(table(spark, sf_dir, "pages"))
@@ -76,7 +80,7 @@ def text_edit_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     every = (
         op1_simhash, op2_chunk_recipes, op3_line_dedup, op4_differencing_packs, op5_licence_index, op6_kneser_ney,
-        op7_family_svm, op8_url_templates, op9_sainte_lague_mix, op10_lookup_sketches,
+        op7_family_svm, op8_url_templates, op9_sainte_lague_mix, op10_lookup_sketches, op12_parity_audit,
         text_url_rules, text_mix_targets, text_edit_likeness,
     )
     return {f.__name__: f for f in every}
@@ -149,7 +153,49 @@ SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(e) AS edited_sha256,
 FROM p
 """
 
+_OP12 = rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACES}+'), lambda x: x <> '') AS words
+  FROM documents
+), f AS (
+  SELECT doc_id, part,
+         len(words) < 100 AS a,
+         100 * len(list_distinct(words)) < 80 * len(words) AS b,
+         100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS c,
+         regexp_matches(text, '[#$%&*|]') AS d,
+         coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false) AS e
+  FROM t
+), m AS (
+  SELECT part, [a, b, c, d, e] AS fails,
+         EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = f.doc_id AND quality = 1) AS good,
+         EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = f.doc_id AND toxic = 1) AS toxic
+  FROM f
+), cells AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, fails
+), l AS (SELECT unnest(range(1, 6)) AS i), orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o
+  FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), steps AS (
+  SELECT array_to_string(list_transform(o, lambda i: 'ABCDE'[i]), '') AS filter_order, s.i AS step, o[s.i] AS own, o[1:s.i - 1] AS earlier
+  FROM orders, l s
+), r AS (
+  SELECT part, filter_order, step, fails[own] AS fits, len(list_filter(earlier, lambda i: fails[i])) > 0 AS gone,
+         len(list_filter(fails, lambda x: x)) AS j, n, good, toxic
+  FROM cells, steps
+)
+SELECT part, filter_order, step::INT AS step,
+       coalesce(sum(n) FILTER (NOT fits AND NOT gone), 0)::BIGINT AS kept,
+       coalesce(sum(n) FILTER (fits AND NOT gone), 0)::BIGINT AS removed,
+       coalesce(sum(n) FILTER (fits AND gone), 0)::BIGINT AS redundant,
+       coalesce(sum(n) FILTER (fits AND j = 1), 0)::BIGINT AS unique_fails,
+       coalesce(sum(good) FILTER (fits AND NOT gone), 0)::BIGINT AS good_lost,
+       coalesce(sum(toxic) FILTER (fits AND NOT gone), 0)::BIGINT AS toxic_lost,
+       coalesce(sum(n * (120 // greatest(j, 1))) FILTER (fits), 0)::BIGINT AS shapley
+FROM r GROUP BY part, filter_order, step
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     more = {"text_url_rules": _URL_RULES, "text_mix_targets": _MIX_TARGETS, "text_edit_likeness": _EDIT_LIKENESS}
-    return more | {"op2_chunk_recipes": _OP2, "op3_line_dedup": _OP3, "op5_licence_index": licences.oracle()}
+    return more | {"op2_chunk_recipes": _OP2, "op3_line_dedup": _OP3, "op5_licence_index": licences.oracle(), "op12_parity_audit": _OP12}
