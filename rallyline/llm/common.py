@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallyline.session import checkpoint_dir, durable
 
-__all__ = ["ROW", "ascii_lower", "components", "durable", "numbered", "settled", "stored", "table"]
+__all__ = ["ROW", "ROW_TYPE", "ascii_lower", "components", "durable", "numbered", "scanned", "settled", "stored", "table"]
 
-#: The name of a row's number among a table's own columns.
-ROW = "_rl_row"
+#: The name of a row's key among a table's own columns, and its type.
+ROW, ROW_TYPE = "_rl_row", "struct<file: long, at: long>"
 #: The white space of every contract, U+0020 and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
@@ -31,17 +32,32 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def settled(docs: DataFrame) -> DataFrame:
-    """docs, or a stored copy where its plan shuffles: then it might give its rows in another order when it is read again.
+def scanned(docs: DataFrame) -> bool:
+    """Whether docs is a file scan that is at most filtered and mapped, always alike: then its rows can be read again."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.deterministic():
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
 
-    A scan, also one that is filtered or mapped, gives each of its splits' rows in their order.
-    """
-    return stored(docs) if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
+
+def settled(docs: DataFrame) -> DataFrame:
+    """docs where each of its rows is one row of a Parquet file, else a stored copy of docs, of which that is true."""
+    if scanned(docs):
+        try:
+            docs.select(docs.metadataColumn("_metadata")["row_index"])
+        except AnalysisException:  # a format that doesn't number its rows
+            return stored(docs)
+        return docs
+    return stored(docs)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, the same whenever docs is read; see settled for docs that are shuffled."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+    """docs, which must be settled, with ROW: the file that a row lies in, by a hash of its path, and its place there.
+
+    This names a row however the scan is cut into tasks, which depends on the executors that are there when it is planned.
+    """
+    where = docs.metadataColumn("_metadata")
+    return docs.withColumn(ROW, F.struct(F.xxhash64(where["file_path"]).alias("file"), where["row_index"].alias("at")))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyline.llm import audit, langid, licences, lines, mixing, packing, perplexity, recipes, simhash, sketches, urls
+from rallyline.llm import audit, langid, licences, lines, mixing, packing, passages, perplexity, recipes, simhash, sketches, urls
 from rallyline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op12_parity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.removals(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def text_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of operator 8's result, what SQL can tell: host, path, rule, and the rule's verdict."""
     rows = urls.judged(table(spark, sf_dir, "pages"))
@@ -80,7 +84,7 @@ def text_edit_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     every = (
         op1_simhash, op2_chunk_recipes, op3_line_dedup, op4_differencing_packs, op5_licence_index, op6_kneser_ney,
-        op7_family_svm, op8_url_templates, op9_sainte_lague_mix, op10_lookup_sketches, op12_parity_audit,
+        op7_family_svm, op8_url_templates, op9_sainte_lague_mix, op10_lookup_sketches, op12_parity_audit, op13_super_kmers,
         text_url_rules, text_mix_targets, text_edit_likeness,
     )
     return {f.__name__: f for f in every}
@@ -195,7 +199,23 @@ SELECT part, filter_order, step::INT AS step,
 FROM r GROUP BY part, filter_order, step
 """
 
+_OP13 = rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS r,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACES}+'), lambda x: x <> '') AS words
+  FROM documents
+), p AS (
+  SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS j,
+         unnest(list_transform(range(1, len(words) + 1), lambda k: CASE WHEN k + 34 <= len(words) THEN array_to_string(words[k:k + 34], ' ') END)) AS win
+  FROM d
+), f AS (SELECT r, j, word, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS starts FROM p),
+g AS (SELECT r, j, word, bool_or(starts) OVER (PARTITION BY r ORDER BY j ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM f),
+k AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS kept FROM g GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.r = d.r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     more = {"text_url_rules": _URL_RULES, "text_mix_targets": _MIX_TARGETS, "text_edit_likeness": _EDIT_LIKENESS}
-    return more | {"op2_chunk_recipes": _OP2, "op3_line_dedup": _OP3, "op5_licence_index": licences.oracle(), "op12_parity_audit": _OP12}
+    return more | {"op2_chunk_recipes": _OP2, "op3_line_dedup": _OP3, "op5_licence_index": licences.oracle(), "op12_parity_audit": _OP12, "op13_super_kmers": _OP13}
