@@ -7,9 +7,8 @@ each group, so a shard has an integer quota and no window holds more than a grou
 Highest quotients are found without listing them: a divisor gives every party its rounded share, and the few blocks that
 are then too many or too few go by the next quotients.
 
-In a shard the quota first takes whole passes over all words.  Then its documents are cut into blocks of BLOCK words (a
-document's last may be shorter), which are selected in a seeded order until the quota is full; of the block that goes
-over it, the first words are taken.
+In a shard the quota first takes whole passes over all words.  Then its documents, in a seeded order, make one row of
+blocks, of which the first ones are selected until the quota is full; so at most one document of a shard is cut.
 
 Defined results: null or empty text has size 0 and none of it is taken; null is a source of its own, the last; rows that
 repeat a doc_id count each, and which of equal rows gives a block doesn't matter; an empty table gives no rows; other
@@ -88,8 +87,8 @@ def apportion(parties: DataFrame, votes: str, seats: Column, within: list[str],
 
 
 def mixed(docs: DataFrame, seed: int = 42, block: int = BLOCK, per_shard: int = SHARD) -> DataFrame:
-    """One row per row of docs: row, doc_id, source, size, source_size, target, taken."""
-    rows = durable(sizes(docs, seed))
+    """One row per row of docs: row, doc_id, source, size, source_size, target, taken, and copies, see mixture."""
+    rows = durable(sizes(settled(docs), seed))
     n = max(1, -(-rows.count() // per_shard))
     rows = rows.withColumn("shard", F.pmod("mark", F.lit(n)))
     group = F.floor(F.col("shard") / F.lit(GROUP)).cast("long").alias("group")
@@ -113,25 +112,31 @@ def mixed(docs: DataFrame, seed: int = 42, block: int = BLOCK, per_shard: int =
     rows = rows.join(quotas, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("k")))
     rows = rows.withColumn("passes", passes.cast("long")).drop("s", "k")
     rest = F.col("quota") - F.col("passes") * F.col("shard_size")
-    cut = rows.where("size > 0").select(
-        "row", "source", "shard", "mark", rest.alias("rest"), "size",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / F.lit(block)))).alias("nth"),
+    shard = Window.partitionBy("source", "shard")
+    seeded = [F.xxhash64(F.lit(seed), "mark"), F.col("mark"), F.col("row")]
+    before = F.coalesce(F.sum("size").over(shard.orderBy(*seeded).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("rest", rest).withColumn("before", before).withColumn("whole", F.col("before") + F.col("size") <= F.col("rest"))
+    # documents in seeded order fill the quota; the words that are then still missing are as many as one other may have
+    gap = F.col("rest") - F.coalesce(F.max(F.when(F.col("whole"), F.col("before") + F.col("size"))).over(shard), F.lit(0))
+    far = F.when(~F.col("whole") & (F.abs(F.col("size") - gap) < gap), F.abs(F.col("size") - gap))
+    rows = rows.withColumn("far", far)
+    nearest = F.row_number().over(shard.orderBy(F.col("far").asc_nulls_last(), *seeded)) == 1
+    extra = F.col("whole") | (nearest & F.col("far").isNotNull())
+    part = F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before")))
+    return rows.select(
+        "row", "doc_id", "source", "size", "source_size", "target",
+        (F.col("passes") * F.col("size") + part).cast("long").alias("taken"),
+        F.when(F.col("size") > 0, F.col("passes") + extra.cast("int")).otherwise(0).cast("int").alias("copies"),
     )
-    words = F.least(F.lit(block), F.col("size") - F.col("nth") * block)
-    seeded = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), "mark", "nth"), "mark", "nth", "row")
-    before = F.coalesce(F.sum("words").over(seeded.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = cut.withColumn("words", words).withColumn("before", before).where("before < rest")
-    chosen = cut.groupBy("row").agg(F.sum(F.least(F.col("words"), F.col("rest") - F.col("before"))).alias("chosen"))
-    taken = F.col("passes") * F.col("size") + F.coalesce("chosen", F.lit(0))
-    return rows.join(chosen, "row", "left").select(
-        "row", "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken")
-    )
 
 
 def mixture(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """The rows of docs in whole copies: as many as round(taken / size), so a document may go or come twice."""
-    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    """The rows of docs in whole copies, none to two, so that each source has its target's words but for a few.
+
+    Documents come in seeded order, whatever their length, until the next one goes over a shard's quota; one more may
+    come whose size is the nearest to what is then missing.
+    """
     docs = settled(docs)
-    plan = mixed(docs, seed).where("taken > 0").select(F.col("row").alias(ROW), copies.alias("_rl_copies")).where("_rl_copies > 0")
+    plan = mixed(docs, seed).where("copies > 0").select(F.col("row").alias(ROW), F.col("copies").alias("_rl_copies"))
     rows = numbered(docs).join(plan.hint("merge"), ROW)
     return rows.withColumn("_rl_copy", F.explode(F.sequence(F.lit(1), F.col("_rl_copies")))).select(docs.columns)

@@ -23,6 +23,8 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallyline.llm.common import ROW, durable, numbered, settled, stored
+from rallyline.llm.common import ROW, ROW_TYPE, durable, numbered, settled, stored
 
 ORDER = 4
 #: Characters that are counted at a time, and bytes of text of a block.
@@ -108,17 +110,19 @@ def distinct_grams(texts: Iterable[str | None]) -> tuple[list[str], np.ndarray]:
     return [every[k : k + ORDER] for k in range(0, len(every), ORDER)], counts
 
 
-class Blocks:
-    """The block of each row of a partition, in order: a block is named by its first row."""
+def block_of(docs: DataFrame) -> Column:
+    """The block of a row of numbered docs: rows that stand together in a file, in the same block however they are read.
 
-    def __init__(self) -> None:
-        self.block, self.left = 0, 0
-
-    def of(self, row: int, text: str | None) -> int:
-        if self.left <= 0:
-            self.block, self.left = row, BLOCK
-        self.left -= 64 + len(text or "")
-        return self.block
+    As many rows make a block as have some BLOCK bytes by the mean text.  Texts of up to 32 times the mean are in these;
+    those of up to four times that are in blocks of a quarter of the rows, and so on, so no block holds over 32 times BLOCK.
+    """
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    mean = 64 + (size or 0) / max(1, n)
+    rows = 1 << max(0, round(math.log2(BLOCK / mean)))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    level = F.when(size <= 32 * mean, 0).otherwise(F.ceil(F.log(4.0, size / (32 * mean)))).cast("int")
+    place = F.floor(F.col(ROW)["at"] / F.greatest(F.lit(1), F.floor(rows / F.pow(F.lit(4.0), level))))
+    return F.xxhash64(F.col(ROW)["file"], level, place.cast("long"))
 
 
 def squeezed(text: pa.Scalar) -> bytes | None:
@@ -242,76 +246,84 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def block_grams(rows: DataFrame) -> DataFrame:
-    """Rows (block, g): the distinct n-grams of each block of rows (row, text)."""
+    """Rows (block, g): the n-grams of each block of rows (block, text), each once for each task that reads of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, held, at = Blocks(), [], None
+        held: dict[int, list[str]] = {}
+        sizes: Counter[int] = Counter()
 
-        def made() -> Iterator[pa.RecordBatch]:
-            grams, _ = distinct_grams(held)
+        def made(block: int) -> Iterator[pa.RecordBatch]:
+            sizes.pop(block)
+            grams, _ = distinct_grams(held.pop(block))
             for k in range(0, len(grams), 10_000):
                 part = grams[k : k + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array([at] * len(part), pa.int64()), pa.array(part, pa.string())], ["block", "g"])
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string())], ["block", "g"])
 
         for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                block = blocks.of(row, text := text.as_py())
-                if block != at:
-                    yield from made()
-                    at, held = block, []
-                held.append(text)
-        yield from made()
+            for block, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if text := text.as_py():
+                    held.setdefault(block, []).append(text)
+                    sizes[block] += len(text)
+            while sizes.total() > 2 * BLOCK:
+                yield from made(sizes.most_common(1)[0][0])
+        for block in list(held):
+            yield from made(block)
 
-    return rows.select("row", "text").mapInArrow(run, "block long, g string")
+    return rows.select("block", "text").mapInArrow(run, "block long, g string")
 
 
-def blocked(rows: DataFrame) -> DataFrame:
-    """Rows (row, doc_id, lang, packed, block) from rows (row, doc_id, lang, text)."""
+def compressed(rows: DataFrame) -> DataFrame:
+    """Rows (row, doc_id, lang, packed, block) from rows (row, doc_id, lang, text, block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = Blocks()
         for batch in batches:
-            of = [blocks.of(row, text.as_py()) for row, text in zip(batch.column(0).to_pylist(), batch.column(3), strict=True)]
             packed = pa.array([squeezed(t) for t in batch.column(3)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed, pa.array(of, pa.int64())], ["row", "doc_id", "lang", "packed", "block"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed, batch.column(4)], ["row", "doc_id", "lang", "packed", "block"])
 
-    return rows.select("row", "doc_id", "lang", "text").mapInArrow(run, "row long, doc_id long, lang string, packed binary, block long")
+    return rows.select("row", "doc_id", "lang", "text", "block").mapInArrow(run, f"row {ROW_TYPE}, doc_id long, lang string, packed binary, block long")
 
 
-def perplexities(texts: list[str | None], grams: list[str], p: np.ndarray) -> list[float | None]:
-    """Of each text, None for an empty one; grams and p must hold every n-gram of the texts."""
+def perplexities(texts: Iterable[str | None], size: int, grams: list[str], p: np.ndarray) -> list[float | None]:
+    """Of each of `size` texts, None for an empty one; grams and p must hold every n-gram of the texts."""
     keys = gram_keys(np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32))[::ORDER]
     order = np.argsort(keys)
     keys, logs = keys[order], np.log(np.maximum(p, 1e-12))[order]
-    total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    total, n = np.zeros(size), np.zeros(size, np.int64)
     for points, owners in chunks(texts):
         ends = np.flatnonzero(owners[ORDER - 1 :] >= 0)
         own, wanted = owners[ORDER - 1 :][ends], gram_keys(points)[ends]
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         if (keys[at] != wanted).any():
             raise ValueError("a block's rows are not the ones that its n-grams came from: docs changed between two reads")
-        total += np.bincount(own, logs[at], len(texts))
-        n += np.bincount(own, minlength=len(texts))
-    return [float(np.exp(-total[i] / n[i])) if n[i] else None for i in range(len(texts))]
+        total += np.bincount(own, logs[at], size)
+        n += np.bincount(own, minlength=size)
+    return [float(np.exp(-total[i] / n[i])) if n[i] else None for i in range(size)]
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per row of docs: row, doc_id, lang, perplexity, n_chars."""
+    """One row per row of docs, which must be settled: row, doc_id, lang, perplexity, n_chars."""
     rows = numbered(docs).select(
-        F.col(ROW).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"
-    )
+        F.col(ROW).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
+        F.col("text").cast("string").alias("text"), block_of(docs).alias("block"),
+    )
     grams = stored(block_grams(rows))
     known = stored(grams.join(model.probabilities(grams.select("g").distinct()), "g"))
 
     def score(rows: pa.Table, of: pa.Table) -> pa.Table:
-        texts = [unsqueezed(t.as_py()) for t in rows["packed"]]
-        made = perplexities(texts, of["g"].to_pylist(), of["p"].to_numpy())
-        sizes = [len(t or "") for t in texts]
+        sizes: list[int] = []
+
+        def texts() -> Iterator[str | None]:
+            for data in rows["packed"]:
+                text = unsqueezed(data.as_py())
+                sizes.append(len(text or ""))
+                yield text
+
+        made = perplexities(texts(), len(rows), of["g"].to_pylist(), of["p"].to_numpy())
         return pa.table([rows["row"], rows["doc_id"], rows["lang"], pa.array(made, pa.float64()), pa.array(sizes, pa.int64())],
                         ["row", "doc_id", "lang", "perplexity", "n_chars"])
 
-    both = blocked(rows).groupBy("block").cogroup(known.groupBy("block"))
-    return both.applyInArrow(score, "row long, doc_id long, lang string, perplexity double, n_chars long")
+    both = compressed(rows).groupBy("block").cogroup(known.groupBy("block"))
+    return both.applyInArrow(score, f"row {ROW_TYPE}, doc_id long, lang string, perplexity double, n_chars long")
 
 
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rallyline.llm.common import ROW, SPACE_CHARS, durable, numbered, settled
+from rallyline.llm.common import ROW, ROW_TYPE, SPACE_CHARS, durable, numbered, settled
 
 #: Bytes of a chunk: at least, at most; a cut needs these bits of the rolling hash to be zero (one place in 2,048).
 LEAST, MOST, CUT = 256, 16_384, 0x7FF00000
@@ -81,7 +81,7 @@ def recipes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     rows = numbered(docs).select(
         F.col(ROW).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")
     )
-    shape = "row long, doc_id long, text_sha256 string, n_bytes long, chunks array<struct<short: long, sha: binary, size: int>>"
+    shape = f"row {ROW_TYPE}, doc_id long, text_sha256 string, n_bytes long, chunks array<struct<short: long, sha: binary, size: int>>"
     return rows.mapInArrow(run, shape)
 
 
@@ -121,11 +121,11 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_bytes."""
-    return grouped(docs).drop("row")
+    return grouped(settled(docs)).drop("row")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text is the first of its group; only these rows' numbers meet the texts, which move once."""
+    """The rows of docs whose text is the first of its group; only these rows' keys meet the texts, which move once."""
     docs = settled(docs)
     kept = grouped(docs).where("kept").select(F.col("row").alias(ROW))
     return numbered(docs).join(kept.hint("merge"), ROW, "left_semi").select(docs.columns)

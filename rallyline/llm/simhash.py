@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallyline.llm.common import components, durable
+from rallyline.llm.common import ROW, ROW_TYPE, components, durable, numbered, settled
 
 SEED = 42
 #: Odd multipliers that derive further independent hash words from a shingle's hash; fixed values.
@@ -309,27 +309,27 @@ def may_be_similar(counts: np.ndarray, other: np.ndarray, similarity: float) ->
 
 
 def similar_prints(texts: DataFrame, width: int) -> DataFrame:
-    """Rows (doc_id, same, bits, counts, keys) from (doc_id, text); `same` is a digest of the set of shingles."""
+    """Rows (row, doc_id, same, bits, counts, keys) from (row, doc_id, text); `same` is a digest of the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in part.column(1)]
+                sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in part.column(2)]
                 bits, keys = wide_prints(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()),
+                    [*part.columns[:2], pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()),
                      pa.array([x.tobytes() for x in bits], pa.binary()),
                      pa.array([part_counts(x).tobytes() for x in sets], pa.binary()),
                      pa.array(list(keys), pa.list_(pa.int64()))],
-                    ["doc_id", "same", "bits", "counts", "keys"],
+                    ["row", "doc_id", "same", "bits", "counts", "keys"],
                 )
 
-    return texts.mapInArrow(run, "doc_id long, same binary, bits binary, counts binary, keys array<long>")
+    return texts.mapInArrow(run, f"row {ROW_TYPE}, doc_id long, same binary, bits binary, counts binary, keys array<long>")
 
 
 def forest_links(keyed: DataFrame, radius: int) -> DataFrame:
-    """Rows (key, u, v) from (key, bits, doc_id): in each shard, links within the radius that make up its classes.
+    """Rows (key, u, v) from (key, bits, id): in each shard, links within the radius that make up its classes.
 
     A document that is within the radius of any other in its shard has a link.
     """
@@ -350,7 +350,7 @@ def forest_links(keyed: DataFrame, radius: int) -> DataFrame:
 
 
 def cross_links(keyed: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """Rows (u, v) from (key, bits, counts, doc_id, root): pairs in a shard within the radius whose roots differ.
+    """Rows (u, v) from (key, bits, counts, id, root): pairs in a shard within the radius whose roots differ.
 
     All such pairs but those that by their counts can't have the similarity.
     """
@@ -379,26 +379,29 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of the pairs (u, v) whose sets of shingles, by XXH64, have a Jaccard similarity of at least this."""
+def verified(pairs: DataFrame, texts: DataFrame, named: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) whose sets of shingles, by XXH64, have a Jaccard similarity of at least this.
+
+    texts has rows (row, text), named (row, id) the ids that pairs are made of.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 sets = [np.unique(shingle_hashes(t.as_py(), width)).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = durable(texts.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>"))
-    left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "uv")
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(named.hint("merge"), "id")
+    sets = durable(texts.join(needed.hint("merge"), "row").select("id", "text").mapInArrow(run, "id long, shingles array<long>"))
+    left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "uv")
     both = F.size(F.array_intersect("of_u", "of_v"))
     least = F.lit(similarity - 1e-12) * (F.size("of_u") + F.size("of_v") - both)
     return pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(both >= least).select("u", "v")
 
 
 def parted(keyed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Rows (key, bits, doc_id) of keys that fit a shard, and of the others with m and block, or None if there are none.
+    """Rows (key, bits, id) of keys that fit a shard, and of the others with m and block, or None if there are none.
 
     A filter of a fixed number of bits tells them apart; a key that it takes for a crowded one gets one block.
     """
@@ -413,79 +416,93 @@ def parted(keyed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     bit = F.call_function("shiftright", F.get(F.lit(words), F.shiftright(place, 6)), (place % 64).cast("int")).bitwiseAND(F.lit(1))
     m = many.select("key", F.ceil(F.col("n") / F.lit(CROWD)).alias("m"))
     crowded = keyed.where(bit == 1).join(m.hint("merge"), "key", "left").fillna(1, ["m"])
-    return keyed.where(bit == 0), durable(crowded.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("m"))))
+    return keyed.where(bit == 0), durable(crowded.withColumn("block", F.pmod(F.xxhash64("id"), F.col("m"))))
 
 
 def blocks_of(crowded: DataFrame) -> DataFrame:
-    """Shards of crowded keys: rows (key, bits, doc_id), key standing for a key's block.
+    """Shards of crowded keys: rows (key, bits, id), key standing for a key's block.
 
     One row of each key, its pivot, is in all of its blocks, so that what is near to it meets over blocks.
     """
-    first = F.min_by(F.struct("bits", "doc_id"), F.struct(F.xxhash64("doc_id"), "doc_id"))
+    first = F.min_by(F.struct("bits", "id"), F.struct(F.xxhash64("id"), "id"))
     pivots = crowded.groupBy("key").agg(first.alias("p"), F.max("m").alias("m"))
-    pivots = pivots.select("key", "p.bits", "p.doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("block"))
-    rows = crowded.select("key", "bits", "doc_id", "block").unionByName(pivots).dropDuplicates(["key", "block", "doc_id"])
-    return rows.select(F.xxhash64("key", "block").alias("key"), "bits", "doc_id")
+    pivots = pivots.select("key", "p.bits", "p.id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("block"))
+    rows = crowded.select("key", "bits", "id", "block").unionByName(pivots).dropDuplicates(["key", "block", "id"])
+    return rows.select(F.xxhash64("key", "block").alias("key"), "bits", "id")
 
 
 def open_blocks(crowded: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (key, doc_id, root) of crowded keys with several roots, key standing for a key's block.
+    """Rows (key, id, root) of crowded keys with several roots, key standing for a key's block.
 
     The rows of a key's commonest root stay in their block; all others go to each of its blocks, so any two rows with
     different roots meet.
     """
-    rows = crowded.select("key", "m", "block", "doc_id").join(roots.hint("merge"), "doc_id", "left")
-    rows = durable(rows.withColumn("root", F.coalesce("root", "doc_id")))
+    rows = crowded.select("key", "m", "block", "id").join(roots.hint("merge"), "id", "left")
+    rows = durable(rows.withColumn("root", F.coalesce("root", "id")))
     sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     common = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("common"), F.count("*").alias("roots")).where("roots > 1")
     rows = rows.join(common.hint("merge"), "key")
     each = F.when(F.col("root") == F.col("common"), F.array("block")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))
-    return rows.select("key", F.explode(each).alias("at"), "doc_id", "root").select(F.xxhash64("key", "at").alias("key"), "doc_id", "root")
+    return rows.select("key", F.explode(each).alias("at"), "id", "root").select(F.xxhash64("key", "at").alias("key"), "id", "root")
+
 
+def similar_links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, doc_id, id) for docs, which must be settled, and links (u, v) of the ids of similar rows.
 
-def similar_links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Links (u, v) of doc_ids whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more.
+    Rows are similar if their sets of `width`-word shingles have a Jaccard similarity of `similarity` or more.
 
     Candidates are pairs of 256-bit SimHash fingerprints that share a key in some table and lie within the radius of
     the similarity, see radius_for; each link is verified on the shingles.  First the links that make up each shard's
     classes are verified, then every candidate whose ends that left in different classes, unless counts of the
     shingles by parts of the hash space rule it out, which they do for no true one.  So the links' classes are
     those of all true candidates, while a group of near copies doesn't cost all its pairs.  Texts with equal sets of
-    shingles link to the smallest doc_id first, so that a shard holds no copies; a key with very many rows is parted
+    shingles link to one of them first, so that a shard holds no copies; a key with very many rows is parted
     into blocks, and then all its rows with different roots meet in the second step.
     """
     radius = radius_for(similarity)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).where("doc_id is not null")
-    made = durable(similar_prints(texts, width))
-    heads = durable(made.groupBy("same").agg(F.min("doc_id").alias("head"), *[F.first(x).alias(x) for x in ("bits", "counts", "keys")]))
-    copies = made.join(heads.select("same", "head"), "same").where("doc_id <> head")
-    heads = heads.select(F.col("head").alias("doc_id"), "bits", "counts", "keys")
-    keyed, crowded = parted(heads.select(F.explode("keys").alias("key"), "bits", "doc_id"))
+    rows = numbered(docs).select(F.col(ROW).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = rows.select("row", "text")
+    # an id is given once, when its row is stored
+    made = durable(similar_prints(rows, width).withColumn("id", F.monotonically_increasing_id()))
+    named = made.select("row", "id")
+    heads = durable(made.groupBy("same").agg(F.min("id").alias("head"), *[F.first(x).alias(x) for x in ("bits", "counts", "keys")]))
+    copies = made.join(heads.select("same", "head"), "same").where("id <> head")
+    heads = heads.select(F.col("head").alias("id"), "bits", "counts", "keys")
+    keyed, crowded = parted(heads.select(F.explode("keys").alias("key"), "bits", "id"))
     forest = durable(forest_links(keyed, radius))
     found = ordered(forest)
     if crowded is not None:
         found = found.unionByName(ordered(forest_links(blocks_of(crowded), radius))).distinct()
     tried = durable(found)
-    links = durable(verified(tried, texts, width, similarity))
-    roots = components(links).select(F.col("node").alias("doc_id"), "root")
-    touched = forest.select("key", F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    touched = touched.join(roots.hint("merge"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    links = durable(verified(tried, texts, named, width, similarity))
+    roots = components(links).select(F.col("node").alias("id"), "root")
+    touched = forest.select("key", F.explode(F.array("u", "v")).alias("id")).distinct()
+    touched = touched.join(roots.hint("merge"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     touched = durable(touched)
     mixed = touched.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     open_ids = touched.join(mixed.hint("merge"), "key", "left_semi")
     if crowded is not None:
-        open_ids = open_ids.select("key", "doc_id", "root").unionByName(open_blocks(crowded, roots))
-    open_rows = open_ids.join(heads.drop("keys").hint("merge"), "doc_id")
-    cross = cross_links(open_rows.select("key", "bits", "counts", "doc_id", "root"), radius, similarity)
+        open_ids = open_ids.select("key", "id", "root").unionByName(open_blocks(crowded, roots))
+    open_rows = open_ids.join(heads.drop("keys").hint("merge"), "id")
+    cross = cross_links(open_rows.select("key", "bits", "counts", "id", "root"), radius, similarity)
     rest = durable(ordered(cross).join(tried.hint("merge"), ["u", "v"], "left_anti"))
-    links = links.unionByName(verified(rest, texts, width, similarity))
-    return links.unionByName(copies.select(F.col("doc_id").alias("u"), F.col("head").alias("v")))
+    links = links.unionByName(verified(rest, texts, named, width, similarity))
+    links = links.unionByName(copies.select(F.col("id").alias("u"), F.col("head").alias("v")))
+    return made.select("row", "doc_id", "id"), links
 
 
 def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs without near copies: of each class of similar texts the document with the smallest doc_id stays.
+    """The rows of docs without near copies: of each class of similar texts the row with the smallest doc_id stays.
 
-    Rows without a doc_id stay; all rows under a doc_id that stays are kept.
+    Rows are judged by their texts, not by their ids: a row that repeats a doc_id, or has none, is a row like any other.
+    A null doc_id counts as the largest; of rows with one doc_id any one may stay, but the same each time.
     """
-    gone = components(similar_links(docs, width, similarity)).select(F.col("node").alias("doc_id"))
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    docs = settled(docs)
+    rows, links = similar_links(docs, width, similarity)
+    members = components(links)
+    roots = members.select(F.col("root").alias("node"), "root").distinct()
+    classes = durable(members.unionByName(roots).withColumnRenamed("node", "id").join(rows.hint("merge"), "id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    stays = durable(classes.groupBy("root").agg(F.min(order)["row"].alias("stays")))
+    gone = classes.join(stays.hint("merge"), "root").where("row <> stays").select(F.col("row").alias(ROW))
+    return numbered(docs).join(gone.hint("merge"), ROW, "left_anti").select(docs.columns)

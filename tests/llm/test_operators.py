@@ -205,15 +205,26 @@ def test_crowded_keys_give_the_same_classes(spark, monkeypatch):
                 copy[at] = f"new{c}"
             rows.append((len(rows), " ".join(copy)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = simhash.settled(docs)
     roots_at = {}
     for crowd in (1 << 16, 5):
         monkeypatch.setattr(simhash, "CROWD", crowd)
-        links = simhash.similar_links(docs)
-        assert all(jaccard(rows[r["u"]][1], rows[r["v"]][1]) >= 0.8 for r in links.collect())
-        roots_at[crowd] = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+        named, links = simhash.similar_links(docs)
+        doc_of = {r["id"]: r["doc_id"] for r in named.collect()}
+        assert all(jaccard(rows[doc_of[r["u"]]][1], rows[doc_of[r["v"]]][1]) >= 0.8 for r in links.collect())
+        roots_at[crowd] = {doc_of[r["node"]]: doc_of[r["root"]] for r in simhash.components(links).collect()}
     assert roots_at[5] == roots_at[1 << 16] and len(roots_at[5]) > 50
 
 
+def test_near_dedup_is_by_row(spark):
+    """Rows that repeat an id, or have none, are compared and kept by their texts."""
+    rng = np.random.default_rng(3)
+    base, other = (" ".join(f"w{i}" for i in rng.integers(0, 5000, 300)) for _ in range(2))
+    rows = [(1, base), (5, base + " more"), (5, other), (7, other + " more"), (None, base + " and more"), (None, "quite another text"), (None, "quite another text"), (9, None), (9, "")]
+    got = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["text"] or "") for r in got) == Counter([(1, base), (5, other), (None, "quite another text"), (9, "")])
+
+
 def test_large_near_group_ends_in_few(spark):
     """Runs of one shard hand their classes on: a group far longer than a run becomes one."""
     values = [1 << (i % 200) for i in range(200)]
@@ -649,15 +660,15 @@ def spark_copy(df):
 
 
 def test_mixing_selects_seeded_blocks(spark):
-    """By hand for one shard: whole passes, then 64-word blocks in the seeded order, and another seed takes others."""
+    """By hand for one shard: whole passes, then the blocks of documents in the seeded order; another seed takes others."""
     rows = [(i, " ".join(["w"] * (37 * i % 500)), "ab"[i % 5 == 0]) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     by_seed = {}
     for seed in (42, 43):
         got = {r["doc_id"]: r for r in mixing.mixed(docs, seed).collect()}
         by_seed[seed] = [got[i]["taken"] for i in range(60)]
-        marks = docs.select("doc_id", F.xxhash64(F.lit(seed), "doc_id", "text").alias("mark"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))).alias("nth"))
-        order = marks.select("doc_id", "nth", F.xxhash64(F.lit(seed), "mark", "nth").alias("at")).collect()
+        mark = F.xxhash64(F.lit(seed), "doc_id", "text")
+        order = docs.select("doc_id", F.xxhash64(F.lit(seed), mark).alias("at")).collect()
         for source in "ab":
             own = {i: got[i]["size"] for i in got if rows[i][2] == source}
             quota, size = sum(got[i]["taken"] for i in own), sum(own.values())
@@ -665,13 +676,48 @@ def test_mixing_selects_seeded_blocks(spark):
             expected = {i: quota // size * n for i, n in own.items()}
             left = quota % size
             for r in sorted((r for r in order if r["doc_id"] in own), key=lambda r: r["at"]):
-                words_in = min(max(own[r["doc_id"]] - 64 * r["nth"], 0), 64)
-                expected[r["doc_id"]] += min(words_in, left)
-                left -= min(words_in, left)
+                words_in = min(own[r["doc_id"]], left)
+                expected[r["doc_id"]] += words_in
+                left -= words_in
             assert expected == {i: got[i]["taken"] for i in own}
     assert by_seed[42] != by_seed[43]
 
 
+def words_by_source(df):
+    size = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    return {r["source"]: (r["words"], r["n"]) for r in df.groupBy("source").agg(F.sum(size).alias("words"), F.count("*").alias("n")).collect()}
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 1.0, 1.4, 2.0])
+def test_mixture_meets_a_share(spark, share, monkeypatch):
+    """Whole documents of all lengths, in shards of different sources: words within 2 %, and long ones as often as short ones."""
+    rng = np.random.default_rng(int(10 * share))
+    sizes = [int(x) for x in np.clip(rng.lognormal(5, 1.2, 4000), 1, 5000)]
+    docs = spark.createDataFrame([(i, "w " * n, "ab"[i % 4 == 0]) for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    goals = {"a": share, "b": 2 * share % 1.7}
+
+    def asked(sources):
+        goal = F.when(F.col("source") == "a", goals["a"]).otherwise(goals["b"]) * F.col("source_size")
+        return sources.withColumn("target", goal)
+
+    monkeypatch.setattr(mixing, "targets", asked)
+    out = mixing.mixture(docs, seed=1)
+    before, after = words_by_source(docs), words_by_source(out)
+    assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+    for source, goal in goals.items():
+        words, n = after[source]
+        assert abs(words - goal * before[source][0]) <= 0.02 * goal * before[source][0]
+        # a share of the words is that share of the documents, but for chance
+        assert abs(n / before[source][1] - goal) <= 0.08
+
+
+def test_mixture_of_documents_meets_its_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    before, after = words_by_source(docs), words_by_source(mixing.mixture(docs))
+    for source, goal in brute_targets({s: w for s, (w, _) in before.items()}).items():
+        assert abs(after[source][0] - goal) <= 0.02 * goal, source
+
+
 def test_mixture_copies_rows_by_their_own_plan(spark):
     """Rows with one id and size but other texts each come as often as their own plan says."""
     rows = [(7, f"{chr(97 + i)} " * 50, "s") for i in range(26)] + [(8, "x " * 3000, "t")]
@@ -679,7 +725,7 @@ def test_mixture_copies_rows_by_their_own_plan(spark):
     plan = mixing.mixed(docs).collect()
     out = Counter(r["source"] for r in mixing.mixture(docs).collect())
     for source in "st":
-        assert out[source] == sum(int(r["taken"] / r["size"] + 0.5) for r in plan if r["source"] == source)
+        assert out[source] == sum(r["copies"] for r in plan if r["source"] == source)
     assert sum(r["taken"] for r in plan if r["source"] == "s") <= 2 * 26 * 50
 
 
