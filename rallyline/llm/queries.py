@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyline.llm import audit, langid, licences, lines, mixing, packing, passages, perplexity, recipes, simhash, sketches, urls
+from rallyline.llm import audit, langid, licences, lines, mixing, packing, passages, perplexity, recipes, search, simhash, sketches, urls
 from rallyline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op10_lookup_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def op11_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_documents(search.indexed(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_parity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -84,7 +88,7 @@ def text_edit_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     every = (
         op1_simhash, op2_chunk_recipes, op3_line_dedup, op4_differencing_packs, op5_licence_index, op6_kneser_ney,
-        op7_family_svm, op8_url_templates, op9_sainte_lague_mix, op10_lookup_sketches, op12_parity_audit, op13_super_kmers,
+        op7_family_svm, op8_url_templates, op9_sainte_lague_mix, op10_lookup_sketches, op11_block_max_search, op12_parity_audit, op13_super_kmers,
         text_url_rules, text_mix_targets, text_edit_likeness,
     )
     return {f.__name__: f for f in every}
@@ -157,6 +161,27 @@ SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(e) AS edited_sha256,
 FROM p
 """
 
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP11 = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_TERMS}') AS terms FROM documents),
+i AS MATERIALIZED (SELECT row_number() OVER () AS q, item_id, regexp_extract_all({_LOWER}, '{_TERMS}') AS terms FROM benchmark),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS length FROM d WHERE len(terms) > 0),
+f AS (SELECT r, doc_id, term, count(*)::BIGINT AS tf, any_value(n)::BIGINT AS n
+      FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY r, doc_id, term),
+a AS (SELECT q, item_id, term, count(*)::BIGINT AS times FROM (SELECT q, item_id, unnest(terms) AS term FROM i) GROUP BY q, item_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM f, s WHERE term IN (SELECT term FROM a) GROUP BY term, n_docs),
+g AS (
+  SELECT q, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // length))))::BIGINT AS score
+  FROM a JOIN w USING (term) JOIN f USING (term), s GROUP BY q, r
+)
+SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM g WHERE score > 0 QUALIFY rank <= 10
+"""
+
 _OP12 = rf"""
 WITH t AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
@@ -218,4 +243,4 @@ FROM d LEFT JOIN k ON k.r = d.r
 
 def oracle_sql() -> dict[str, str]:
     more = {"text_url_rules": _URL_RULES, "text_mix_targets": _MIX_TARGETS, "text_edit_likeness": _EDIT_LIKENESS}
-    return more | {"op2_chunk_recipes": _OP2, "op3_line_dedup": _OP3, "op5_licence_index": licences.oracle(), "op12_parity_audit": _OP12, "op13_super_kmers": _OP13}
+    return more | {"op2_chunk_recipes": _OP2, "op3_line_dedup": _OP3, "op5_licence_index": licences.oracle(), "op11_block_max_search": _OP11, "op12_parity_audit": _OP12, "op13_super_kmers": _OP13}
