@@ -1,7 +1,7 @@
 """On-court state from substitutions: intervals, minutes, five-player checks, attribution, stints and units.
 
 State is last write wins: a player who is set on again stays on, and the repeat is an issue.  Transitions become
-intervals of positions, and every later question is a join on (season, game) with a range.
+intervals of positions, and later questions are answered by ordered passes over questions and intervals.
 """
 
 from __future__ import annotations
@@ -81,8 +81,8 @@ def seconds_played(courts: DataFrame, length: DataFrame) -> DataFrame:
 
 def on_court(courts: DataFrame, at: DataFrame, pos: str) -> DataFrame:
     """Players on the floor after each position: at's rows joined with (team, player_id)."""
-    on = (F.col("enter_pos") <= F.col(pos)) & (F.col("exit_pos").isNull() | (F.col("exit_pos") > F.col(pos)))
-    return at.join(courts.select(*PLAYER, "enter_pos", "exit_pos"), list(KEYS)).where(on).drop("enter_pos", "exit_pos")
+    spans = courts.select(*PLAYER, "enter_pos", "exit_pos")
+    return intervals.covering(at, spans, KEYS, pos, "enter_pos", "exit_pos", closed=False).drop("enter_pos", "exit_pos")
 
 
 def not_five(courts: DataFrame, spans: DataFrame, games: DataFrame) -> DataFrame:
@@ -99,12 +99,13 @@ def off_court(events: DataFrame, courts: DataFrame, spans: DataFrame, players: D
     whole = Window.partitionBy(*KEYS, "run")
     runs = runs.withColumn("ws", F.min("pos").over(whole)).withColumn("we", F.max("pos").over(whole))
     plays = runs.where(~F.col("playtype").isin(*SUBSTITUTIONS)).join(players.select(*PLAYER), list(PLAYER), "left_semi")
-    covering = intervals.contained(plays.select(*KEYS, "pos"), spans, KEYS, "pos").select(*KEYS, "pos", "start", "end")
-    plays = plays.join(covering, [*KEYS, "pos"], "left")
-    plays = plays.withColumn("ws", F.least("ws", "start")).withColumn("we", F.greatest("we", "end")).drop("start", "end")
-    seen = (F.col("enter_pos") <= F.col("we")) & (F.col("exit_pos").isNull() | (F.col("exit_pos") >= F.col("ws")))
-    there = plays.join(courts.select(*PLAYER, "enter_pos", "exit_pos"), list(PLAYER)).where(seen).select(*KEYS, "pos")
-    return plays.join(there.distinct(), [*KEYS, "pos"], "left_anti")
+    # merged spans don't overlap, and neither do one player's times on the floor
+    plays = intervals.latest_begun(plays, spans.select(*KEYS, "start", "end"), KEYS, "pos", "start", "span")
+    within = F.col("span.end") >= F.col("pos")
+    plays = plays.withColumn("ws", F.least("ws", F.when(within, F.col("span.start")))).withColumn("we", F.greatest("we", F.when(within, F.col("span.end")))).drop("span")
+    plays = intervals.latest_begun(plays, courts.select(*PLAYER, "enter_pos", "exit_pos"), PLAYER, "we", "enter_pos", "on")
+    seen = F.col("on").isNotNull() & (F.col("on.exit_pos").isNull() | (F.col("on.exit_pos") >= F.col("ws")))
+    return plays.where(~seen).drop("on")
 
 
 def state_issues(moves: DataFrame) -> DataFrame:

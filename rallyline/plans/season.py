@@ -244,8 +244,8 @@ def possessions(events: DataFrame, stints: DataFrame, length: DataFrame) -> Data
     at = events.select(*KEYS, F.col("pos").alias("start_pos"), "elapsed", "score_a", "score_b", "home", "away")
     rows = found.join(at, [*KEYS, "start_pos"]).join(length, list(KEYS))
     inside = stints.select(*KEYS, "stint", F.col("start_pos").alias("s0"), F.col("end_pos").alias("s1"), "lineup_home", "lineup_away")
-    # stints cover a game from its first row to its last, so each possession begins in one of them
-    rows = rows.join(inside, list(KEYS)).where(F.col("start_pos").between(F.col("s0"), F.col("s1")))
+    # stints cover a game from its first row to its last, so each possession begins in the one that began last
+    rows = intervals.latest_begun(rows, inside, KEYS, "start_pos", "s0", "_in").select("*", "_in.*").drop("_in")
     at_home = F.col("team") == F.col("home")
     margin = F.when(at_home, F.col("score_a") - F.col("score_b")).otherwise(F.col("score_b") - F.col("score_a"))
     return rows.select(
