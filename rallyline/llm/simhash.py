@@ -464,9 +464,10 @@ def similar_links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> t
     texts = rows.select("row", "text")
     # an id is given once, when its row is stored
     made = durable(similar_prints(rows, width).withColumn("id", F.monotonically_increasing_id()))
-    named = made.select("row", "id")
+    named = durable(made.select("row", "doc_id", "id"))
     heads = durable(made.groupBy("same").agg(F.min("id").alias("head"), *[F.first(x).alias(x) for x in ("bits", "counts", "keys")]))
-    copies = made.join(heads.select("same", "head"), "same").where("id <> head")
+    copies = durable(made.join(heads.select("same", "head"), "same").where("id <> head").select("id", "head"))
+    del made  # so that its files can go
     heads = heads.select(F.col("head").alias("id"), "bits", "counts", "keys")
     keyed, crowded = parted(heads.select(F.explode("keys").alias("key"), "bits", "id"))
     forest = durable(forest_links(keyed, radius))
@@ -474,7 +475,7 @@ def similar_links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> t
     if crowded is not None:
         found = found.unionByName(ordered(forest_links(blocks_of(crowded), radius))).distinct()
     tried = durable(found)
-    links = durable(verified(tried, texts, named, width, similarity))
+    links = durable(verified(tried, texts, named.drop("doc_id"), width, similarity))
     roots = components(links).select(F.col("node").alias("id"), "root")
     touched = forest.select("key", F.explode(F.array("u", "v")).alias("id")).distinct()
     touched = touched.join(roots.hint("merge"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
@@ -486,9 +487,9 @@ def similar_links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> t
     open_rows = open_ids.join(heads.drop("keys").hint("merge"), "id")
     cross = cross_links(open_rows.select("key", "bits", "counts", "id", "root"), radius, similarity)
     rest = durable(ordered(cross).join(tried.hint("merge"), ["u", "v"], "left_anti"))
-    links = links.unionByName(verified(rest, texts, named, width, similarity))
+    links = links.unionByName(verified(rest, texts, named.drop("doc_id"), width, similarity))
     links = links.unionByName(copies.select(F.col("id").alias("u"), F.col("head").alias("v")))
-    return made.select("row", "doc_id", "id"), links
+    return named, links
 
 
 def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
