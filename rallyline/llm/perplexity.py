@@ -5,7 +5,7 @@ of the highest order from the trusted documents, continuation counts of each low
 contexts' totals and back-off weights by grouping again, probabilities by joining each order with the one below.  All of
 them are dealt by n-gram or context, so none is gathered or broadcast.
 
-Documents are scored by count joins as well.  Consecutive rows make blocks of some 8 MB of text; a block's distinct
+Documents are scored by count joins as well.  Rows that stand together in a file make blocks of some 12 MB of text; a block's distinct
 n-grams, far fewer than its characters, are joined with the tables, and the probabilities come back to the block, where
 each document's perplexity is that of its own n-grams.  So each text moves once, and n-grams move once for each block,
 not once for each document.
@@ -37,7 +37,7 @@ from rallyline.llm.common import ROW, ROW_TYPE, durable, numbered, settled, stor
 
 ORDER = 4
 #: Characters that are counted at a time, and bytes of text of a block.
-CHUNK, BLOCK = 1 << 20, 8 << 20
+CHUNK, BLOCK = 1 << 20, 12 << 20
 #: Of the trusted documents of a language, the share whose perplexity is under the threshold; accuracy of the quantile;
 #: what a text of n characters is allowed for chance, as exp(CHANCE / sqrt(n)) times the threshold.
 QUANTILE, ACCURACY, CHANCE = 0.995, 10_000, 2.0
