@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from rallyline.session import durable
+
 
 class Violation(ValueError):
     """A check that must be empty isn't."""
@@ -54,6 +56,28 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys)
 
 
+class JoinWatch:
+    """Left joins that must neither lose nor repeat a row, counted by the job that runs them: no second job is needed.
+
+    check() is for afterwards; it waits for a job that reads each join's result, so it must have been written by then.
+    """
+
+    def __init__(self) -> None:
+        self.seen: list[tuple[str, Observation, Observation]] = []
+
+    def left(self, left: DataFrame, right: DataFrame, keys: list[str], what: str) -> DataFrame:
+        before, after = Observation(), Observation()
+        rows = left.observe(before, F.count("*").alias("n")).join(right, keys, "left")
+        self.seen.append((what, before, after))
+        return rows.observe(after, F.count("*").alias("n"))
+
+    def check(self) -> None:
+        """Violation unless each join gave as many rows as it was given."""
+        for what, before, after in self.seen:
+            if (a := before.get["n"]) != (b := after.get["n"]):
+                raise Violation(f"{what}: {a} rows became {b}")
+
+
 def reconciled(rebuilt: DataFrame, official: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Violations over the union of keys: rows (keys, rebuilt, official), a missing side counting zero."""
     both = rebuilt.select(*keys, F.col(value).alias("rebuilt")).join(official.select(*keys, F.col(value).alias("official")), keys, "full_outer")
@@ -80,6 +104,75 @@ def ordered_fingerprint(df: DataFrame, row: Column, key: str, bits: int = 12, le
     return rows.agg(listed.alias("fingerprint"), F.sum("n").alias("n"))
 
 
+def digest_levels(df: DataFrame, row: Column, key: str, bits: int = 10, levels: int = 2) -> list[DataFrame]:
+    """A tree of digests over a whole-number key: rows (r, m, n) for each level, from ranges of 2^bits keys upwards.
+
+    A range's digest is that of its parts' digests in the order of the key; rows that repeat a key are ordered by theirs.
+    """
+    rows = df.select(F.col(key).cast("long").alias("k"), F.md5(row).alias("m"), F.lit(1).cast("long").alias("n"))
+    made = []
+    for _ in range(levels):
+        listed = F.md5(F.expr("listagg(m, '') WITHIN GROUP (ORDER BY k, m)"))
+        rows = durable(rows.groupBy(F.shiftright("k", bits).alias("r")).agg(listed.alias("m"), F.sum("n").alias("n")))
+        made.append(rows)
+        rows = rows.select(F.col("r").alias("k"), "m", "n")
+    return made
+
+
+def differing_ranges(a: list[DataFrame], b: list[DataFrame], bits: int = 10) -> DataFrame:
+    """Rows (r): the lowest level's ranges that two trees of digests don't share, found from the top downwards.
+
+    A level is only looked at below the ranges that differ on the level above it.
+    """
+    wrong = None
+    for mine, other in zip(reversed(a), reversed(b), strict=True):
+        sides = [mine.select("r", "m"), other.select("r", F.col("m").alias("o"))]
+        if wrong is not None:
+            above = wrong.select(F.col("r").alias("up"))
+            sides = [side.join(above, F.shiftright("r", bits) == F.col("up"), "left_semi") for side in sides]
+        wrong = durable(sides[0].join(sides[1], "r", "full_outer").where(~F.col("m").eqNullSafe(F.col("o"))).select("r"))
+    return wrong
+
+
+def row_differences(a: DataFrame, b: DataFrame, row: Column, key: str, ranges: DataFrame, bits: int = 10) -> DataFrame:
+    """Rows (key, finding) of the keys in these ranges: missing in b, extra in b, or changed; no other range is compared."""
+    within = ranges.select(F.col("r").alias("up"))
+
+    def digests(df: DataFrame, out: str) -> DataFrame:
+        rows = df.select(F.col(key).cast("long").alias(key), F.md5(row).alias("m"))
+        rows = rows.join(within, F.shiftright(key, bits) == F.col("up"), "left_semi")
+        return rows.groupBy(key).agg(F.expr("listagg(m, '') WITHIN GROUP (ORDER BY m)").alias(out))
+
+    both = digests(a, "m").join(digests(b, "o"), key, "full_outer").where(~F.col("m").eqNullSafe(F.col("o")))
+    finding = F.when(F.col("o").isNull(), "missing").when(F.col("m").isNull(), "extra").otherwise("changed")
+    return both.select(key, finding.alias("finding"))
+
+
+def distinct_by_width(ids: DataFrame, column: str) -> DataFrame:
+    """Rows (bits, n_distinct, n_shared) for 1 to 128 bits: how many different ids, of 32 hexadecimal digits, stay so if cut.
+
+    In their order an id is new at all widths beyond the bits that it shares with the one before it, so one pass over
+    sorted ids tells for every width.  Ids are sorted within ranges of their first 12 bits, and the ranges among themselves.
+    """
+    half = lambda at: F.conv(F.substring("id", at, 16), 16, -10).cast("long")
+    rows = ids.select(F.lower(F.col(column)).alias("id")).where("id IS NOT NULL").distinct()
+    rows = rows.select("id", half(1).alias("hi"), half(17).alias("lo")).withColumn("range", F.shiftrightunsigned("hi", 52))
+    order = Window.partitionBy("range").orderBy("id")
+    length = lambda x: F.length(F.bin(x))
+    hi, lo = F.col("hi").bitwiseXOR(F.lag("hi").over(order)), F.col("lo").bitwiseXOR(F.lag("lo").over(order))
+    shared = F.when(hi.isNull(), None).when(hi != 0, 64 - length(hi)).otherwise(128 - length(lo))
+    rows = durable(rows.select("range", shared.alias("shared")))
+    inside = rows.where("shared IS NOT NULL").groupBy("shared").agg(F.count("*").alias("n"))
+    # the first ids of the ranges, 4,096 at most
+    first = F.col("range").bitwiseXOR(F.lag("range").over(Window.orderBy("range")))
+    heads = rows.select("range").distinct().select(F.coalesce(12 - length(first), F.lit(-1)).alias("shared"), F.lit(1).cast("long").alias("n"))
+    counts = inside.unionByName(heads).groupBy("shared").agg(F.sum("n").alias("n"))  # 130 rows at most
+    whole = counts.agg(F.collect_list(F.struct("shared", "n")).alias("c"), F.sum("n").alias("total")).where("total > 0")
+    new = F.expr("aggregate(filter(c, x -> x.shared < bits), 0L, (s, x) -> s + x.n)")
+    rows = whole.withColumn("bits", F.explode(F.sequence(F.lit(1), F.lit(128)))).withColumn("n_distinct", new)
+    return rows.select("bits", "n_distinct", (F.col("total") - F.col("n_distinct")).alias("n_shared"))
+
+
 def table_fingerprint(df: DataFrame) -> tuple[int, int, int]:
     """Count, sum and exclusive or of row hashes over sorted columns: any order of rows, any size."""
     row = F.xxhash64(F.to_json(F.struct(*sorted(df.columns))))

@@ -79,6 +79,21 @@ def seconds_played(courts: DataFrame, length: DataFrame) -> DataFrame:
     return rows.groupBy(*PLAYER).agg(F.sum("s").cast("int").alias("seconds"))
 
 
+def seconds_by_clock(moves: DataFrame, players: DataFrame, length: DataFrame, clocks: dict[str, str]) -> DataFrame:
+    """Rows (player, and a column of seconds for each name in clocks): what each clock column of the moves would give.
+
+    One pass over one set of moves for all clocks: a player's times on the floor begin and end at the same rows by any.
+    """
+    at = F.struct(*[F.col(clock).cast("int").alias(name) for name, clock in clocks.items()]).alias("at")
+    zero = F.struct(*[F.lit(0).alias(name) for name in clocks]).alias("at")
+    moved = moves.where("changed").select(*PLAYER, "pos", at, "state")
+    begun = players.where("is_starter").select(*PLAYER, F.lit(-1).alias("pos"), zero, F.lit(True).alias("state"))
+    rows = moved.unionByName(begun).withColumn("until", F.lead("at").over(Window.partitionBy(*PLAYER).orderBy("pos")))
+    rows = rows.where("state").join(length, list(KEYS))
+    each = [F.sum(F.coalesce(F.col(f"until.{n}"), F.col("game_length")) - F.col(f"at.{n}")).cast("int").alias(n) for n in clocks]
+    return rows.groupBy(*PLAYER).agg(*each)
+
+
 def on_court(courts: DataFrame, at: DataFrame, pos: str) -> DataFrame:
     """Players on the floor after each position: at's rows joined with (team, player_id)."""
     spans = courts.select(*PLAYER, "enter_pos", "exit_pos")

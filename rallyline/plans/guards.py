@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rallyline.operators.quality import Violation, refuse
 from rallyline.operators.rosters import KEYS
 from rallyline.plans.season import Derived, Season, derive
-from rallyline.sources.archive import existing
+from rallyline.sources.warehouse import Warehouse
 
 
 def in_scope(rows: DataFrame, games: DataFrame, what: str) -> None:
-    """Refuse rows of other games than those that are loaded: a replaced partition must hold its own game alone."""
+    """Refuse rows of other games than those that are loaded."""
     refuse(rows.join(games.select(*KEYS), list(KEYS), "left_anti").select(*KEYS).distinct(), f"{what} of other games")
 
 
@@ -24,20 +23,19 @@ def one_season(games: DataFrame) -> None:
 
 def not_derived(spark: SparkSession, games: DataFrame, out: str) -> None:
     """Refuse to replace inputs that derived tables rest on."""
-    if (held := existing(spark, f"{out}/verdicts")) is not None:
-        held = held.select(F.col("season").cast("string").alias("season"), "game")
-        refuse(games.select(*KEYS).join(held, list(KEYS), "left_semi"), "derived tables rest on these games")
+    if (held := Warehouse.opened(spark, out).table("verdicts")) is not None:
+        refuse(games.select(*KEYS).join(held.select(*KEYS), list(KEYS), "left_semi"), "derived tables rest on these games")
 
 
 def empty_target(spark: SparkSession, out: str) -> None:
     """Refuse a full build into a warehouse that holds games already."""
-    held = existing(spark, f"{out}/verdicts")
+    held = Warehouse.opened(spark, out).table("verdicts")
     if held is not None and not held.isEmpty():
         raise Violation(f"{out} holds games already; build the new ones instead")
 
 
 def load(season: Season, root: str, derived: str) -> None:
-    """Write a season's flat tables by game, replacing those games' partitions and no others, once all guards hold."""
+    """Publish a season's flat tables in one step, replacing those games' rows and no others, once all guards hold."""
     games = season.games.select(*KEYS)
     one_season(games)
     not_derived(games.sparkSession, games, derived)

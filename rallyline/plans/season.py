@@ -1,13 +1,14 @@
 """A season's derived tables from its flat ones.
 
 Tables that several others read are written on the way (a plan that repeats them would grow with every use).  The only
-global step is the season's correction switch, one row per season that is broadcast back.
+global step is the season's correction switch, one row per season that is broadcast back; it is a sum of each game's own
+sums, which are kept, so games can be derived at different times.
 """
 
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from rallyline.operators import episodes, intervals, ordered, quality, rosters
 from rallyline.operators.rosters import GAME, KEYS, PLAYER
 from rallyline.session import durable
 from rallyline.sources import payloads
+from rallyline.sources.warehouse import Warehouse
 
 PLAYS = episodes.Plays(GAME, player="player_id")
 #: Why a game is quarantined, in the order in which reasons are told.
@@ -24,27 +26,40 @@ REASONS = ("minutes_mismatch", "off_court_attribution", "not_five_on_court", "su
 
 
 class Tables:
-    """Named tables that can be written and read again; a written table is what later plans should start from."""
+    """Named tables that are published together and read again; what is read is what later plans should start from."""
 
     @classmethod
     def names(cls) -> list[str]:
-        return [f.name for f in fields(cls)]
+        return [f.name for f in fields(cls) if f.metadata.get("table", True)]
 
-    def save(self, root: str) -> None:
-        """Each table as Parquet, by (season, game) where it has them; only the partitions that have rows are replaced."""
-        for name in self.names():
-            df = getattr(self, name)
-            by = [k for k in KEYS if k in df.columns]
-            writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            (writer.partitionBy(*by) if by else writer).parquet(f"{root}/{name}")
+    def published(self) -> dict[str, DataFrame]:
+        return {name: getattr(self, name) for name in self.names()}
+
+    def save(self, root: str, house: Warehouse | None = None, more: dict[str, DataFrame] | None = None, games: DataFrame | None = None) -> Warehouse:
+        """Publish all tables, and more, in one commit: for these games, and as whole tables where a table has no games.
+
+        A whole table by season keeps other seasons' rows.  house is the warehouse that the tables were made from; games
+        are those of the table `games` unless told otherwise.
+        """
+        house = house or Warehouse.opened(self.games.sparkSession, root)
+        tables = self.published() | (more or {})
+        for name, df in tables.items():
+            if "season" in df.columns and "game" not in df.columns and (old := house.table(name)) is not None:
+                kept = old.join(df.select("season").distinct(), "season", "left_anti")
+                tables[name] = df.unionByName(kept.select(df.columns))
+        return house.publish(tables, self.games.select(*KEYS) if games is None else games, self.checked)
+
+    def checked(self) -> None:
+        """What must hold of the rows that were written, or Violation."""
 
     @classmethod
     def load(cls, spark: SparkSession, root: str):
-        def one(name: str) -> DataFrame:
-            df = spark.read.parquet(f"{root}/{name}")
-            return df.withColumn("season", F.col("season").cast("string")) if "season" in df.columns else df
-
-        return cls(*[one(name) for name in cls.names()])
+        """The tables as they are now, all of one version."""
+        house = Warehouse.opened(spark, root)
+        tables = {name: house.table(name) for name in cls.names()}
+        if lacking := [name for name, df in tables.items() if df is None]:
+            raise quality.Violation(f"{root} holds no {', '.join(lacking)}")
+        return cls(**tables)
 
 
 @dataclass(frozen=True)
@@ -62,15 +77,18 @@ class Season(Tables):
     teams: DataFrame
 
     @classmethod
-    def read(cls, spark: SparkSession, root: str, season: str) -> Season:
-        box = payloads.payloads(spark, root, "Boxscore", payloads.BOX_SCORE)
+    def read(cls, spark: SparkSession, root: str, season: str, only: list[int] | None = None) -> Season:
+        """The tables of a payload tree; with `only`, from these games' files of the season and no others."""
+        paths = None if only is None else [(season, game) for game in only]
+        box = payloads.payloads(spark, root, "Boxscore", payloads.BOX_SCORE, paths)
         scheduled = payloads.games(spark, root, season)
+        played = scheduled.where("played")
         return cls(
-            payloads.with_box(scheduled.where("played"), box),
-            payloads.events(payloads.payloads(spark, root, "PlaybyPlay", payloads.PLAY_BY_PLAY)),
+            payloads.with_box(played if only is None else played.where(F.col("game").isin(only)), box),
+            payloads.events(payloads.payloads(spark, root, "PlaybyPlay", payloads.PLAY_BY_PLAY, paths)),
             payloads.players(box),
             payloads.team_rows(box),
-            payloads.shots(payloads.payloads(spark, root, "Points", payloads.SHOTS)),
+            payloads.shots(payloads.payloads(spark, root, "Points", payloads.SHOTS, paths)),
             payloads.teams(scheduled),
         )
 
@@ -96,26 +114,71 @@ class Derived(Tables):
     minutes: DataFrame
     dimension_players: DataFrame
     dimension_teams: DataFrame
-    #: Written last: a game that has a verdict is there whole.
+    #: What the season's switch is a sum of: each game's mismatched players by raw and by corrected seconds.
+    sums: DataFrame
     verdicts: DataFrame
+    #: Counts of rows around the joins, told by the plans that write the tables.
+    watch: quality.JoinWatch | None = field(default=None, metadata={"table": False}, compare=False)
 
+    def checked(self) -> None:
+        if self.watch is not None:
+            self.watch.check()
 
-def minutes(season: Season, events: DataFrame, moves: DataFrame, length: DataFrame) -> DataFrame:
+
+def seconds(season: Season, moves: DataFrame, length: DataFrame) -> DataFrame:
     """Seconds per listed player: raw, corrected for overtime tips, and official (null where the box has none)."""
     rows = season.players.select(*PLAYER, "name", official_seconds(F.col("minutes")).alias("seconds_official"))
-    for name, clock in (("seconds_raw", "elapsed"), ("seconds_candidate", "elapsed_corrected")):
-        played = rosters.seconds_played(rosters.court_intervals(moves, season.players, clock), length)
-        rows = rows.join(played.withColumnRenamed("seconds", name), list(PLAYER), "left").fillna(0, [name])
-    rows = durable(rows)
-    switch = use_correction(rows)
-    rows = rows.join(F.broadcast(switch), "season")
+    played = rosters.seconds_by_clock(moves, season.players, length, {"seconds_raw": "elapsed", "seconds_candidate": "elapsed_corrected"})
+    return rows.join(played, list(PLAYER), "left").fillna(0, ["seconds_raw", "seconds_candidate"])
+
+
+#: Clock rules that could be applied to substitutions, and their columns.
+RULES = {"raw": "elapsed", "tip_shift": "elapsed_corrected", "running_maximum": "elapsed_clamped", "both": "elapsed_both"}
+
+
+def clock_control(season: Season) -> DataFrame:
+    """Rows (season, game, and a count for each of RULES): listed players whose seconds by the rule aren't the official ones.
+
+    What the rules would have changed is measured for all of them at once, before one is chosen; nothing is written.
+    """
+    events = rosters.corrected(rosters.timed(season.events))
+    events = events.withColumn("elapsed_clamped", ordered.running_maximum(F.col("elapsed"), GAME))
+    events = events.withColumn("elapsed_both", ordered.running_maximum(F.col("elapsed_corrected"), GAME))
+    moves = rosters.transitions(events, season.players)
+    played = rosters.seconds_by_clock(moves, season.players, rosters.lengths(events), RULES)
+    rows = season.players.select(*PLAYER, official_seconds(F.col("minutes")).alias("official")).join(played, list(PLAYER), "left").fillna(0, list(RULES))
+    return rows.groupBy(*KEYS).agg(*[F.count_if(~matches_official(F.col(n), F.col("official"))).alias(n) for n in RULES])
+
+
+def mismatch_sums(rows: DataFrame) -> DataFrame:
+    """Rows (season, game, raw_wrong, candidate_wrong): how many listed players' seconds aren't the official ones."""
+    wrong = lambda c: F.sum((~matches_official(F.col(c), F.col("seconds_official"))).cast("long"))
+    return rows.groupBy(*KEYS).agg(wrong("seconds_raw").alias("raw_wrong"), wrong("seconds_candidate").alias("candidate_wrong"))
+
+
+def use_correction(sums: DataFrame) -> DataFrame:
+    """Rows (season, use_correction) from the sums of all its games, whenever each of them was built."""
+    return quality.season_switch(sums, "raw_wrong", "candidate_wrong", ["season"])
+
+
+def switched(rows: DataFrame, switch: DataFrame) -> DataFrame:
+    """The minutes with seconds_corrected as the season's switch says; one row a season is broadcast."""
+    rows = rows.drop("use_correction", "seconds_corrected").join(F.broadcast(switch), "season")
     return rows.withColumn("seconds_corrected", F.when(F.col("use_correction"), F.col("seconds_candidate")).otherwise(F.col("seconds_raw")))
 
 
-def use_correction(rows: DataFrame) -> DataFrame:
-    wrong = lambda c: (~matches_official(F.col(c), F.col("seconds_official"))).cast("int")
-    marked = rows.withColumn("raw_wrong", wrong("seconds_raw")).withColumn("candidate_wrong", wrong("seconds_candidate"))
-    return quality.season_switch(marked, "raw_wrong", "candidate_wrong", ["season"])
+def verdict_of(rows: DataFrame) -> DataFrame:
+    """The verdicts with their reasons, in the fixed order, and flag, from the counts behind them."""
+    rows = rows.withColumn("reasons", quality.reasons({name: F.col(f"n_{name}") > 0 for name in REASONS}))
+    return rows.withColumn("excluded", F.size("reasons") > 0)
+
+
+def flipped(old: Derived, switch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The minutes and verdicts of games built before the season's switch turned: all else of them doesn't depend on it."""
+    chosen = old.sums.join(F.broadcast(switch), "season")
+    wrong = chosen.select(*KEYS, F.when(F.col("use_correction"), F.col("candidate_wrong")).otherwise(F.col("raw_wrong")).alias("n_minutes_mismatch"))
+    verdicts = old.verdicts.drop("n_minutes_mismatch").join(wrong, list(KEYS))
+    return switched(old.minutes, switch).select(old.minutes.columns), verdict_of(verdicts).select(old.verdicts.columns)
 
 
 def point_differences(season: Season) -> DataFrame:
@@ -149,6 +212,7 @@ def input_refusals(season: Season) -> DataFrame:
         "substitution_without_team_or_clock": events.where(F.col("playtype").isin(*rosters.SUBSTITUTIONS) & (F.col("team").isNull() | F.col("clock").isNull())),
         "unpaired_substitutions": rosters.unpaired_substitutions(events),
         "no_events": known.join(events, list(KEYS), "left_anti"),
+        "points_do_not_reconcile": point_differences(season),
     }
     rows = [bad.select(*KEYS, F.lit(name).alias("finding")) for name, bad in found.items()]
     return functools.reduce(DataFrame.unionByName, rows).join(known.select(*KEYS), list(KEYS), "left_semi").distinct()
@@ -173,10 +237,18 @@ def state_refusals(season: Season, events: DataFrame, moves: DataFrame, courts:
     return functools.reduce(DataFrame.unionByName, rows).distinct()
 
 
-def derive(season: Season, refused: list[DataFrame] | None = None) -> Derived:
+def colliding(units: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Rows (lineup_id): identifiers that stand for two units, among these or with those stored already."""
+    rows = units.select("lineup_id", "team", "unit")
+    rows = rows if known is None else rows.unionByName(known.select("lineup_id", "team", "unit"))
+    return rows.distinct().groupBy("lineup_id").count().where("count > 1").select("lineup_id")
+
+
+def derive(season: Season, refused: list[DataFrame] | None = None, earlier: DataFrame | None = None, known: DataFrame | None = None) -> Derived:
     """The derived tables.  A game that breaks a rule is refused: all of them raise Violation together.
 
-    With a list, such games are left out instead, and the list gets their rows (season, game, finding).
+    With a list, such games are left out instead, and the list gets their rows (season, game, finding).  earlier are the
+    sums of the seasons' other games, where they have been derived before, and known the lineups that are stored already.
     """
 
     def turn_away(bad: DataFrame, what: str) -> DataFrame | None:
@@ -187,6 +259,7 @@ def derive(season: Season, refused: list[DataFrame] | None = None) -> Derived:
         refused.append(bad)
         return None if bad.isEmpty() else bad
 
+    watch = quality.JoinWatch()
     if (bad := turn_away(input_refusals(season), "games refused for their inputs")) is not None:
         season = season.sound(bad)
     events = rosters.corrected(rosters.timed(season.events)).join(season.games.select(*KEYS, "home", "away"), list(KEYS))
@@ -194,15 +267,21 @@ def derive(season: Season, refused: list[DataFrame] | None = None) -> Derived:
     length = durable(rosters.lengths(events))
     moves = durable(rosters.transitions(events, season.players))
     courts = durable(rosters.court_intervals(moves, season.players))
-    played = durable(minutes(season, events, moves, length))
+    played = durable(seconds(season, moves, length))
     if (bad := turn_away(state_refusals(season, events, moves, courts, played, length), "games refused for their states")) is not None:
         season = season.sound(bad)
         drop = lambda df: durable(df.join(bad.select(*KEYS).distinct(), list(KEYS), "left_anti"))
         events, length, moves, courts, played = map(drop, (events, length, moves, courts, played))
     spans = durable(rosters.substitution_spans(events))
     stints = durable(rosters.stints(events, spans, courts, length, season.games))
+    if (bad := turn_away(lineup_refusals(stints, known), "lineups share an id")) is not None:
+        season = season.sound(bad)
+        drop = lambda df: durable(df.join(bad.select(*KEYS).distinct(), list(KEYS), "left_anti"))
+        events, length, moves, courts, played, spans, stints = map(drop, (events, length, moves, courts, played, spans, stints))
+    sums = durable(mismatch_sums(played))
+    switch = use_correction(sums if earlier is None else sums.unionByName(earlier.select(sums.columns)))
+    played = durable(switched(played, switch))
     units = lineups(stints)
-    quality.refuse(units.groupBy("lineup_id").count().where("count > 1"), "lineups share an id")
     shots = durable(episodes.trips(events, PLAYS))
     found = durable(possessions(shots, stints, length))
     suspects = durable(rosters.off_court(events, courts, spans, season.players))
@@ -210,18 +289,26 @@ def derive(season: Season, refused: list[DataFrame] | None = None) -> Derived:
     enriched = intervals.segment_index(shots.withColumnRenamed("excluded", "trip_excluded"), spans, KEYS, "pos", "stint")
     enriched = episodes.attach(enriched, found.withColumnRenamed("start_pos", "start").withColumnRenamed("end_pos", "end"), KEYS, "pos")
     flagged = suspects.select(*KEYS, "pos", F.lit(True).alias("_suspect"))
-    enriched = enriched.join(flagged, [*KEYS, "pos"], "left").withColumn("attribution_suspect", F.coalesce("_suspect", F.lit(False))).drop("_suspect")
+    enriched = watch.left(enriched, flagged, [*KEYS, "pos"], "events and suspects")
+    enriched = enriched.withColumn("attribution_suspect", F.coalesce("_suspect", F.lit(False))).drop("_suspect")
     units_at = stints.select(*KEYS, "stint", "lineup_home", "lineup_away")
-    enriched = enriched.join(units_at, [*KEYS, "stint"], "left")
+    enriched = watch.left(enriched, units_at, [*KEYS, "stint"], "events and stints")
     names = Window.partitionBy("player_id").orderBy(F.desc("season"), F.desc("game"))
     people = season.players.select("player_id", "name", "season", "game", F.row_number().over(names).alias("n")).where("n = 1")
     people = people.select("player_id", "name", F.col("season").alias("name_season"))
     return Derived(
         season.games, enriched, stints, units, units.select("lineup_id", "team", F.explode("unit").alias("player_id")), trip_table(shots), found, played,
-        people, season.teams, verdicts,
+        people, season.teams, sums, verdicts, watch,
     )
 
 
+def lineup_refusals(stints: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Rows (season, game, finding) of games with a lineup whose identifier stands for another unit as well."""
+    sides = F.explode(F.array("lineup_home", "lineup_away")).alias("lineup_id")
+    shared = colliding(lineups(stints), known)
+    return stints.select(*KEYS, sides).join(shared, "lineup_id", "left_semi").select(*KEYS, F.lit("lineup_collision").alias("finding")).distinct()
+
+
 def lineups(stints: DataFrame) -> DataFrame:
     """One row per five-player unit: lineup_id, team, unit."""
     sides = F.explode(F.array(*[F.struct(F.col(s).alias("team"), F.col(f"lineup_{s}").alias("lineup_id"), F.col(f"unit_{s}").alias("unit")) for s in ("home", "away")]))
@@ -274,5 +361,4 @@ def judge(season: Season, spans: DataFrame, moves: DataFrame, courts: DataFrame,
     rows = season.games.select(*KEYS)
     for name, bad in parts.items():
         rows = rows.join(bad.groupBy(*KEYS).agg(F.count("*").alias(f"n_{name}")), list(KEYS), "left").fillna(0, [f"n_{name}"])
-    rows = rows.withColumn("reasons", quality.reasons({name: F.col(f"n_{name}") > 0 for name in parts}))
-    return rows.withColumn("excluded", F.size("reasons") > 0)
+    return verdict_of(rows)

@@ -690,8 +690,12 @@ ORACLES = {
 
 
 def queries() -> dict[str, Query]:
-    return {name: relational(name) for name in RELATIONAL} | {name: globals()[name] for name in ORACLES}
+    from rallyline import audit_queries
+
+    return {name: relational(name) for name in RELATIONAL} | {name: globals()[name] for name in ORACLES} | audit_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text.format(**{t: t for t in TABLES}) for name, text in RELATIONAL.items()} | ORACLES
+    from rallyline import audit_queries
+
+    return {name: text.format(**{t: t for t in TABLES}) for name, text in RELATIONAL.items()} | ORACLES | audit_queries.ORACLES

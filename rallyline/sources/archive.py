@@ -6,28 +6,20 @@ index isn't updated in place: versions are a plan over the observations, which o
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rallyline.operators.quality import Violation, count_differences, refuse
+from rallyline.operators.quality import count_differences, refuse
 from rallyline.session import durable
 from rallyline.sources import payloads
+from rallyline.sources.warehouse import existing, put
 
 #: What names a response.
 RESPONSE = ("season", "endpoint", "game")
 
 
-def existing(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at a path, None where there is none yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
-
-
 def objects(spark: SparkSession, root: str) -> DataFrame:
     """Rows (season, endpoint, game, sha256, byte_size, object_path, content) of a payload tree."""
     sha = F.sha2("content", 256)
@@ -50,37 +42,54 @@ def damaged(bodies: DataFrame) -> DataFrame:
 
 
 def archive_season(spark: SparkSession, root: str, season: str, path: str, sample: int = 16) -> DataFrame:
-    """Store a season's bodies, then read one in `sample` of them (by hash) back and verify it; the season's objects.
+    """Store a season's bodies, then read some of them back and verify them; the season's objects.
 
-    A body that is missing or damaged ends the run.
+    One in `sample` is read back, by hash, and of each endpoint the one with the least hash in any case.  A body that is
+    missing or damaged ends the run.
     """
     made = objects(spark, root).where(F.col("season") == season)
     store(made, path)
-    picked = made.select("sha256").distinct().where(F.pmod(F.xxhash64("sha256"), F.lit(sample)) == 0)
+    first = made.groupBy("endpoint").agg(F.min("sha256").alias("sha256")).select("sha256")
+    picked = made.select("sha256").where(F.pmod(F.xxhash64("sha256"), F.lit(sample)) == 0).unionByName(first).distinct()
     held = spark.read.parquet(path)
     refuse(picked.join(held, "sha256", "left_anti"), "bodies weren't stored")
     refuse(damaged(held.join(picked, "sha256", "left_semi")), "stored bodies are damaged")
     return made.drop("content")
 
 
+def restored_season(spark: SparkSession, out: str, season: str) -> DataFrame | None:
+    """Rows (endpoint, game, sha256, byte_size, content) that restore_season put in place last, None where none were."""
+    if (pointer := _pointer(spark, out, season)) is None:
+        return None
+    return spark.read.parquet(f"{out}/{season}/{pointer}")
+
+
+def _pointer(spark: SparkSession, out: str, season: str) -> str | None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{season}/current")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.text(f"{out}/{season}/current").first()[0]
+
+
 def restore_season(index: DataFrame, bodies: DataFrame, games: DataFrame, season: str, out: str, endpoints: tuple[str, ...]) -> None:
-    """Restore a season's current bodies to <out>/<season>: staged beside it, checked, then put in its place.
+    """Restore a season's current bodies to a folder of their own in <out>/<season>, then point to it, see restored_season.
 
-    Rows (endpoint, game, sha256, content); a season that isn't whole, or a body that hasn't its hash, leaves what was
-    there before as it is.
+    The pointer is replaced last and in one step, so at any time a reader finds one restored season whole: a season that
+    isn't whole, a body that hasn't its hash, or a run that breaks off leaves what was there before.  The folder that was
+    current is deleted after that.
     """
-    spark, stage = bodies.sparkSession, f"{out}/.staged-{season}"
+    spark, name = bodies.sparkSession, f"restored-{uuid.uuid4().hex}"
     wanted = index.where(F.col("current") & (F.col("season") == season)).select("endpoint", "game", "sha256")
-    wanted.join(bodies.select("sha256", "byte_size", "content"), "sha256").write.mode("overwrite").parquet(stage)
-    staged = spark.read.parquet(stage)
+    wanted.join(bodies.select("sha256", "byte_size", "content"), "sha256").write.parquet(f"{out}/{season}/{name}")
+    staged = spark.read.parquet(f"{out}/{season}/{name}")
     refuse(damaged(staged), "bodies are damaged")
     listing = staged.select(F.lit(season).alias("season"), "endpoint", "game")
     refuse(incomplete(games.where(F.col("season") == season), listing, endpoints), "the season isn't whole")
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    files = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(path(f"{out}/{season}"), True)
-    if not files.rename(path(stage), path(f"{out}/{season}")):
-        raise Violation(f"{stage} could not be put in place")
+    before = _pointer(spark, out, season)
+    put(spark, f"{out}/{season}/current", name, replace=True)
+    if before:
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{season}/{before}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def observed(old: DataFrame, new: DataFrame, every_observation: bool = False) -> DataFrame:

@@ -53,9 +53,10 @@ def _from_path(df: DataFrame) -> DataFrame:
     )
 
 
-def payloads(spark: SparkSession, root: str, endpoint: str, schema: str) -> DataFrame:
+def payloads(spark: SparkSession, root: str, endpoint: str, schema: str, only: list[tuple[str, int]] | None = None) -> DataFrame:
+    """An endpoint's payloads of the whole tree; with `only`, of these (season, game), and no other file is opened."""
     reader = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "[0-9]*.json")
-    return _from_path(reader.json(f"{root}/*/{endpoint}"))
+    return _from_path(reader.json(f"{root}/*/{endpoint}" if only is None else [f"{root}/{s}/{endpoint}/{g}.json" for s, g in only]))
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:

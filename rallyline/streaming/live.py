@@ -1,13 +1,15 @@
 """New games as they arrive: a stream of payload files starts builds, and each build is a no-op for what is there.
 
-A season's correction switch depends on all its games, so a build derives from the whole season and writes only the games
-that the warehouse lacks.  Their verdicts are written last, so a build that an executor or the driver loses is simply run
-again.
+A build opens the payloads of the games that the warehouse lacks and no others.  A season's correction switch depends on
+all its games, but it is a sum of sums that are kept for each game; where new games turn it, the minutes and verdicts of the
+season's older games are made again from what is stored.  All of a build is published in one commit, so one that an
+executor or the driver loses is simply run again.
 """
 
 from __future__ import annotations
 
 import functools
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,10 +17,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rallyline.operators.quality import refuse
 from rallyline.operators.rosters import KEYS
-from rallyline.plans.season import Derived, Season, derive
+from rallyline.plans.season import Derived, Season, derive, flipped, use_correction
 from rallyline.session import durable
 from rallyline.sources import payloads
-from rallyline.sources.archive import existing
+from rallyline.sources.warehouse import Warehouse
 
 #: The payloads that a game needs.
 ENDPOINTS = ("PlaybyPlay", "Boxscore", "Points")
@@ -31,12 +33,10 @@ def complete_games(spark: SparkSession, root: str, season: str) -> DataFrame:
     return payloads.games(spark, root, season).where("played").select(*KEYS).join(whole, list(KEYS), "left_semi")
 
 
-def new_games(spark: SparkSession, candidates: DataFrame, out: str) -> DataFrame:
+def new_games(candidates: DataFrame, house: Warehouse) -> DataFrame:
     """The candidates (season, game) without a verdict in the warehouse."""
-    verdicts = existing(spark, f"{out}/verdicts")
-    if verdicts is None:
-        return candidates
-    return candidates.join(verdicts.select(F.col("season").cast("string").alias("season"), "game"), list(KEYS), "left_anti")
+    verdicts = house.table("verdicts")
+    return candidates if verdicts is None else candidates.join(verdicts.select(*KEYS), list(KEYS), "left_anti")
 
 
 def upserted(old: DataFrame | None, new: DataFrame, keys: list[str], newer: str | None = None) -> DataFrame:
@@ -59,39 +59,58 @@ def missing(spark: SparkSession, root: str, season: str) -> DataFrame:
 
 
 def build(spark: SparkSession, root: str, season: str, out: str, partial: bool = True) -> DataFrame:
-    """Derive and write the games that the warehouse lacks; their keys.
+    """Derive and publish the games that the warehouse lacks; their keys.
 
     Games without all their payloads wait for a later build; with partial off, any of them ends the build before
-    anything is written, all named.  Games that break a rule go to the table `refused` with their findings, and are
-    tried again by the next build.
+    anything is written, all named.  Games that break a rule go to the table `refused` with their findings, until a later
+    build, which tries them again, finds them sound.
     """
     if not partial:
         refuse(missing(spark, root, season), "payloads are missing")
-    ready = durable(complete_games(spark, root, season))
-    fresh = durable(new_games(spark, ready, out))
-    if fresh.isEmpty():
+    house = Warehouse.opened(spark, out)
+    fresh = durable(new_games(complete_games(spark, root, season), house))
+    only = sorted(r["game"] for r in fresh.collect())  # names of files of one season
+    if not only:
         return fresh
+    old = stored_season(house, season)
     refused: list[DataFrame] = []
-    made = derive(Season.read(spark, root, season).only(ready), refused)
-    bad = functools.reduce(DataFrame.unionByName, refused)
-    if (before := existing(spark, f"{out}/refused")) is not None:
-        bad = before.where(F.col("season") != season).select(bad.columns).unionByName(bad)
-    bad = durable(bad)
-    bad.write.mode("overwrite").parquet(f"{out}/refused")
-    fresh = durable(fresh.join(bad.select(*KEYS).distinct(), list(KEYS), "left_anti"))
-    # written first: a table can't be read while it is replaced
-    kept = {}
-    for name, keys, newer in (("dimension_players", ["player_id"], "name_season"), ("dimension_teams", ["season", "team"], None), ("lineups", ["lineup_id"], None), ("lineup_players", ["lineup_id", "player_id"], None)):
-        kept[name] = durable(upserted(existing(spark, f"{out}/{name}"), getattr(made, name), keys, newer))
-
-    def chosen(name: str) -> DataFrame:
-        df = kept.get(name, getattr(made, name))
-        return df.join(fresh, list(KEYS), "left_semi") if set(KEYS) <= set(df.columns) else df
-
-    Derived(*[chosen(name) for name in Derived.names()]).save(out)
+    made = derive(Season.read(spark, root, season, only), refused, old and old.sums, house.table("lineups"))
+    bad = durable(functools.reduce(DataFrame.unionByName, refused))
+    turned_away = bad.select(*KEYS).distinct()
+    fresh = durable(fresh.join(turned_away, list(KEYS), "left_anti").select(*KEYS))
+    kept = {name: upserted(house.table(name), getattr(made, name), keys, newer) for name, keys, newer in DIMENSIONS}
+    held = lambda games, names: games.select(*KEYS, F.lit(list(names)).alias("tables"))
+    games = held(fresh, [*Derived.names(), "refused"]).unionByName(held(turned_away, ["refused"]))
+    if old is not None and (switch := turned(old, made)) is not None:
+        minutes, verdicts = flipped(old, switch)
+        kept |= {"minutes": made.minutes.unionByName(minutes.select(made.minutes.columns)), "verdicts": made.verdicts.unionByName(verdicts.select(made.verdicts.columns))}
+        games = games.unionByName(held(old.verdicts, ["minutes", "verdicts"]))
+    replace(made, **kept).save(out, house, {"refused": bad}, games)
     return fresh
 
 
+#: Tables that a build adds to: their keys, and what tells the newer of two rows.
+DIMENSIONS = (
+    ("dimension_players", ["player_id"], "name_season"), ("dimension_teams", ["season", "team"], None),
+    ("lineups", ["lineup_id"], None), ("lineup_players", ["lineup_id", "player_id"], None),
+)
+
+
+def stored_season(house: Warehouse, season: str) -> Derived | None:
+    """The season's derived tables as they are stored, None where it has no game yet."""
+    tables = {name: house.table(name) for name in Derived.names()}
+    if tables["verdicts"] is None or (own := tables["verdicts"].where(F.col("season") == season)).isEmpty():
+        return None
+    return Derived(**tables | {name: tables[name].where(F.col("season") == season) for name in ("minutes", "sums")} | {"verdicts": own})
+
+
+def turned(old: Derived, made: Derived) -> DataFrame | None:
+    """The season's switch (season, use_correction) if the new games turn it, else None."""
+    was = use_correction(old.sums).first()
+    now = use_correction(old.sums.unionByName(made.sums))
+    return now if now.first()["use_correction"] != was["use_correction"] else None
+
+
 def follow(spark: SparkSession, root: str, out: str, checkpoint: str) -> StreamingQuery:
     """Build the seasons of all files that have come since the last run, then end; a second run finds nothing to do.
 

@@ -8,8 +8,11 @@ import shutil
 import pytest
 
 from league import GAMES, write_season
+from rallyline.operators import rosters
+from rallyline.plans import season as plan
 from rallyline.plans.season import Derived
 from rallyline.sources import archive, payloads
+from rallyline.sources.warehouse import Warehouse
 from rallyline.streaming import live
 
 FETCHED = "season string, endpoint string, game int, sha256 string, fetched_at timestamp_ntz, http_status int"
@@ -84,3 +87,55 @@ def test_live_builds_only_new_games(spark, root, tmp_path):
     assert first < {tuple(r) for r in got.possessions.collect()}
     assert got.dimension_players.count() == got.dimension_players.select("player_id").distinct().count() == 24
     assert live.build(spark, str(raw), "S1", out).count() == 0
+
+
+def rows_by_table(spark, out):
+    tables = Derived.load(spark, out)
+    return {name: sorted((str(sorted(r.asDict(recursive=True).items())) for r in getattr(tables, name).collect())) for name in Derived.names()}
+
+
+def test_a_build_reads_its_own_games_and_a_turned_switch_remakes_little(spark, tmp_path):
+    """Game 3 comes last and turns the switch: the others' files aren't opened, their minutes and verdicts are remade, and
+    all is as one pass over the season has it."""
+    raw, one, many = tmp_path / "raw", str(tmp_path / "one"), str(tmp_path / "many")
+    write_season(raw)
+    # a substitution stamped at the overtime's tip, and official minutes that only the corrected clock gives
+    pbp = raw / "S1" / "PlaybyPlay" / "3.json"
+    body = json.loads(pbp.read_text())
+    for r in [r for r in body["ExtraTime"] if r["PLAYTYPE"].strip() in ("IN", "OUT")][:2]:
+        r["MARKERTIME"] = "05:00"
+    pbp.write_text(json.dumps(body))
+    s = plan.Season.read(spark, str(raw), "S1", [3])
+    events = rosters.corrected(rosters.timed(s.events))
+    made = plan.seconds(s, rosters.transitions(events, s.players), rosters.lengths(events))
+    moved = {r["player_id"]: r["seconds_candidate"] for r in made.where("seconds_candidate <> seconds_raw").collect()}
+    box = raw / "S1" / "Boxscore" / "3.json"
+    body = json.loads(box.read_text())
+    players = [p for side in body["Stats"] for p in side["PlayersStats"] if p["Player_ID"].strip() in moved]
+    for p in players:
+        n = moved[p["Player_ID"].strip()]
+        p["Minutes"] = f"{n // 60:02d}:{n % 60:02d}"
+    assert len(players) == len(moved) > 0
+    box.write_text(json.dumps(body))
+    texts = {f: f.read_text() for e in live.ENDPOINTS for f in (raw / "S1" / e).iterdir()}
+    late = [f for f in texts if f.name == "3.json"]
+    for f in late:
+        f.unlink()
+    switch = lambda: {r[0] for r in Derived.load(spark, many).minutes.select("use_correction").distinct().collect()}
+    live.build(spark, str(raw), "S1", many)
+    assert switch() == {False}
+    before = Warehouse.opened(spark, many)
+    for f, text in texts.items():
+        f.write_text(text if f in late else "{ this is no payload")
+    assert [r["game"] for r in live.build(spark, str(raw), "S1", many).collect()] == [3] and switch() == {True}
+    for f, text in texts.items():
+        f.write_text(text)
+    live.build(spark, str(raw), "S1", one)
+    got, expected = rows_by_table(spark, many), rows_by_table(spark, one)
+    for name in Derived.names():
+        assert got[name] == expected[name], name
+    # what doesn't depend on the switch lies where it lay
+    after = Warehouse.opened(spark, many)
+    for name in ("events", "minutes", "verdicts"):
+        where = [{r["game"]: r["commit"] for r in house.games(name).where("game <> 3").collect()} for house in (before, after)]
+        assert (where[0] == where[1]) == (name == "events")

@@ -67,7 +67,15 @@ def test_archive_and_restore_a_season(spark, league, tmp_path):  # noqa: F811
     seen = made.select("season", "endpoint", "game", "sha256", F.lit("2024-10-10").cast("timestamp").alias("fetched_at"), F.lit(200).alias("http_status"))
     index, games = archive.versions(seen), payloads.games(spark, str(root), "S1")
     archive.restore_season(index, spark.read.parquet(path), games, "S1", out, live.ENDPOINTS)
-    assert spark.read.parquet(f"{out}/S1").count() == 12
+    before = archive.restored_season(spark, out, "S1")
+    assert before.count() == 12 and archive.restored_season(spark, out, "S2") is None
     with pytest.raises(Violation, match="isn't whole"):
         archive.restore_season(index.where("NOT (game = 2 AND endpoint = 'Points')"), spark.read.parquet(path), games, "S1", out, live.ENDPOINTS)
-    assert spark.read.parquet(f"{out}/S1").count() == 12
+    with pytest.raises(OSError, match="lost"), pytest.MonkeyPatch.context() as patch:
+        patch.setattr(archive, "put", lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+        archive.restore_season(index, spark.read.parquet(path), games, "S1", out, live.ENDPOINTS)
+    # neither a season that isn't whole nor a run that breaks off changes what is there
+    assert sorted(archive.restored_season(spark, out, "S1").collect()) == sorted(before.collect())
+    archive.restore_season(index, spark.read.parquet(path), games, "S1", out, live.ENDPOINTS)
+    assert archive.restored_season(spark, out, "S1").count() == 12
+    assert archive.restored_season(spark, out, "S1").inputFiles() != before.inputFiles()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from league import write_season
 from rallyline.operators.quality import Violation
 from rallyline.plans import season as plan
+from rallyline.sources.warehouse import Warehouse
 from rallyline.streaming import live
 
 
@@ -52,10 +53,14 @@ def sixth_player(pbp, box):
     out["PLAYER_ID"] = next(f"P{team}{i}" for i in (7, 6, 5) if f"P{team}{i}" != comes["PLAYER_ID"].strip())
 
 
+def wrong_points(pbp, box):
+    box["Stats"][0]["PlayersStats"][0]["Points"] += 1
+
+
 BROKEN = {
     "score_decreased": falling_score, "unknown_play": unknown_play, "third_team": third_team, "not_five_starters": four_starters,
     "repeated_player": repeated_player, "unpaired_substitutions": lone_substitution, "substitution_without_team_or_clock": clockless_substitution,
-    "team_minutes": sixth_player,
+    "team_minutes": sixth_player, "points_do_not_reconcile": wrong_points,
 }
 
 
@@ -94,7 +99,7 @@ def test_each_broken_game_is_refused_alone(spark, broken):
 def test_builds_leave_refused_games_out_and_name_them(spark, broken, tmp_path):
     out = str(tmp_path / "out")
     assert {r["game"] for r in live.build(spark, str(broken), "B1", out).collect()} == {2, 3, 4}
-    assert [tuple(r) for r in spark.read.parquet(f"{out}/refused").collect()] == [("B1", 1, "unknown_play")]
+    assert [tuple(r) for r in Warehouse.opened(spark, out).table("refused").select("season", "game", "finding").collect()] == [("B1", 1, "unknown_play")]
     lacking = broken / "B2" / "Points" / "3.json"
     body = lacking.read_text()
     lacking.unlink()
