@@ -37,7 +37,7 @@ SCALE, LENGTH_SHARE, SATURATION = 1000, 75, 8
 #: Documents of a block, and terms at which it ends before that.
 BLOCK, BLOCK_TERMS = 64, 1 << 17
 #: Blocks that a task sorts at a time.
-GROUP = 256
+GROUP = 64
 #: Queries and terms of a batch, at most; a query of more terms is a batch of its own.
 QUERIES, TERMS = 2048, 1 << 18
 #: Blocks of each query that give its first threshold.
@@ -79,8 +79,14 @@ def impacts(times: np.ndarray, sizes: np.ndarray, documents: int, length: int) -
 
 def indexed(docs: DataFrame, block: int = BLOCK) -> Index:
     """The index of docs (doc_id, text), stored."""
-    count = F.coalesce(F.regexp_count("text", F.lit(TERM)), F.lit(0)).cast("long")
-    n, length = docs.select(count.alias("n")).where("n > 0").agg(F.count("*"), F.sum("n")).first()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [len(terms_of(text.as_py())) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(bool, sizes))], pa.int64()), pa.array([sum(sizes)], pa.int64())], ["documents", "terms"])
+
+    n, length = rows.select("text").mapInArrow(count, "documents long, terms long").agg(F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, made = TaskContext.get().partitionId() << 33, 0
@@ -115,9 +121,8 @@ def indexed(docs: DataFrame, block: int = BLOCK) -> Index:
         if ids:
             yield whole()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     shape = "block long, ids array<long>, sizes array<long>, terms array<binary>, peaks array<long>, holders array<int>, ends array<int>, at array<int>, times array<int>"
-    return Index(stored(rows.mapInArrow(run, shape)), n, length or 0)
+    return Index(stored(rows.mapInArrow(run, shape)), n, length)
 
 
 class Batch:
