@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallyline.llm.common import durable
+from rallyline.llm.common import ROW, durable, numbered, settled
 
 #: Language families by ISO 639-1 code.
 FAMILIES = {
@@ -117,12 +117,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy | None:
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = numbered(settled(docs)).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language
     if not counts:
         return None
     shares = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, per_language / n))])
-    drawn = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < F.element_at(shares, F.col("lang")) * 1_000_000
+    # by row: rows without an id, or equal ones, must not be drawn together
+    drawn = F.pmod(F.xxhash64(F.lit("fit"), "doc_id", "text", F.col(ROW)["at"]), F.lit(1_000_000)) < F.element_at(shares, F.col("lang")) * 1_000_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -518,6 +518,17 @@ def test_language_accuracy(spark, odd, none):
     assert {r["lang_pred"] for r in langid.predicted(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded_without_ids(spark, monkeypatch):
+    """Rows that share an id, or have none, or are equal, are drawn one by one."""
+    seen = []
+    real = langid.durable
+    monkeypatch.setattr(langid, "durable", lambda df: seen.append(df := real(df)) or df)
+    rows = [(None, f"der und die {i} Wort", "de") for i in range(600)] + [(1, "the and of word", "en")] * 600
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2), per_language=60)
+    counts = {r["lang"]: r["count"] for r in seen[0].groupBy("lang").count().collect()}
+    assert all(25 <= counts[lang] <= 110 for lang in ("de", "en"))
+
+
 URLS = ["https://A.Example.COM/en/7?x", "http://example.com/en/8#y", "x", None, "", "ftp://a.net", "http://b.net/de/1", "https://example.net/de/81/z",
         "http://example.net?de/8", "http://org/es/", "http://xorg/es/1", "a://b://c/en/"]
 
