@@ -1,7 +1,8 @@
 """An archive of payloads: bodies by content hash, a versioned index from fetch observations, and guards.
 
 Bodies are an append-only Parquet table by hash, so a body is never overwritten and equal bodies are kept once.  The
-index isn't updated in place: versions are a plan over the observations, which only grow.
+index holds, for each response and body, when it was seen first and last.  These merge, so new observations change the
+index rows of their own games and no others; `versions` over all observations gives the same.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from rallyline.operators.quality import count_differences, refuse
 from rallyline.session import durable
 from rallyline.sources import payloads
-from rallyline.sources.warehouse import existing, put
+from rallyline.sources.warehouse import Warehouse, existing, put
 
 #: What names a response.
 RESPONSE = ("season", "endpoint", "game")
@@ -101,16 +102,42 @@ def observed(old: DataFrame, new: DataFrame, every_observation: bool = False) ->
     return good.unionByName(both.where("NOT http_status <=> 200"))
 
 
-def versions(observations: DataFrame) -> DataFrame:
-    """Rows (response, sha256, version, first_at, last_at, current): a body that comes back is current again."""
-    good = observations.where("http_status = 200")
-    rows = good.groupBy(*RESPONSE, "sha256").agg(F.min("fetched_at").alias("first_at"), F.max("fetched_at").alias("last_at"))
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The bodies of each response with version, in the order in which they were seen first, and current, seen last."""
     of = Window.partitionBy(*RESPONSE)
     number = F.row_number().over(of.orderBy("first_at", "sha256"))
     latest = F.row_number().over(of.orderBy(F.desc("last_at"), F.desc("sha256"))) == 1
     return rows.withColumn("version", number).withColumn("current", latest)
 
 
+def versions(observations: DataFrame) -> DataFrame:
+    """Rows (response, sha256, version, first_at, last_at, current): a body that comes back is current again."""
+    good = observations.where("http_status = 200")
+    return _numbered(good.groupBy(*RESPONSE, "sha256").agg(F.min("fetched_at").alias("first_at"), F.max("fetched_at").alias("last_at")))
+
+
+def indexed(house: Warehouse, observations: DataFrame) -> Warehouse:
+    """The index (the warehouse's table `index`) with more observations merged into the rows of their games."""
+    new = observations.where("http_status = 200").select(*RESPONSE, "sha256", F.col("fetched_at").alias("first_at"), F.col("fetched_at").alias("last_at"))
+    games = durable(new.select("season", "game").distinct())
+    if (old := house.table("index")) is not None:
+        touched = old.join(games, ["season", "game"], "left_semi")
+        new = new.unionByName(touched.select(new.columns))
+    merged = new.groupBy(*RESPONSE, "sha256").agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+    return house.publish({"index": _numbered(merged)}, games)
+
+
+def metadata_differences(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (response, finding) where two listings of responses differ: missing in b, extra in b, or changed in a column.
+
+    Nulls are values here: a column that one side lacks a value of differs.
+    """
+    left = a.select(*RESPONSE, F.struct(*columns).alias("a"))
+    right = b.select(*RESPONSE, F.struct(*columns).alias("b"))
+    both = left.join(right, list(RESPONSE), "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
+    return both.select(*RESPONSE, F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("changed").alias("finding"))
+
+
 def content_changes(observations: DataFrame) -> DataFrame:
     """The observations with `content_changed`: there is an earlier body, and it differs."""
     before = F.lag("sha256").over(Window.partitionBy(*RESPONSE).orderBy("fetched_at"))

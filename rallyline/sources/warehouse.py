@@ -13,6 +13,7 @@ from what is there now.
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 from collections.abc import Callable
@@ -150,6 +151,12 @@ class Warehouse:
         if both := self._held(since).join(own, [*KEYS, "table"], "left_semi").limit(1).collect():
             raise Conflict(f"version {both[0]['version']} has replaced game {both[0]['game']} of {both[0]['season']}")
 
+    def compacted(self, *names: str) -> Warehouse:
+        """Publish tables by game anew as they are, each in one folder, where many small commits have scattered them."""
+        held = [self.games(name).select(*KEYS, F.lit(name).alias("name")) for name in names]
+        games = functools.reduce(DataFrame.unionByName, held).groupBy(*KEYS).agg(F.collect_set("name").alias("tables"))
+        return self.publish({name: self.table(name) for name in names}, games)
+
     def unreachable(self) -> DataFrame:
         """Rows (table, commit): folders of which no row shows at this version: of lost writers, or since replaced.
 

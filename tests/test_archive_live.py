@@ -58,6 +58,33 @@ def test_versions_and_changes(spark):
     assert archive.observed(seen, seen).count() == len(rows) + 1 and archive.observed(seen, seen, True).count() == 2 * len(rows)
 
 
+def test_the_index_merges_what_is_seen(spark, tmp_path):
+    """Observations in any order and any batches give what all at once give, and a batch leaves other games' rows alone."""
+    rows = [("S", e, g, f"{g % 3}{(h * g) % 4}", at(h), 200) for g in range(1, 6) for e in ("E", "F") for h in range(6)]
+    rows += [("S", "E", 1, None, at(7), 404)]
+    seen = spark.createDataFrame(rows, FETCHED)
+    house = Warehouse.opened(spark, str(tmp_path))
+    for hours in ((3, 4), (0, 1), (5, 2, 7)):
+        house = archive.indexed(house, seen.where(seen.fetched_at.isin([at(h) for h in hours])))
+    key = lambda df: sorted(str(sorted(r.asDict().items())) for r in df.collect())
+    assert key(house.table("index")) == key(archive.versions(seen))
+    before = {r["game"]: r["commit"] for r in house.games("index").collect()}
+    house = archive.indexed(house, spark.createDataFrame([("S", "E", 2, "new", at(30), 200)], FETCHED))
+    after = {r["game"]: r["commit"] for r in house.games("index").collect()}
+    assert {g for g in before if before[g] != after[g]} == {2} and house.table("index").where("game = 2 AND current AND sha256 = 'new'").count() == 1
+    whole = key(house.table("index"))
+    house = house.compacted("index")
+    assert key(house.table("index")) == whole and house.games("index").select("commit").distinct().count() == 1
+
+
+def test_metadata_is_compared_both_ways(spark):
+    names = "season string, endpoint string, game int, sha256 string, byte_size long"
+    a = spark.createDataFrame([("S", "E", 1, "x", 5), ("S", "E", 2, "x", None), ("S", "E", 3, "x", 5), ("S", "E", 5, None, None)], names)
+    b = spark.createDataFrame([("S", "E", 1, "x", 5), ("S", "E", 2, "x", 5), ("S", "E", 4, "x", 5), ("S", "E", 5, None, None)], names)
+    got = {(r["game"], r["finding"]) for r in archive.metadata_differences(a, b, ["sha256", "byte_size"]).collect()}
+    assert got == {(2, "changed"), (3, "missing"), (4, "extra")}
+
+
 def test_completeness(spark, root):
     games = payloads.games(spark, str(root), "S1")
     listing = payloads.inventory(spark, str(root))
