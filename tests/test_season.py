@@ -47,6 +47,14 @@ def test_verdicts(league):
     assert got == {1: (False, []), 2: (True, ["minutes_mismatch"]), 3: (False, []), 4: (True, ["off_court_attribution"])}
 
 
+def test_clock_rules_are_measured_together(league):
+    """What each rule would leave wrong: the raw clock what the stored minutes count, no rule more here than another."""
+    _, _, s, d = league
+    got = {r["game"]: (r["raw"], r["tip_shift"]) for r in plan.clock_control(s).collect()}
+    assert got == {r["game"]: (r["raw_wrong"], r["candidate_wrong"]) for r in d.sums.collect()}
+    assert got[2] == (1, 1) and got[1] == (0, 0)
+
+
 def test_points_reconcile(league):
     _, facts, s, d = league
     assert plan.point_differences(s).count() == 0
