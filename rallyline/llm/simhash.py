@@ -195,7 +195,7 @@ def band_keys(fp: Column, radius: int, levels: int = 3) -> Column:
     """Shard keys: fingerprints within the radius share at least one (pigeonhole, `levels` times over).
 
     Of radius + 1 bands one must agree; of the remaining bits, cut again, one band must agree, and so on.  With radius 2
-    and three levels a key fixes 45 bits of 64, so no shard can hold more than 2^20 fingerprints, whatever the data.
+    and three levels a key fixes 44 bits of 64 at least, so no shard can hold more than 2^20 fingerprints, whatever the data.
     """
 
     def cut(bits: list[int]) -> list[list[int]]:
