@@ -5,6 +5,8 @@ import random
 
 import pytest
 
+from league import GAMES, write_season
+from rallyline.sources.warehouse import Warehouse
 from rallyline.streaming import arrivals
 
 SHAPE = "season string, game int, what string, played boolean, at timestamp"
@@ -54,3 +56,27 @@ def test_ready_and_due_whatever_the_order(spark, tmp_path):
     random.Random(2).shuffle(mixed)
     late = [r for r in ROWS if r["at"] >= "2024-10-02"]
     assert run(spark, tmp_path / "b", [mixed, late, LAST]) == expected
+
+
+def test_a_ready_game_is_built(spark, tmp_path):
+    """Game 4's schedule row says that it was played after all payloads are there: it is built then, by no new payload."""
+    raw, out, source = tmp_path / "raw", str(tmp_path / "out"), tmp_path / "in"
+    write_season(raw)
+    source.mkdir()
+    schedule = raw / "S1" / "schedule.json"
+    body = json.loads(schedule.read_text())
+    later = json.dumps(body)
+    next(g for g in body["data"] if g["gameCode"] == 4)["played"] = False
+    schedule.write_text(json.dumps(body))
+
+    def run(name, rows):
+        (source / name).write_text("\n".join(map(json.dumps, rows)))
+        stream = spark.readStream.schema(SHAPE).json(str(source))
+        arrivals.build_when_ready(spark, stream, str(raw), out, str(tmp_path / "state")).awaitTermination()
+        return {r["game"] for r in Warehouse.opened(spark, out).table("verdicts").collect()}
+
+    first = [row(g, what, 1, what == "schedule" and g < 4) for g in GAMES for what in arrivals.NEEDED]
+    assert run("1.json", first) == {1, 2, 3}
+    schedule.write_text(later)
+    assert run("2.json", [row(4, "schedule", 30, True)]) == {1, 2, 3, 4}
+    assert spark.read.parquet(f"{out}/due").select("game", "hours").distinct().count() == 6
