@@ -37,6 +37,10 @@ class League:
         # one row for each game, which every answer asks for its coverage and exclusions
         self.games = views.v_game(derived).cache()
 
+    def close(self) -> None:
+        """Let go of what the answers share."""
+        self.games.unpersist()
+
     # -- helpers ---------------------------------------------------------------------------------------------------
 
     def resolve_season(self, season: str) -> str:

@@ -145,5 +145,8 @@ def test_json_rpc(served):
     assert got[11]["result"]["isError"] and got[12]["result"]["protocolVersion"] == "2025-03-26"
     assert got[0]["result"]["protocolVersion"] == protocol.VERSIONS[0] and got[1]["result"]["tools"][0]["description"]
     assert len(got[1]["result"]["tools"]) == 10
+    for wrong, what in ((call(1, "nope"), "known: describe_warehouse, shot_data"), (call(1, "game", season="S1", x=1), "game: "), (ask(id=1, method="initialize", params={"league": 1}), "TypeError")):
+        (reply,) = (json.loads(x) for x in protocol.serve(lg, [wrong]))
+        assert what in reply["error"]["message"] and reply["error"]["code"] == (-32603 if what == "TypeError" else -32602)
     assert json.loads(got[2]["result"]["content"][0]["text"])["row_count"] == 2
     assert got[3]["error"]["code"] == -32602 and got[4]["result"]["isError"] and got[5]["error"]["code"] == -32601
