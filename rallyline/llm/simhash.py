@@ -257,7 +257,7 @@ CROWD = 1 << 16
 #: Bits of the filter that tells which keys may be crowded.
 FILTER = 1 << 20
 #: Parts of the hash space in which a set's shingles are counted, and the count from which a part is full.
-PARTS, FULL = 256, 65535
+PARTS, FULL = 256, 255
 
 
 def wide_counts(hashes: np.ndarray) -> np.ndarray:
@@ -298,7 +298,7 @@ def wide_prints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def part_counts(hashes: np.ndarray) -> np.ndarray:
     """How many hashes lie in each part; two sets can't share more than the sum of the parts' lesser counts."""
-    return np.minimum(np.bincount((hashes % np.uint64(PARTS)).astype(np.int64), minlength=PARTS), FULL).astype(np.uint16)
+    return np.minimum(np.bincount((hashes % np.uint64(PARTS)).astype(np.int64), minlength=PARTS), FULL).astype(np.uint8)
 
 
 def may_be_similar(counts: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
@@ -364,7 +364,7 @@ def cross_links(keyed: DataFrame, radius: int, similarity: float) -> DataFrame:
             # the commonest root's members stand last and only answer
             order = np.argsort(roots == names[n.argmax()], kind="stable")
             words, ids, roots = words[order], ids[order], roots[order]
-            counts = np.frombuffer(b"".join(counts), np.uint16).reshape(-1, PARTS)[order]
+            counts = np.frombuffer(b"".join(counts), np.uint8).reshape(-1, PARTS)[order]
             for k in range(len(ids) - int(n.max())):
                 near = np.bitwise_count(words[k + 1 :] ^ words[k]).sum(1) <= radius
                 at = k + 1 + np.flatnonzero(near & (roots[k + 1 :] != roots[k]))
