@@ -37,7 +37,7 @@ from rallyline.llm.common import ROW, ROW_TYPE, durable, numbered, settled, stor
 
 ORDER = 4
 #: Characters that are counted at a time, and bytes of text of a block.
-CHUNK, BLOCK = 1 << 20, 12 << 20
+CHUNK, BLOCK = 1 << 18, 12 << 20
 #: Of the trusted documents of a language, the share whose perplexity is under the threshold; accuracy of the quantile;
 #: what a text of n characters is allowed for chance, as exp(CHANCE / sqrt(n)) times the threshold.
 QUANTILE, ACCURACY, CHANCE = 0.995, 10_000, 2.0
@@ -268,6 +268,7 @@ def block_grams(rows: DataFrame) -> DataFrame:
                 yield from made(sizes.most_common(1)[0][0])
         for block in list(held):
             yield from made(block)
+        pa.default_memory_pool().release_unused()
 
     return rows.select("block", "text").mapInArrow(run, "block long, g string")
 
@@ -279,6 +280,7 @@ def compressed(rows: DataFrame) -> DataFrame:
         for batch in batches:
             packed = pa.array([squeezed(t) for t in batch.column(3)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed, batch.column(4)], ["row", "doc_id", "lang", "packed", "block"])
+        pa.default_memory_pool().release_unused()
 
     return rows.select("row", "doc_id", "lang", "text", "block").mapInArrow(run, f"row {ROW_TYPE}, doc_id long, lang string, packed binary, block long")
 
