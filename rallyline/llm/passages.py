@@ -127,8 +127,12 @@ def squeezed(text: bytes) -> bytes:
     return len(text).to_bytes(8, "little") + ZSTD.compress(text, asbytes=True)
 
 
+def unsqueezed(z: bytes) -> bytes:
+    return ZSTD.decompress(z[8:], int.from_bytes(z[:8], "little"), asbytes=True)
+
+
 def words_of(z: bytes) -> list[bytes]:
-    return ZSTD.decompress(z[8:], int.from_bytes(z[:8], "little"), asbytes=True).split()
+    return unsqueezed(z).split()
 
 
 def compressed(docs: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyline.llm.common import UPPER, durable, stored
+from rallyline.llm.passages import squeezed, unsqueezed
 
 #: The term rule, and the numbers of the score.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -44,6 +45,8 @@ QUERIES, TERMS = 2048, 1 << 18
 FIRST = 4
 #: Scores below this are exact as sums of doubles.
 EXACT = 1 << 53
+#: The arrays of a block.
+KINDS = {"sizes": np.int64, "peaks": np.int64, "holders": np.int32, "ends": np.int32, "at": np.int32, "times": np.int32}
 
 
 def _spaced() -> bytes:
@@ -60,10 +63,11 @@ def terms_of(text: bytes | None) -> list[bytes]:
 
 @dataclass
 class Index:
-    """blocks: rows (block, ids, sizes, terms, peaks, holders, ends, at, times); documents and length: N and L of the score.
+    """blocks: rows (block, ids, terms, sizes, peaks, holders, ends, at, times); documents and length: N and L of the score.
 
     terms, peaks and holders (how many documents hold it) are parallel; at and times hold the documents' terms end to end,
-    as places in terms and numbers of times, and ends says where each document's end.
+    as places in terms and numbers of times, and ends says where each document's end.  All but ids are bytes under
+    Zstandard, see rows_of: a block is some hundred KB as arrays, and a task's rows travel together.
     """
 
     blocks: DataFrame
@@ -102,12 +106,12 @@ def indexed(docs: DataFrame, block: int = BLOCK) -> Index:
             at, times = (np.concatenate(x).astype(np.int32) for x in zip(*parts, strict=True))
             peaks = np.zeros(len(places), np.int64)
             np.maximum.at(peaks, at, impacts(times.astype(np.int64), np.repeat(sizes, counts), n, length))
-            lists = [sizes, list(places), peaks, np.bincount(at, minlength=len(places)).astype(np.int32), np.cumsum(counts).astype(np.int32), at, times]
+            columns = {"sizes": sizes, "peaks": peaks, "holders": np.bincount(at, minlength=len(places)), "ends": np.cumsum(counts), "at": at, "times": times}
+            packed = {"terms": b" ".join(places)} | {name: column.astype(KINDS[name]).tobytes() for name, column in columns.items()}
             return pa.RecordBatch.from_arrays(
-                [pa.array([first + made], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
-                 *[pa.array([x], pa.list_(t)) for x, t in zip(lists, (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()), strict=True)]],
-                ["block", "ids", "sizes", "terms", "peaks", "holders", "ends", "at", "times"],
-            )
+                [pa.array([first + made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *[pa.array([squeezed(x)], pa.binary()) for x in packed.values()]],
+                ["block", "ids", *packed],
+            )
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -121,7 +125,7 @@ def indexed(docs: DataFrame, block: int = BLOCK) -> Index:
         if ids:
             yield whole()
 
-    shape = "block long, ids array<long>, sizes array<long>, terms array<binary>, peaks array<long>, holders array<int>, ends array<int>, at array<int>, times array<int>"
+    shape = "block long, ids array<long>, terms binary, " + ", ".join(f"{name} binary" for name in KINDS)
     return Index(stored(rows.mapInArrow(run, shape)), n, length)
 
 
@@ -197,15 +201,13 @@ class Best:
             self.least = max(self.least, self.rows[-1][0])
 
 
-BINARY = ["sizes", "peaks", "ends", "at", "times"]
-
-
 def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a part of the index, one at a time, with terms as a list and the rest as arrays."""
     for i in range(batch.num_rows):
         row = {}
         for name in batch.schema.names:
-            value = batch.column(name)[i]
-            row[name] = value.values.to_numpy(zero_copy_only=False) if name in BINARY else value.as_py()
+            value = batch.column(name)[i].as_py()
+            row[name] = value if name in ("block", "ids") else unsqueezed(value).split() if name == "terms" else np.frombuffer(unsqueezed(value), KINDS[name])
         yield row
 
 
@@ -217,11 +219,10 @@ def holders_of(index: Index, batch: Batch) -> np.ndarray:
         place = shared.value.place
         total = np.zeros(len(place), np.int64)
         for part in batches:
-            for terms, holders in zip(part.column(0), part.column(1), strict=True):
-                holders = holders.values.to_numpy()
-                for i, t in enumerate(terms.as_py()):
+            for row in rows_of(part):
+                for t, n in zip(row["terms"], row["holders"].tolist(), strict=True):
                     if (at := place.get(t)) is not None:
-                        total[at] += holders[i]
+                        total[at] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
 

@@ -95,7 +95,7 @@ def test_blocks_that_cannot_matter_are_not_scored(spark, monkeypatch):
     """Blocks hold the highest parts of their documents, and only those over the threshold are opened."""
     rows = [(i, f"common w{i} w{i + 1}" if i % 97 else "common rare rare") for i in range(1, 2000)]
     index = search.indexed(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), block=10)
-    blocks = index.blocks.collect()
+    blocks = [row for part in index.blocks.toArrow().to_batches() for row in search.rows_of(part)]
     assert sum(len(b["ids"]) for b in blocks) == len(rows) == index.documents
     for b in blocks[:20]:
         at = 0
@@ -108,9 +108,9 @@ def test_blocks_that_cannot_matter_are_not_scored(spark, monkeypatch):
         assert dict(zip(b["terms"], b["peaks"])) == dict(peaks)
     batch = search.Batch([[b"rare"]])
     batch.weigh(search.holders_of(index, batch), index.documents)
-    bounds = [int(batch.bounds(b["terms"], search.np.array(b["peaks"]))[0]) for b in blocks]
+    bounds = [int(batch.bounds(b["terms"], b["peaks"])[0]) for b in blocks]
     assert sum(x > 0 for x in bounds) == len([i for i, _ in rows if i % 97 == 0])
-    opened = search.Block({n: b[n] if n in ("ids", "terms") else search.np.array(b[n]) for n in b.asDict()}, batch, index.documents, index.length)
+    opened = search.Block(b, batch, index.documents, index.length)
     exact = opened.scores(0).tolist()
     monkeypatch.setattr(search, "EXACT", 1)
     assert opened.scores(0).tolist() == exact
