@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallyline.session import checkpoint_dir, durable
 
-__all__ = ["ROW", "ROW_TYPE", "ascii_lower", "components", "durable", "numbered", "scanned", "settled", "stored", "table"]
+__all__ = ["ROW", "ROW_TYPE", "ascii_lower", "components", "durable", "give_back", "numbered", "scanned", "settled", "stored", "table"]
 
 #: The name of a row's key among a table's own columns, and its type.
 ROW, ROW_TYPE = "_rl_row", "struct<file: long, at: long>"
@@ -67,6 +69,13 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def give_back() -> None:
+    """Give memory that a task has freed back to the system: its Python worker lives on, and other stages need it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
 def signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
 

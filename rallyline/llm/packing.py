@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyline.llm.common import durable
+from rallyline.llm.common import durable, give_back
 
 #: Runs of characters, and words, that one worker keeps encoded; pieces that one shard packs, about.
 KEPT, SHARD = 600_000, 1024
@@ -163,6 +163,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids
                 long = [pa.array(x, pa.int64()) for x in (names, starts, sizes, crcs, totals)]
                 more = [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
                 yield pa.RecordBatch.from_arrays([*long, *more], head)
+        del encode
+        give_back()
 
     head = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
     shape = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallyline.llm.common import ROW, ROW_TYPE, durable, numbered, settled, stored
+from rallyline.llm.common import ROW, ROW_TYPE, durable, give_back, numbered, settled, stored
 
 ORDER = 4
 #: Characters that are counted at a time, and bytes of text of a block.
@@ -178,6 +178,8 @@ def gram_counts(packed: DataFrame) -> DataFrame:
         grams, n = distinct_grams(rows())
         for k in range(0, len(grams), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(grams[k : k + 10_000], pa.string()), pa.array(n[k : k + 10_000])], ["g", "n"])
+        del grams, n
+        give_back()
 
     return packed.mapInArrow(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
@@ -268,7 +270,7 @@ def block_grams(rows: DataFrame) -> DataFrame:
                 yield from made(sizes.most_common(1)[0][0])
         for block in list(held):
             yield from made(block)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return rows.select("block", "text").mapInArrow(run, "block long, g string")
 
@@ -280,7 +282,7 @@ def compressed(rows: DataFrame) -> DataFrame:
         for batch in batches:
             packed = pa.array([squeezed(t) for t in batch.column(3)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed, batch.column(4)], ["row", "doc_id", "lang", "packed", "block"])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return rows.select("row", "doc_id", "lang", "text", "block").mapInArrow(run, f"row {ROW_TYPE}, doc_id long, lang string, packed binary, block long")
 
@@ -321,6 +323,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 yield text
 
         made = perplexities(texts(), len(rows), of["g"].to_pylist(), of["p"].to_numpy())
+        give_back()
         return pa.table([rows["row"], rows["doc_id"], rows["lang"], pa.array(made, pa.float64()), pa.array(sizes, pa.int64())],
                         ["row", "doc_id", "lang", "perplexity", "n_chars"])
 
