@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -831,6 +832,20 @@ def test_peeling_fails_softly_and_retries(spark, monkeypatch):
             assert math.isclose(r["l"], len(a & b) / len(a | b))
 
 
+def test_peeling_grows_with_the_digests(spark):
+    """Four times the paragraphs take about four times as long, not their square; all of them are found."""
+
+    def seconds(n):
+        df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n) + F.col("id")), lambda i: F.xxhash64(i)).alias("a"))
+        width = F.lit(2**15 * n // 24_000).cast("long")
+        began = time.perf_counter()
+        assert df.select(F.size(sketches.peel(sketches.sketch(F.col("a"), width), width))).first()[0] == n
+        return time.perf_counter() - began
+
+    few, many = (min(seconds(n) for _ in range(2)) for n in (6_000, 24_000))
+    assert many < 8 * few, (few, many)
+
+
 def test_next_documents_in_falling_order(spark):
     """The next document is found across gaps, ties, repeats and null ids, and the last is followed by the first."""
     rng = np.random.default_rng(4)
